@@ -364,9 +364,9 @@ def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", F.round("ema", 6).alias("ema"), "enabled", "shield")
 
 
-@query("SELECT user_id, event_id, round(avg(value * value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 3) AS mean_square FROM events")
+@query("SELECT user_id, event_id, round(sqrt(avg(value * value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)), 6) AS root_mean_square FROM events")
 def rolling_mean_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrence.rolling_mean_square(_events(spark, sf_dir), "user_id", ["event_id"], "value").select("user_id", "event_id", F.round("mean_square", 3).alias("mean_square"))
+    return recurrence.rolling_mean_square(_events(spark, sf_dir), "user_id", ["event_id"], "value").select("user_id", "event_id", F.round(F.sqrt("mean_square"), 6).alias("root_mean_square"))
 
 
 @query("SELECT user_id, event_id, best, best IS NULL OR value < best AS improved FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)")
