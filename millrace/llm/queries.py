@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, fingerprints, jaccard_join, langid, line_dedup, quality_cnn, secret_scan, sharding, token_counts
+from millrace.llm import bpe, decontaminate, fingerprints, jaccard_join, langid, line_dedup, oracles, quality_cnn, secret_scan, sharding, token_counts
 from millrace.llm.common import held_out, table
 
 SHARDS = 40
@@ -72,6 +72,4 @@ QUERIES = {
     "op10_secret_ownership": op10_secret_ownership,
 }
 
-ORACLES: dict[str, str] = {
-    "op3_line_dedup": line_dedup.report_sql("documents", "doc_id", "source"),
-}
+ORACLES = oracles.all_of_them(SHARDS, sharding.ROWS_PER_BUCKET)
