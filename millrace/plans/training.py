@@ -241,7 +241,7 @@ def fp8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     q AS (SELECT vec_id, i, v, sc, main, r, greatest(least(round_even((inner_v - main) / r, 0), 7), -7) AS k FROM m JOIN rs USING (vec_id, b)),
     y AS (SELECT vec_id, v, k, (main + k * r) * sc AS y FROM q)
     SELECT vec_id, sum(k)::BIGINT AS resid_sum, round(10 * log10(avg(v * v) / avg((v - y) * (v - y))), 6) AS snr FROM y GROUP BY vec_id""")
-def tcfp12_roundtrip_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+def residual_roundtrip_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir).select("vec_id", "x", vector.residual_quantize(F.col("x")).alias("q")).withColumn("y", vector.residual_dequantize(F.col("q")))
     total = F.aggregate(F.col("q.resid"), F.lit(0), lambda a, v: a + v).cast("bigint")
     return rows.select("vec_id", total.alias("resid_sum"), F.round(vector.snr_db(F.col("x"), F.col("y")), 6).alias("snr"))
