@@ -29,8 +29,8 @@ from millrace.llm.shingle_sets import mix, set_key, shingle_set
 SMALL = 64
 #: Of larger sets, the shingles whose hash mod 10 is below this.
 PROBED = 3
-#: Bits of the parity sketch.
-SKETCH_BITS = 1024
+#: Bits of the smallest and largest parity sketch, as powers of two; between them two to four for each shingle.
+SKETCH_LEAST, SKETCH_MOST = 10, 17
 #: Members of a group that one block holds; pairs are compared block by block.
 BLOCK = 512
 #: Class ids that are sent to all executors at most (8 bytes each); more of them are joined by a shuffle.
@@ -159,12 +159,27 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of SKETCH_BITS cells: two sketches differ in as many bits as the sets
-    differ in elements at most."""
-    cells = np.bincount((mix(shingles + np.uint64(77)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parity of the number of elements in each cell: two sketches differ in as many bits as the sets differ in
+    elements at most. Cells are a power of two, so a sketch folds to half by the exclusive or of its halves."""
+    bits = 1 << min(SKETCH_MOST, max(SKETCH_LEAST, (2 * len(shingles)).bit_length()))
+    cells = np.bincount((mix(shingles + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def folded(mark: bytes, size: int) -> np.ndarray:
+    """A sketch of `size` bytes."""
+    out = np.frombuffer(mark, dtype=np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _may_link(n: int, m: int, common: int, more: int, x: bytes, y: bytes) -> bool:
+    """The exact bounds on a pair: shared shingles of either, and the sketches' distance."""
+    size = min(len(x), len(y))
+    return 9 * min(common, more) >= 4 * (n + m) and 9 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n + m
+
+
 def _signed(sets: DataFrame) -> DataFrame:
     """sig, node: the signatures of each set."""
 
@@ -211,10 +226,10 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     """
 
     def blocks(group: list[tuple]) -> list[tuple]:
-        out = []
+        out, size = [], min(len(row[-1]) for row in group)
         for at in range(0, len(group), BLOCK):
             node, label, n, common, marks = zip(*group[at : at + BLOCK], strict=True)
-            out.append((np.array(node), np.array(label), np.array(n), np.array(common), np.frombuffer(b"".join(marks), dtype=np.uint64).reshape(len(node), -1)))
+            out.append((np.array(node), np.array(label), np.array(n), np.array(common), np.stack([folded(m, size) for m in marks]).view(np.uint64)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +264,20 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs a, b that no bound excludes: their sketches move, not their sets."""
+    side = lambda name: marks.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "common", "sketch")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            keep = [_may_link(n, m, c, d, x, y) for n, c, x, m, d, y in zip(*columns, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "common_a", "sketch_a", "n_b", "common_b", "sketch_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets link, by comparing the sets themselves."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("shingles").alias(f"s_{name}"))
@@ -302,13 +331,18 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     sets = stored(_peeled(sets), "sets")
     group = Window.partitionBy("sig")
     signed = _signed(sets).repartition("sig").withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    signed = stored(signed.where(F.col("low") != F.col("high")).select("sig", "node", "low"), "signed")
+    # Groups of the same members are one group: near copies share hundreds of signatures. Members that a collision
+    # adds are only more to compare.
+    members = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(group), F.count(F.lit(1)).over(group), "low", "high")
+    signed = signed.withColumn("members", members).where(F.col("low") != F.col("high"))
+    signed = stored(signed.select(F.col("members").alias("sig"), "node", "low").distinct(), "signed")
     star = signed.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_linked(star, sets), "links")
+    marks = stored(_sketches(sets), "sketches")
+    links = stored(_linked(_plausible(star, marks), sets), "links")
     labels = components(links)
     marked = signed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     still = marked.withColumn("__low", F.min("label").over(group)).withColumn("__high", F.max("label").over(group)).where(F.col("__low") != F.col("__high")).select("sig", "node", "label")
-    still = still.join(_sketches(sets), "node").select("sig", "node", "label", "n", "common", "sketch")
+    still = still.join(marks, "node").select("sig", "node", "label", "n", "common", "sketch")
     cross = _cross_pairs(still.repartition("sig").sortWithinPartitions("sig")).distinct()
     more = stored(_linked(cross, sets), "links")
     labels = components(links.unionByName(more))
