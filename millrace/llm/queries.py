@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, fingerprints, jaccard_join, langid, line_dedup, oracles, quality_cnn, secret_scan, sharding, token_counts
-from millrace.llm.common import held_out, table
+from millrace.llm.common import held_out, stored, table
 
 SHARDS = 40
 QUALITY_THRESHOLD = 0.7
@@ -40,7 +40,7 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = bpe.lengths(table(spark, sf_dir, "documents"), bpe.public_model())
-    return token_counts.suffix_table(token_counts.histogram(lengths))
+    return token_counts.suffix_table(stored(token_counts.histogram(lengths), "lengths"))  # a few rows, used twice
 
 
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
