@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import bind
 from millrace.functions.text import lines, strip
 
 # Fixed values.
@@ -18,7 +19,7 @@ WORD = r"[\p{L}\p{N}_]+"
 
 def line_length_score(parts: Column) -> Column:
     mean = F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)) / F.size(parts)
-    return F.when(mean.between(20, 100), 1.0).when((mean < 10) | (mean > 200), 0.2).otherwise(0.6)
+    return bind(mean, lambda m: F.when(m.between(20, 100), 1.0).when((m < 10) | (m > 200), 0.2).otherwise(0.6))
 
 
 def comment_score(parts: Column, language: Column) -> Column:
@@ -26,8 +27,7 @@ def comment_score(parts: Column, language: Column) -> Column:
         return F.size(F.filter(parts, lambda x: x.rlike(pattern)))
 
     n = F.when(language == "python", count(HASH_COMMENT)).when(language.isin(*SLASH_LANGUAGES), count(SLASH_COMMENT)).otherwise(count(ANY_COMMENT))
-    ratio = n / F.size(parts)
-    return F.when(ratio.between(0.05, 0.30), 1.0).when(ratio > 0.5, 0.3).when(ratio == 0, 0.6).otherwise(0.7)
+    return bind(n / F.size(parts), lambda r: F.when(r.between(0.05, 0.30), 1.0).when(r > 0.5, 0.3).when(r == 0, 0.6).otherwise(0.7))
 
 
 def structure_score(code: Column) -> Column:
@@ -57,13 +57,15 @@ def identifier_score(code: Column) -> Column:
 
 def quality_score(code: Column, language: Column, syntax: Column | None = None) -> Column:
     """Mean of five scores, and a sixth for Python if its column is given; 0 for blank code or less than three lines."""
-    body = strip(code)
-    parts = lines(body)
-    total = line_length_score(parts) + comment_score(parts, language) + structure_score(code) + repetition_score(parts) + identifier_score(code)
-    mean = total / 5.0
-    if syntax is not None:
-        mean = F.when(language == "python", (total + syntax) / 6.0).otherwise(mean)
-    return F.when(code.isNull() | (body == "") | (F.size(parts) < 3), 0.0).otherwise(F.least(F.lit(1.0), mean))
+
+    def scored(c: Column, body: Column, parts: Column) -> Column:
+        total = line_length_score(parts) + comment_score(parts, language) + structure_score(c) + repetition_score(parts) + identifier_score(c)
+        mean = total / 5.0
+        if syntax is not None:
+            mean = F.when(language == "python", (total + syntax) / 6.0).otherwise(mean)
+        return F.when(c.isNull() | (body == "") | (F.size(parts) < 3), 0.0).otherwise(F.least(F.lit(1.0), mean))
+
+    return bind(code, lambda c: bind(strip(c), lambda body: bind(lines(body), lambda parts: scored(c, body, parts))))
 
 
 def complexity_score(code: Column) -> Column:
