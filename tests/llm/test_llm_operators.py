@@ -149,6 +149,35 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     assert decontaminate.leaks(odd, items.limit(0)).count() == 0
 
 
+def test_question_only_and_partial_leaks(spark):
+    rng = random.Random(6)
+    items = [(r.item_id, *decontaminate.split_item(r.text)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    filler = lambda n: [f"filler{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i, q, a in items:
+        words = decontaminate.words_of(f"{q} {a}")
+        for kind, own in (("question", decontaminate.words_of(q)), ("start", words[: round(0.65 * len(words))]), ("apart", [*words[: len(words) // 2], *filler(900), *words[len(words) // 2 :]])):
+            rows.append((f"{kind}-{i}", " ".join([*filler(70), *own, *filler(70)])))
+    rows.append(("none", " ".join(filler(500))))
+
+    def overlap(side, text):
+        words = decontaminate.words_of(side)
+        size = min(5, len(words))
+        grams = lambda w: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+        return len(grams(words) & grams(decontaminate.words_of(text))) / len(grams(words)) if words else None
+
+    for i, q, a in items:
+        if len(decontaminate.words_of(q)) < 5 and a:
+            q, a = f"{q} {a}", ""
+        for key, text in rows:
+            x, y = overlap(q, text), overlap(a, text)
+            if x is not None and (x >= 0.5 or (y is not None and min(x, y) >= 0.3)):
+                want[key, i] = pytest.approx((x, y))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id string, text string"), spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()
+    assert {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in got} == want
+    assert sum(k[0].startswith("question") for k in want) > 0.8 * len(items) and sum(k[0].startswith("start") for k in want) > 0.8 * len(items)
+
+
 # 3
 
 
