@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stored
 
 #: A line in more than this share of a host's pages, and in LEAST_PAGES pages at least, is boilerplate.
-RATIO, LEAST_PAGES = 0.1, 3
+#: A template on one page of ten is to be found in every host: at half of that, three standard errors of the measured
+#: share (0.3 / sqrt(pages) each) fit between from 324 pages on.
+RATIO, LEAST_PAGES = 0.05, 3
 #: Boilerplate lines (8 bytes each) that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 

@@ -188,6 +188,14 @@ def test_line_dedup_of_odd_rows(odd, empty):
     assert set(odd.columns) <= set(line_dedup.clean(odd, "source").columns)
 
 
+def test_a_template_goes_from_every_host_that_has_it(spark):
+    rng = random.Random(8)
+    rows = [(h * 1000 + i, "\n".join([f"own {h} {i}", *(["All rights reserved"] if rng.random() < 0.1 else []), "end of " + str(i)]), f"h{h}") for h in range(12) for i in range(400)]
+    holds = {(r[0], r[2]) for r in rows if "reserved" in r[1]}
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "source").where("dropped_lines > 0").collect()
+    assert {(r.doc_id, r.source) for r in got} == holds and {r.dropped_lines for r in got} == {1}
+
+
 def test_line_dedup_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
