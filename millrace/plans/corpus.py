@@ -180,7 +180,7 @@ def humaneval_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates -------------------------------------------------------------------------------------------------
 
-PERMUTATIONS, BANDS = 8, 4
+PERMUTATIONS, BANDS = 128, 16
 
 
 def signature_cte(source: str, column: str, n: int = PERMUTATIONS) -> str:

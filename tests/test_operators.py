@@ -38,6 +38,21 @@ def test_minima_are_exact():
     assert dedup._minima(np.array([], dtype=np.uint64), np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)).tolist() == [dedup.MAX_HASH] * 16
 
 
+def test_registered_near_duplicates(spark, tmp_path):
+    from millrace.plans import corpus
+
+    rng, rows, copies = random.Random(5), [], set()
+    for i in range(60):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        near = [*words[:100], "changed", *words[101:]]  # Jaccard 0.95
+        far = [*words[:152], *[f"v{rng.randint(0, 10**9)}" for _ in range(48)]]  # Jaccard 0.61
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+        copies.add(3 * i + 1)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus.QUERIES["near_dups_greedy"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if not r.kept} == copies
+
+
 @pytest.mark.parametrize("sizes", [[3, 3], [4], [9, 0, 2], [1] * 20])
 def test_packing_equals_the_sequential_rule(spark, sizes):
     rows = [(i, [i * 100 + j for j in range(n)]) for i, n in enumerate(sizes)]
