@@ -23,27 +23,30 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """host, line: hashes of the lines that are in more than `ratio` of the host's pages, each page counted once.
 
     Lines count without the spaces around them; blank lines never count. Rows of a (host, line) are summed on the map
-    side first, so a host or line of a third of all rows moves one row a task. A null host is a host of its own.
+    side first, so a host or line of a third of all rows moves one row a task. A null host is a host of its own. With
+    `copies_once` pages of the same text are one page, in the count of a line and in that of the host.
     """
     site = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
-    totals = pages.groupBy(site).agg(F.count(F.lit(1)).alias("pages"))
+    page = F.xxhash64(text).alias("page")
+    number = F.count_distinct("page") if copies_once else F.count(F.lit(1))
+    totals = pages.select(site, page).groupBy("host").agg(number.alias("pages"))
     own = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _line_hash))
-    counts = pages.select(site, F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("with_line")).where(F.col("with_line") >= least_pages)
+    counts = pages.select(site, page, F.explode(own).alias("line")).groupBy("host", "line").agg(number.alias("with_line")).where(F.col("with_line") >= least_pages)
     return counts.join(totals, "host").where(F.col("with_line") > ratio * F.col("pages")).select("host", "line")
 
 
-def clean(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def clean(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """pages with `__kept`, the text without its host's boilerplate lines, and `__dropped`, how many went.
 
     A null text stays null and drops nothing; a text all of whose lines go becomes empty. A host's boilerplate lines
     are at most its mean number of lines a page / ratio, so they fit into one array beside its pages. Texts don't
     move, unless the arrays of all hosts are too many to send.
     """
-    bad = stored(boilerplate(pages, host, text, ratio, least_pages), "boilerplate")
+    bad = stored(boilerplate(pages, host, text, ratio, least_pages, copies_once), "boilerplate")
     by_host = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__bad"))
     if bad.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)

@@ -64,6 +64,18 @@ def test_run(spark, stages):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_copies_of_a_third_of_a_source_stay_once(spark):
+    body = "\n".join(f"line {k} of a text that many copies have" for k in range(6))
+    rows = [(i, body if i % 3 == 0 else "\n".join([f"page {i} has words of its own, {i * 7919}", "Footer of the site", *(f"{i} {k} more {i * k}" for k in range(4))]), "en", "a", 0) for i in range(60)]
+    rows += [(100 + i, "three copies\nin a small source of few rows", "en", "b", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.drop_boilerplate(spark, docs, SMALL)
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, lines, SMALL).collect()}
+    assert {i for i in got if i % 3 == 0 and i < 100} == {0} and got[0] == body
+    assert got[100] == rows[60][1] and set(got) & {101, 102} == set()
+    assert not any("Footer" in t for t in got.values()) and len(got) == 42
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "one line of some text", None, None, 21), (3, "one line of some text", None, None, 21), (None, "an id that is null", "en", "a", 18), (4, "one line of some text", "en", "b", 21)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
