@@ -101,7 +101,7 @@ def fim_sample(code: Column, rate: float, seed: int, key: Column) -> Column:
     return F.when(u01(seed, "fim", key) < rate, fim(code, seed, key)).otherwise(code)
 
 
-def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, similar: float = 0.8, num_perm: int = 32, bands: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, similar: float = 0.8, num_perm: int = 128, bands: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, lang, stage, code: preprocessing, quality, down-sampling, near-duplicates, decontamination, in that order.
 
     A contaminated row still removes its later duplicates. High quality rows are not repeated.

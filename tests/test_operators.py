@@ -53,6 +53,21 @@ def test_registered_near_duplicates(spark, tmp_path):
     assert {r.doc_id for r in got if not r.kept} == copies
 
 
+def test_funnel_drops_near_duplicates_by_default(spark):
+    from millrace.operators import mix
+
+    rng, rows = random.Random(7), []
+    for i in range(40):
+        words = [f"word{rng.randint(0, 10**9)}" for _ in range(200)]
+        near = [*words[:183], *[f"other{rng.randint(0, 10**9)}" for _ in range(17)]]  # Jaccard 0.84
+        rows += [(2 * i + j, "def f():\n" + "\n".join(" ".join(w[k : k + 5]) for k in range(0, 200, 5)), "en") for j, w in enumerate((words, near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(1, "nothing of these")], "item_id long, text string")
+    defaults = {(r.doc_id, r.stage) for r in mix.funnel(docs, bench).collect()}
+    assert defaults == {(r.doc_id, r.stage) for r in mix.funnel(docs, bench, num_perm=128, bands=16).collect()}
+    assert sum(s == "dedup_filtered" for _, s in defaults) >= 30
+
+
 @pytest.mark.parametrize("sizes", [[3, 3], [4], [9, 0, 2], [1] * 20])
 def test_packing_equals_the_sequential_rule(spark, sizes):
     rows = [(i, [i * 100 + j for j in range(n)]) for i, n in enumerate(sizes)]
