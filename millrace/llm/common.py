@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local tests).
+#: Used only where the session names no shared folder and runs on this machine alone (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/millrace"
 _OWN = f"run-{uuid.uuid4().hex}"
 _MADE: set[str] = set()
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/") + f"/{_OWN}"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a
+    folder of its own and a cluster an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (shared or LOCAL_SCRATCH).rstrip("/") + f"/{_OWN}"
 
 
 def _remove(spark: SparkSession, root: str) -> None:
@@ -46,7 +52,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Takes away tables that `stored` wrote, after their last reader: anything that still reads them fails."""
+    for frame in frames:
+        _, path = _PATHS.pop(id(frame))
+        _remove(frame.sparkSession, path)
 
 
 def text_or_empty(name: str = "text") -> Column:

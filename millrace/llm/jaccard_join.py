@@ -5,12 +5,14 @@ most. The steps, each of which loses no link:
 
 1. Equal sets become one class, known by its least doc_id.
 2. Shingles that no other class has can't be in an intersection. A class with more than a fifth of such shingles links
-   with nothing and goes. First on a fixed part of the domain, then, for what is left, on all of it, twice.
+   with nothing and goes; a fixed part of the domain is looked at.
 3. PartEnum: for a band of sizes with difference k at most, the domain is dealt into n1 parts, so that some part differs
    by one element at most; each part into three, of which then two agree. Every pair of those three makes a signature.
 4. In each group of one signature every member is compared with the least one, and links are contracted.
-5. Groups that still hold several components compare the members of different ones, behind exact bounds (sizes, shared
-   shingles, the parity sketch's distance); what passes is compared as sets.
+5. Groups that still hold several components compare the members of different ones, behind exact bounds (sizes, the
+   parity sketch's distance); what passes is compared as sets.
+
+Sets are made once and written once, with their signatures and sketches; what a step has read for the last time goes.
 """
 
 from __future__ import annotations
@@ -22,95 +24,135 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, stored
+from millrace.llm.common import discard, slices, stored
 from millrace.llm.shingle_sets import mix, set_key, shingle_set
 
 #: Sets up to SMALL shingles show all of them in step 2; their partners, up to a quarter larger, do so as well.
 SMALL = 64
 #: Of larger sets, the shingles whose hash mod 10 is below this.
 PROBED = 3
+#: Shown shingles that a task holds before equal ones become one row, and keys of sets that it remembers.
+HELD, SEEN = 1 << 20, 1 << 17
 #: Bits of the smallest and largest parity sketch, as powers of two; between them two to four for each shingle.
 SKETCH_LEAST, SKETCH_MOST = 10, 17
-#: Members of a group that one block holds; pairs are compared block by block.
-BLOCK = 512
-#: Class ids that are sent to all executors at most (8 bytes each); more of them are joined by a shuffle.
+#: Members of a group that one task compares; a larger group is dealt into blocks, each two of which are one task's.
+GROUP = 2048
+#: Pairs that a task holds before they leave.
+PAIRS = 1 << 16
+#: Rows of ids that are sent to all executors at most (24 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _least_common(n: int) -> int:
-    """Shingles that a set of n must share with any partner: four fifths of it."""
-    return -(-4 * n // 5)
+def _in_part(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(40)) % np.uint64(10) < PROBED
 
 
-def _probes(shingles: np.ndarray, everything: bool) -> np.ndarray:
-    return shingles if everything else shingles[(shingles >> np.uint64(40)) % np.uint64(10) < PROBED]
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if their number is within the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def _profile(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, cls, n, probed: each document's set as a key, its size, and how many shingles count in step 2."""
+    """key, cls, n: each document's set as a key, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
-            cls, n, probed = [], [], []
-            for t in part.column(1).to_pylist():
-                s = shingle_set(t)
-                cls.append(set_key(s))
-                n.append(len(s))
-                probed.append(len(_probes(s, len(s) <= SMALL)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(probed, pa.int64())], names=[key, "cls", "n", "probed"])
+            sets = [(set_key(s), len(s)) for s in map(shingle_set, part.column(1).to_pylist())]
+            cls, n = zip(*sets, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["__key", "cls", "n"])
+
+    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"__key {dict(docs.dtypes)[key]}, cls long, n long")
+
 
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, cls long, n long, probed long")
+def merged(h: np.ndarray, cls: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each h, in order: state 2 if several classes have it."""
+    order = np.lexsort((cls, h))
+    h, cls, state = h[order], cls[order], state[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    last = np.append(first[1:], len(h)) - 1
+    return h[first], cls[first], np.where(cls[first] != cls[last], np.uint8(2), np.maximum.reduceat(state, first))
 
 
 def _probe_rows(docs: DataFrame, text: str) -> DataFrame:
-    """h, cls, n, counts: the probed shingles of each set; `counts` marks those that its own class counts.
+    """h, cls, state: the shingles that each set shows; state 1 if its class counts it, 0 if it only shows it to
+    partners, 2 if the task has seen it in several classes.
 
-    A task shows each set once. What it remembers of them is bounded; a set that is shown twice does no harm.
+    A task's equal shingles become one row for each HELD of them, so a phrase of a third of all documents moves few
+    rows. A set that is shown twice does no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, cls, state = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            order = np.argsort(cls, kind="stable")  # runs of one class are small once compressed
+            h, cls, state = h[order], cls[order], state[order]
+            for at in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)].view(np.int64)), pa.array(cls[at : at + (1 << 16)]), pa.array(state[at : at + (1 << 16)].astype(np.int8))], names=["h", "cls", "state"])
+
         for part in slices(batches, "__text", 1 << 20):
-            hashes, keys, sizes, counted = [], [], [], []
             for t in part.column(0).to_pylist():
                 s = shingle_set(t)
-                key = (set_key(s), len(s))
+                key = set_key(s)
                 if not len(s) or key in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                shown = _probes(s, len(s) <= 2 * SMALL)
-                hashes.append(shown)
-                keys.append(np.full(len(shown), key[0], dtype=np.int64))
-                sizes.append(np.full(len(shown), key[1], dtype=np.int64))
-                counted.append(np.ones(len(shown), dtype=bool) if len(s) <= SMALL else (shown >> np.uint64(40)) % np.uint64(10) < PROBED)
-            if hashes:
-                arrays = [np.concatenate(hashes).view(np.int64), np.concatenate(keys), np.concatenate(sizes), np.concatenate(counted)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["h", "cls", "n", "counts"])
-
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "h long, cls long, n long, counts boolean")
-
-
-def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """cls, n, shingles of the documents given."""
+                shown = s if len(s) <= 2 * SMALL else s[_in_part(s)]
+                counted = np.ones(len(shown), dtype=np.uint8) if len(s) <= SMALL else _in_part(shown).astype(np.uint8)
+                held.append((shown, np.full(len(shown), key, dtype=np.int64), counted))
+                size += len(shown)
+                if size >= HELD:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "h long, cls long, state byte")
+
+
+def _alive(profile: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (cls, n, least, times, docs), and those of them that may have a partner. least: the least id, times: how
+    many rows have it."""
+    copies = profile.where(F.col("n") > 0).groupBy("cls", "n", "__key").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.when(F.col("__key").isNotNull(), F.struct(F.col("__key").cast("long").alias("id"), "times")))
+    classes = copies.groupBy("cls", "n").agg(first.alias("first"), F.sum("times").alias("docs"))
+    classes = stored(classes.select("cls", "n", F.col("first.id").alias("least"), F.col("first.times").alias("times"), "docs"), "classes")
+    shown = _probe_rows(docs, text).repartition("h").groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("high"), F.max("state").alias("state"))
+    alone = shown.where((F.col("cls") == F.col("high")) & (F.col("state") == 1)).groupBy("cls").agg(F.count(F.lit(1)).alias("alone"))
+    few = 5 * F.coalesce("alone", F.lit(0)) <= F.col("n")
+    return classes, stored(classes.where(F.col("least").isNotNull()).join(alone, "cls", "left").where(few).select("cls", "n", "least", "times"), "alive")
+
+
+def _sets(docs: DataFrame, text: str, key: str, alive: DataFrame) -> DataFrame:
+    """node, n, shingles, sketch, brief, sigs of each class that may have a partner, from the document of its least id.
+
+    A task holds the sets of a megabyte of texts at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text", 1 << 20):
-            sets = [shingle_set(t) for t in part.column(0).to_pylist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["cls", "n", "shingles"])
+            sets = [(cls, shingle_set(t)) for cls, t in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            sets = [s for cls, s in sets if set_key(s) == cls]  # an id may stand for other texts too
+            if sets:
+                marks = [sketch(s) for s in sets]
+                arrays = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array(marks, pa.binary()), pa.array([folded(m, brief_size(len(s))).tobytes() for m, s in zip(marks, sets, strict=True)], pa.binary()), _lists([signatures(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "shingles", "sketch", "brief", "sigs"])
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "cls long, n long, shingles array<long>")
+    chosen = docs.select(F.col(key).cast("long").alias("least"), F.col(text).alias("__text")).join(_sent(alive.select("least", "cls")), "least").select("cls", "__text")
+    sets = chosen.mapInArrow(run, "node long, n long, shingles array<long>, sketch binary, brief binary, sigs array<long>")
+    if alive.where(F.col("times") > 1).limit(1).count():  # rows of the same id and set
+        sets = sets.dropDuplicates(["node"])
+    return stored(sets, "sets")
 
 
-def _peeled(sets: DataFrame) -> DataFrame:
-    """sets with `common`, the shingles that another set has too, without those that have too few of them."""
-    rows = sets.select("node", F.explode("shingles").alias("h"))
-    by = Window.partitionBy("h")
-    shared = rows.withColumn("__low", F.min("node").over(by)).withColumn("__high", F.max("node").over(by)).where(F.col("__low") != F.col("__high"))
-    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    return sets.drop("common").join(counts, "node").where(5 * F.col("common") >= 4 * F.col("n"))
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)))
 
 
 def _bands() -> np.ndarray:
@@ -174,107 +216,124 @@ def folded(mark: bytes, size: int) -> np.ndarray:
     return out
 
 
-def _may_link(n: int, m: int, common: int, more: int, x: bytes, y: bytes) -> bool:
-    """The exact bounds on a pair: shared shingles of either, and the sketches' distance."""
-    size = min(len(x), len(y))
-    return 9 * min(common, more) >= 4 * (n + m) and 9 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n + m
+def brief_size(n: int) -> int:
+    """Bytes of the sketch that tells most sets of n from others: 0.6 to 1.2 bits for each shingle, 8 at least."""
+    return max(8, (1 << (6 * n // 10).bit_length()) // 8)
 
 
-def _signed(sets: DataFrame) -> DataFrame:
-    """sig, node: the signatures of each set."""
+def _folded_int(mark: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        mark = (mark & ((1 << bits) - 1)) ^ (mark >> bits)
+    return mark
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, nodes = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            for start in range(0, batch.num_rows, 200):
-                stop = min(start + 200, batch.num_rows)
-                made = [signatures(values[at[i] : at[i + 1]]) for i in range(start, stop)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat(nodes[start:stop], [len(x) for x in made]))], names=["sig", "node"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "sig long, node long")
+def _may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """The exact bounds on a pair: sizes, and the sketches' distance."""
+    size = min(len(x), len(y))
+    return 5 * min(n, m) >= 4 * max(n, m) and 9 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n + m
+
 
+def _signed(sets: DataFrame) -> DataFrame:
+    """sig, node, low, many: members of groups of one signature, the least of them, and their number.
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            marks = [sketch(values[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary())], names=["node", "n", "common", "sketch"])
+    Groups of the same members are one group: near copies share hundreds of signatures. Members that a collision of
+    groups' hashes adds are only more to compare.
+    """
+    group = Window.partitionBy("sig")
+    rows = sets.select(F.explode("sigs").alias("sig"), "node").repartition("sig")
+    rows = rows.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group), "all": F.bit_xor(F.xxhash64("node")).over(group), "many": F.count(F.lit(1)).over(group)})
+    return rows.where(F.col("low") != F.col("high")).select(F.xxhash64("all", "many", "low", "high").alias("sig"), "node", "low", "many").distinct()
 
-    return sets.select("node", "n", "common", "shingles").mapInArrow(run, "node long, n long, common long, sketch binary")
 
+def _crossing(signed: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """sig, i, j, block, node, label, n, brief: members of groups that still hold several components.
 
-def _near(x: tuple, y: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of two blocks (node, label, n, common, sketch words) that no bound excludes."""
-    for i in range(len(x[0])):
-        total = x[2][i] + y[2]
-        ok = (x[1][i] != y[1]) & (9 * np.minimum(x[3][i], y[3]) >= 4 * total)
-        at = np.flatnonzero(ok)
+    The least member has been compared with all others, so the components of the others count. A group of more than
+    GROUP members is dealt into blocks; each two blocks, and each one with itself, are a task of their own, so no task
+    holds more than 2 * GROUP members or so.
+    """
+    group = Window.partitionBy("sig")
+    marked = signed.where((F.col("many") > 2) & (F.col("node") != F.col("low"))).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    still = marked.withColumn("__low", F.min("label").over(group)).withColumn("__high", F.max("label").over(group)).where(F.col("__low") != F.col("__high"))
+    blocks = F.ceil(F.col("many") / GROUP).cast("int")
+    still = still.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    still = still.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+    return still.join(sets.select("node", "n", "brief"), "node").select("sig", "i", "j", "block", "node", "label", "n", "brief")
+
+
+def near(rows: list[tuple], between: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes of different labels that no bound excludes. rows: block, node, label, n, sketch; `between`: of
+    different blocks only."""
+    if len(rows) < 48:
+        whole = [(block, node, label, n, int.from_bytes(x, "big"), 8 * len(x)) for block, node, label, n, x in rows]
+        for i, (block, a, label, n, x, bits) in enumerate(whole):
+            for other, b, its, m, y, its_bits in whole[i + 1 :]:
+                if label == its or 5 * min(n, m) < 4 * max(n, m) or (between and block == other):
+                    continue
+                size = min(bits, its_bits)
+                if 9 * (_folded_int(x, bits, size) ^ _folded_int(y, its_bits, size)).bit_count() <= n + m:
+                    yield min(a, b), max(a, b)
+        return
+    size = min(len(row[-1]) for row in rows)
+    block, node, label, n = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+    marks = np.stack([folded(row[-1], size) for row in rows]).view(np.uint64)
+    for i in range(len(rows) - 1):
+        total = n[i] + n[i + 1 :]
+        ok = (label[i + 1 :] != label[i]) & (9 * np.minimum(n[i + 1 :], n[i]) >= 4 * total)
+        if between:
+            ok &= block[i + 1 :] != block[i]
+        at = i + 1 + np.flatnonzero(ok)
         if len(at):
-            differ = np.bitwise_count(x[4][i] ^ y[4][at]).sum(axis=1, dtype=np.int64)
-            at = at[9 * differ <= total[at]]
-            if len(at):
-                yield np.full(len(at), x[0][i]), y[0][at]
+            differ = np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64)
+            for b in node[at[9 * differ <= total[at - i - 1]]].tolist():
+                yield min(int(node[i]), b), max(int(node[i]), b)
 
 
 def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of a group's members in different components that may link. rows are sorted by group.
-
-    A group beyond BLOCK members is compared block by block; a task keeps its rows of 150 bytes, no pairs.
-    """
-
-    def blocks(group: list[tuple]) -> list[tuple]:
-        out, size = [], min(len(row[-1]) for row in group)
-        for at in range(0, len(group), BLOCK):
-            node, label, n, common, marks = zip(*group[at : at + BLOCK], strict=True)
-            out.append((np.array(node), np.array(label), np.array(n), np.array(common), np.stack([folded(m, size) for m in marks]).view(np.uint64)))
-        return out
+    """a, b: pairs of members in different components that may link; more than once, maybe. rows are sorted by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         last, group = None, []
 
-        def close() -> None:
-            made = blocks(group)
-            for i, x in enumerate(made):
-                for y in made[i:]:
-                    for a, b in _near(x, y):
-                        found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-
         def emit() -> pa.RecordBatch:
             a, b = zip(*found, strict=True) if found else ((), ())
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for sig, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sig != last and group:
-                    close()
+        def close() -> Iterator[pa.RecordBatch]:
+            for pair in near(group, last[1] != last[2]):
+                found.add(pair)
+                if len(found) >= PAIRS:
+                    yield emit()
+
+        for batch in slices(batches, "brief"):
+            for sig, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (sig, i, j) != last and group:
+                    yield from close()
                     group = []
-                    if len(found) > 500_000:
-                        yield emit()
-                        found = set()
-                last = sig
+                last = (sig, i, j)
                 group.append(tuple(row))
         if group:
-            close()
+            yield from close()
         yield emit()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b that no bound excludes: their sketches move, not their sets."""
-    side = lambda name: marks.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "common", "sketch")])
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "sketch_a"):
             columns = [c.to_pylist() for c in batch.columns[2:]]
-            keep = [_may_link(n, m, c, d, x, y) for n, c, x, m, d, y in zip(*columns, strict=True)]
+            keep = [_may_link(n, m, x, y) for n, x, m, y in zip(*columns, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "common_a", "sketch_a", "n_b", "common_b", "sketch_b")
+    both = pairs.join(side("a"), "a").join(side("b").select("b", "n_b"), "b").where(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    both = both.join(side("b").select("b", "sketch_b"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -289,7 +348,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each component, for nodes with edges; by alternating large and small stars.
 
-    Each round writes its edges to the shared folder. Rounds grow with the logarithm of a component's size.
+    Each round writes its edges to the shared folder and takes away those of the round before. Rounds grow with the
+    logarithm of a component's size.
     """
     current, before = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     while True:
@@ -299,56 +359,55 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).where(F.col("a") != F.col("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
-        current = stored(small, "edges")
+        made = stored(small, "edges")
+        discard(current)
+        current = made
         state = current.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
     nodes = current.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
-    return nodes.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    labels = stored(nodes.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "labels")
+    discard(current)
+    return labels
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id.
 
-    Texts without words, and null texts, have no shingles and are components of their own. Equal sets are in one
-    component, repeated rows too. component_id is the least id reached; a null id links with nothing but the rows of
-    equal sets, whose least id it gets (null if none has one). Ids are whole numbers. An empty table gives no rows.
+    Texts without words, and null texts, have no shingles and are components of their own. Very long texts are hashed
+    part by part and compared whole. Equal sets are in one component, repeated rows too; ties go to the least id. A
+    null id links with nothing but the rows of equal sets, whose least id it gets (null if none has one). Ids are whole
+    numbers. An empty table gives no rows. Other columns of docs, whatever their names, are not looked at.
     """
+    docs = docs.select(key, text)
     profile = stored(_profile(docs, text, key), "profile")
-    classes = profile.where(F.col("n") > 0).groupBy("cls", "n").agg(F.min(F.col(key).cast("long")).alias("least"), F.first("probed").alias("probed"))
-    same = Window.partitionBy("h")
-    rows = _probe_rows(docs, text).repartition("h").withColumn("__low", F.min("cls").over(same)).withColumn("__high", F.max("cls").over(same))
-    shared = rows.where((F.col("__low") != F.col("__high")) & F.col("counts")).select("h", "cls", "n").distinct().groupBy("cls", "n").agg(F.count(F.lit(1)).alias("common"))
-    alive = classes.join(shared, ["cls", "n"], "left").where(F.col("least").isNotNull())
-    alive = stored(alive.where(5 * (F.col("probed") - F.coalesce("common", F.lit(0))) <= F.col("n")).select("cls", "n", "least"), "alive")
-    ids = alive.select(F.col("least").alias(key)).distinct()
-    if alive.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = _sets(docs.join(ids, key, "left_semi"), text).dropDuplicates(["cls", "n"]).join(alive.select("cls", "n"), ["cls", "n"], "left_semi")
-    sets = sets.select(F.xxhash64("cls", "n").alias("node"), "n", "shingles")
-    sets = stored(_peeled(stored(sets, "sets")), "sets")
-    sets = stored(_peeled(sets), "sets")
-    group = Window.partitionBy("sig")
-    signed = _signed(sets).repartition("sig").withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    # Groups of the same members are one group: near copies share hundreds of signatures. Members that a collision
-    # adds are only more to compare.
-    members = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(group), F.count(F.lit(1)).over(group), "low", "high")
-    signed = signed.withColumn("members", members).where(F.col("low") != F.col("high"))
-    signed = stored(signed.select(F.col("members").alias("sig"), "node", "low").distinct(), "signed")
+    classes, alive = _alive(profile, docs, text)
+    sets = _sets(docs, text, key, alive)
+    signed = stored(_signed(sets), "signed")
     star = signed.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    marks = stored(_sketches(sets), "sketches")
-    links = stored(_linked(_plausible(star, marks), sets), "links")
+    links = stored(_linked(stored(_plausible(star, sets), "pairs"), sets), "links")
     labels = components(links)
-    marked = signed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    still = marked.withColumn("__low", F.min("label").over(group)).withColumn("__high", F.max("label").over(group)).where(F.col("__low") != F.col("__high")).select("sig", "node", "label")
-    still = still.join(marks, "node").select("sig", "node", "label", "n", "common", "sketch")
-    cross = _cross_pairs(still.repartition("sig").sortWithinPartitions("sig")).distinct()
-    more = stored(_linked(cross, sets), "links")
-    labels = components(links.unionByName(more))
-    found = alive.select("cls", "n", "least", F.xxhash64("cls", "n").alias("node")).join(labels, "node")
+    close = stored(_cross_pairs(_crossing(signed, labels, sets)), "pairs")
+    pairs = stored(_plausible(close, sets), "pairs")
+    discard(signed, close)
+    more = _linked(pairs, sets)
+    # Components of components: only their labels take part.
+    named = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    more = more.join(named, "a", "left").join(named.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    upper = components(more)
+    discard(sets, links, pairs)
+    nodes = labels.unionByName(upper).groupBy("node").agg(F.min("label").alias("label"))
+    top = nodes.join(upper.toDF("label", "top"), "label", "left").select(F.col("node").alias("cls"), F.coalesce("top", "label").alias("label"))
+    found = alive.join(top, "cls").select("cls", "n", "least", "label")
     ids = found.groupBy("label").agg(F.min("least").alias("component"))
     linked = found.join(ids, "label").select("cls", "n", "component")
-    by_class = classes.join(linked, ["cls", "n"], "left").select("cls", "n", F.coalesce("component", "least").alias("component"))
-    out = profile.join(by_class, ["cls", "n"], "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key).cast("long")).otherwise(F.col("component")).alias("component_id"))
+    answers = classes.join(linked, ["cls", "n"], "left").select("cls", "n", "docs", F.col("least").alias("own"), F.coalesce("component", "least").alias("component"))
+    # A class of one document that has no partner is its own answer. The rest is a table of its own, so that the join
+    # with a class of a third of all documents can be split.
+    answers = stored(answers.where((F.col("docs") > 1) | (F.col("own") != F.col("component"))).select("cls", "n", "component"), "answers")
+    discard(classes, alive, labels, upper)
+    own = F.col("__key").cast("long")
+    out = profile.join(_sent(answers.withColumn("__known", F.lit(True))), ["cls", "n"], "left")
+    component = F.when((F.col("n") == 0) | F.col("__known").isNull(), own).otherwise(F.col("component"))
+    return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
