@@ -217,8 +217,9 @@ def folded(mark: bytes, size: int) -> np.ndarray:
 
 
 def brief_size(n: int) -> int:
-    """Bytes of the sketch that tells most sets of n from others: 0.6 to 1.2 bits for each shingle, 8 at least."""
-    return max(8, (1 << (6 * n // 10).bit_length()) // 8)
+    """Bytes of the sketch that moves with each group of a set of n: one to two bits for each shingle, 512 at least.
+    Near copies below the threshold are told apart by it as well, not only sets that share a passage."""
+    return max(64, (1 << n.bit_length()) // 8)
 
 
 def _folded_int(mark: int, bits: int, to: int) -> int:
