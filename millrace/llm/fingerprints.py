@@ -20,8 +20,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _LETTERS = np.frombuffer(ALPHABET.encode(), dtype=np.uint8)
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
-#: Rows and bytes of text that one bucket of neighbours should have about.
-ROWS_PER_BUCKET = 20_000
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
@@ -39,14 +37,16 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 
 def _signature(hashes: np.ndarray, block: int) -> str:
     """A character for each piece. A piece ends where the rolling hash hits the block size; its character comes from
-    the sum of the mixed rolling hashes in it, so it depends on the piece and the few bytes before it only."""
+    the sum of the mixed rolling hashes in it, each times an odd number of its place in the piece, so it depends on the
+    piece, its order, and the few bytes before it only."""
     n = len(hashes)
     ends = np.flatnonzero(hashes % np.uint32(block) == block - 1) + 1
     starts = np.concatenate([[0], ends])
     if starts[-1] == n:
         starts = starts[:-1]
     mixed = (hashes ^ (hashes >> np.uint32(13))) * np.uint32(0x5BD1E995)
-    sums = np.add.reduceat(mixed, starts, dtype=np.uint32)
+    place = np.arange(n, dtype=np.uint32) - np.repeat(starts, np.diff(np.append(starts, n))).astype(np.uint32)
+    sums = np.add.reduceat(mixed * (place * np.uint32(2) + np.uint32(1)), starts, dtype=np.uint32)
     sums ^= sums >> np.uint32(16)
     sums *= np.uint32(0x9E3779B1)
     return _LETTERS[sums >> np.uint32(26)].tobytes().decode()
@@ -123,46 +123,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """__bucket, doc_id, __text, __guest: documents in buckets of consecutive ids, in the order a task reads them.
+def _cuts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Ids that part the rows into about equal buckets. Any ids would do; they only balance the work."""
+    if buckets < 2:
+        return np.zeros(0, dtype=np.int64)
+    found = docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    return np.array(sorted({int(x) for x in found}), dtype=np.int64)
 
-    Rows are dealt by ranges of doc_id, a text once. The first row of a bucket also goes, as a guest, to the bucket
-    before it, whose last row it follows; the last bucket gets the first row of all. Equal ids follow each other in
-    order of their texts, nulls come last.
+
+def bucket_of(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """Descending ids in ascending buckets; null ids in the last one."""
+    down = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts), down).astype(np.int32)
+
+
+def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
+    """__bucket, __guest, doc_id, __text: documents in buckets of consecutive ids, a text once.
+
+    The first row of a bucket also goes, as a guest, to the bucket before it, whose last row it follows; the last
+    bucket gets the first row of all. Equal ids follow each other in order of their texts, nulls come last. The driver
+    holds one id for each bucket; a row finds its bucket by binary search.
     """
-    keyed = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("__text"), (-F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))).alias("__key"))
-    keys = keyed.select("__key")
-    rows = keys.count()
-    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
-    cuts = sorted(set(keys.where(F.col("__key") < float("inf")).approxQuantile("__key", [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    found = F.lit(0)
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    if bounds is not None:
-        found = F.size(F.filter(bounds, lambda c: c <= F.col("__key")))
-    dealt = keyed.withColumn("__bucket", found.cast("int"))
-    # One row a bucket: its first key. Which bucket comes before it is worked out on the driver.
-    firsts = sorted((r[0], r[1]) for r in dealt.groupBy("__bucket").agg(F.min("__key")).collect())
-    own = dealt.withColumn("__guest", F.lit(False))
-    if not firsts:
-        return own
-    before = {k: firsts[i - 1][0] for i, (k, _) in enumerate(firsts)}  # the first's is the last, around the end
-    plan = F.create_map(*[F.lit(x) for k, low in firsts for x in (k, float(low))])
-    previous = F.create_map(*[F.lit(x) for k, b in before.items() for x in (k, b)])
-    guests = dealt.where(F.col("__key") == plan[F.col("__bucket")]).withColumns({"__bucket": previous[F.col("__bucket")], "__guest": F.lit(True)})
-    return own.unionByName(guests)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("__text"))
+    cuts = _cuts(rows, buckets)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0), cuts)), batch.column(0)], names=["b", "i"])
+
+    first = {r.b: r.i for r in rows.select("doc_id").mapInArrow(places, "b int, i long").groupBy("b").agg(F.max("i").alias("i")).collect()}
+    order = sorted(first)
+    before = {b: order[at - 1] for at, b in enumerate(order)}  # the first's is the last, around the end
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text", 16 << 20):
+            own = bucket_of(batch.column(0), cuts)
+            lead = [at for at, (b, i) in enumerate(zip(own.tolist(), batch.column(0).to_pylist(), strict=True)) if i == first[b]]
+            for where, guest in ((slice(None), False), (lead, True)):
+                part = batch.take(pa.array(lead, pa.int64())) if guest else batch
+                bucket = np.array([before[b] for b in own[where].tolist()], dtype=np.int32) if guest else own
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(part.num_rows, guest)), *part.columns], names=["__bucket", "__guest", "doc_id", "__text"])
+
+    return rows.mapInArrow(deal, "__bucket int, __guest boolean, doc_id long, __text string")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """One row per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one of the next lower doc_id, after the last the first; equal ids follow each other in
-    order of text, null ids come last. A table of one row is followed by itself. Null texts act as empty ones. Rows
-    are shuffled once by bucket; a task keeps one row and its Arrow batch.
+    order of text, null ids come last. A table of one row is followed by itself, an empty one gives no rows. Null texts
+    act as empty ones; very long ones are hashed whole. Ids are whole numbers. Other columns of docs are not looked at.
+    Rows are shuffled once, a bucket of consecutive ids to each of spark.sql.shuffle.partitions tasks; a task keeps one
+    row and its Arrow batch.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    near = neighbours(docs)
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = near.repartition(partitions, "__bucket").sortWithinPartitions("__bucket", "__guest", "__key", "__text").select("__bucket", "__guest", "doc_id", "__text")
+    kind = "bigint"
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    near = neighbours(docs, buckets).repartitionById(buckets, F.col("__bucket"))
+    ordered = near.sortWithinPartitions("__bucket", "__guest", F.col("doc_id").desc_nulls_last(), "__text")
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
