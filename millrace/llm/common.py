@@ -73,8 +73,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with at most max_bytes of the named text column each, one row at least.
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, index: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most max_bytes of the named (or numbered) text column each, one row at least.
 
     Python objects of one part are alive at a time, so long texts don't add up in a worker.
     """
@@ -84,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         n = batch.num_rows
         if not n:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(batch.schema.get_field_index(column) if index is None else index)
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)), dtype=np.int64)
         start, before = 0, 0
         while start < n:

@@ -373,13 +373,29 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def with_set_key(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the column `set_key` of `join`'s detail; a column of docs that has this name goes."""
+    names = [c for c in docs.columns if c != "set_key"]
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            keys = [set_key(shingle_set(t)) for t in part.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=[*names, "set_key"])
+
+    return docs.select(*names).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", set_key long")
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", detail: bool = False) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id.
 
     Texts without words, and null texts, have no shingles and are components of their own. Very long texts are hashed
     part by part and compared whole. Equal sets are in one component, repeated rows too; ties go to the least id. A
     null id links with nothing but the rows of equal sets, whose least id it gets (null if none has one). Ids are whole
     numbers. An empty table gives no rows. Other columns of docs, whatever their names, are not looked at.
+
+    With `detail` also set_key, equal for equal sets, and `first`: whether the row's set is the one that stands for its
+    component, one of those that have the least id. Where ids repeat, id and set_key tell rows of different sets apart.
     """
     docs = docs.select(key, text)
     profile = stored(_profile(docs, text, key), "profile")
@@ -401,14 +417,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     nodes = labels.unionByName(upper).groupBy("node").agg(F.min("label").alias("label"))
     top = nodes.join(upper.toDF("label", "top"), "label", "left").select(F.col("node").alias("cls"), F.coalesce("top", "label").alias("label"))
     found = alive.join(top, "cls").select("cls", "n", "least", "label")
-    ids = found.groupBy("label").agg(F.min("least").alias("component"))
-    linked = found.join(ids, "label").select("cls", "n", "component")
-    answers = classes.join(linked, ["cls", "n"], "left").select("cls", "n", "docs", F.col("least").alias("own"), F.coalesce("component", "least").alias("component"))
+    ids = found.groupBy("label").agg(F.min(F.struct("least", "cls")).alias("first"))
+    linked = found.join(ids, "label").select("cls", "n", F.col("first.least").alias("component"), (F.col("first.cls") == F.col("cls")).alias("first"))
+    answers = classes.join(linked, ["cls", "n"], "left").select("cls", "n", "docs", F.col("least").alias("own"), F.coalesce("component", "least").alias("component"), F.coalesce("first", F.lit(True)).alias("first"))
     # A class of one document that has no partner is its own answer. The rest is a table of its own, so that the join
     # with a class of a third of all documents can be split.
-    answers = stored(answers.where((F.col("docs") > 1) | (F.col("own") != F.col("component"))).select("cls", "n", "component"), "answers")
+    answers = stored(answers.where((F.col("docs") > 1) | (F.col("own") != F.col("component")) | ~F.col("first")).select("cls", "n", "component", "first"), "answers")
     discard(classes, alive, labels, upper)
     own = F.col("__key").cast("long")
     out = profile.join(_sent(answers.withColumn("__known", F.lit(True))), ["cls", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("__known").isNull(), own).otherwise(F.col("component"))
-    return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    more = [F.col("cls").alias("set_key"), F.coalesce("first", F.lit(True)).alias("first")] if detail else []
+    return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), *more)

@@ -20,7 +20,7 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 #: Bytes whose n-grams are looked up at once.
 CHUNK = 1 << 19
-#: Bound of the training sample: documents of each language, and the longest of them in characters.
+#: Bound of the training sample: documents of each language, and the characters that are taken of each.
 SAMPLE_PER_LANG, SAMPLE_CHARS = 800, 20_000
 #: The nearest two codewords' losses closer than this share of the larger: ambiguous.
 AMBIGUOUS = 0.05
@@ -135,12 +135,12 @@ def train(texts: list[str], langs: list[str]) -> LanguageCoder:
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG, max_chars: int = SAMPLE_CHARS) -> LanguageCoder:
-    """Learns from about per_lang usable rows of each language, at most twice as many, of up to max_chars characters.
+    """Learns from about per_lang usable rows of each language, at most twice as many, up to max_chars characters each.
 
     The rows are those whose key hashes lowest, so the sample is the same at every run. The counts come from one
     narrow scan, the sample from another; only the sample reaches the driver.
     """
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars) & (F.length(text) > 0))
+    rows = docs.where(usable & F.col(lang).isNotNull() & (F.length(text) > 0))
     totals = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not totals:
         return train([], [])
@@ -148,19 +148,26 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     rate = F.lit(0.0)
     for name, n in sorted(totals.items()):
         rate = F.when(F.col(lang) == name, min(1.0, per_lang / n)).otherwise(rate)
-    sample = rows.where(draw < rate).select(F.col(lang).alias("l"), F.col(text).alias("t"), draw.alias("d")).orderBy("d", "t").limit(2 * per_lang * len(totals)).collect()
+    sample = rows.where(draw < rate).select(F.col(lang).alias("l"), F.substring(text, 1, max_chars).alias("t"), draw.alias("d")).orderBy("d", "t").limit(2 * per_lang * len(totals)).collect()
     return train([r.t for r in sample], [r.l for r in sample])
 
 
 def predict(docs: DataFrame, model: LanguageCoder, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, lang_pred, score, ambiguous, margin for every whole text. A map over Arrow batches, without a shuffle."""
+    """keep, lang_pred, score, ambiguous, margin for every whole text. A map over Arrow batches, without a shuffle.
+
+    A null text, and one without letters, the empty one too, is `und` with score 0, ambiguous, margin 0. Very long
+    texts are read part by part to their end. Ties go to the language first in order. Repeated rows get equal answers;
+    an empty table gives no rows. A kept column that is called like one of the four results goes: the result has the
+    name. Other columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", lang_pred string, score double, ambiguous boolean, margin double"
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score", "ambiguous", "margin"))
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keep) + "lang_pred string, score double, ambiguous boolean, margin double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", index=len(keep)):
             found = [own.predict(t) for t in part.column(len(keep)).to_pylist()]
             lang, score, odd, margin = zip(*found, strict=True)
             arrays = [*(part.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(odd, pa.bool_()), pa.array(margin, pa.float64())]

@@ -13,6 +13,8 @@ from millrace.llm.common import stored
 RATIO, LEAST_PAGES = 0.05, 3
 #: Boilerplate lines (8 bytes each) that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: Tasks that a host's pages go to where its lines are joined by a shuffle.
+SALTS = 64
 
 
 def _line_hash(line: Column) -> Column:
@@ -42,20 +44,30 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float =
 def clean(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """pages with `__kept`, the text without its host's boilerplate lines, and `__dropped`, how many went.
 
-    A null text stays null and drops nothing; a text all of whose lines go becomes empty. A host's boilerplate lines
-    are at most its mean number of lines a page / ratio, so they fit into one array beside its pages. Texts don't
-    move, unless the arrays of all hosts are too many to send.
+    A null text stays null and drops nothing; a text all of whose lines go becomes empty. Repeated rows are pages of
+    their own (one with `copies_once`) and give equal rows; an empty table gives no rows. Columns of pages pass,
+    whatever their names, but for such as are called `__kept` or `__dropped`: the results have these names.
+
+    A host's boilerplate lines are at most its mean number of lines a page / ratio, so they fit into one array beside
+    its pages. Texts don't move, unless the arrays of all hosts are too many to send; then a host's pages are dealt to
+    SALTS tasks, each with a copy of its array.
     """
+    names = [c for c in pages.columns if c not in ("__kept", "__dropped")]
+    plain = {c: f"__p{i}" for i, c in enumerate(names)}
     bad = stored(boilerplate(pages, host, text, ratio, least_pages, copies_once), "boilerplate")
     by_host = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__bad"))
+    rows = pages.select(*[F.col(c).alias(p) for c, p in plain.items()])
+    rows = rows.withColumn("__host", F.coalesce(F.col(plain[host]).cast("string"), F.lit("")))
+    body = plain[text]
     if bad.count() <= BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
-    joined = pages.join(by_host, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__host"), "left")
-    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains("__bad", _line_hash(x)))
-    joined = joined.withColumn("__lines", F.when(F.col("__bad").isNull(), _lines(text)).otherwise(kept))
-    joined = joined.withColumn("__dropped", F.coalesce(F.size(_lines(text)) - F.size("__lines"), F.lit(0)))
-    joined = joined.withColumn("__dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("__dropped")))
-    return joined.withColumn("__kept", F.array_join("__lines", "\n")).drop("__host", "__bad", "__lines")
+        joined = rows.join(F.broadcast(by_host), "__host", "left")
+    else:
+        by_host = by_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("__salt", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int")).join(by_host, ["__host", "__salt"], "left")
+    kept = F.filter(_lines(body), lambda x: (F.trim(x) == "") | ~F.array_contains("__bad", _line_hash(x)))
+    joined = joined.withColumn("__lines", F.when(F.col("__bad").isNull(), _lines(body)).otherwise(kept))
+    dropped = F.when(F.col(body).isNull(), 0).otherwise(F.coalesce(F.size(_lines(body)) - F.size("__lines"), F.lit(0)))
+    return joined.select(*[F.col(p).alias(c) for c, p in plain.items()], F.array_join("__lines", "\n").alias("__kept"), dropped.alias("__dropped"))
 
 
 def report(pages: DataFrame, key: str, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:

@@ -19,7 +19,7 @@ CHUNK = 128
 HALF = CHUNK // 2
 #: Bytes that go through the network at once.
 BLOCK = 1 << 20
-#: Bound of the training sample: rows, and the longest text in characters. Chunks of a document that one step uses.
+#: Bound of the training sample: rows, and the characters that are taken of each. Chunks of a document that one step uses.
 SAMPLE_ROWS, SAMPLE_CHARS, STEP_CHUNKS = 3000, 20_000, 6
 EPOCHS, BATCH, RATE = 6, 64, 4e-3
 
@@ -162,27 +162,32 @@ def _refit_head(model: ByteCnn, pairs: list, share: float) -> ByteCnn:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> ByteCnn:
-    """Learns from at most `rows` labelled rows of up to max_chars characters: those whose key hashes lowest.
+    """Learns from at most `rows` labelled rows, up to max_chars characters each: those whose key hashes lowest.
 
     Keys are chosen in the narrow table of labels first, so texts of other rows are never shuffled. Rows without
     label or text are not used; of a key with several labels the largest counts.
     """
     draw = F.md5(F.concat_ws(":", F.lit("sample"), F.col(key).cast("string")).cast("binary"))
     chosen = labels.where(usable & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y")).withColumn("__d", draw).orderBy("__d").limit(rows)
-    texts = docs.where(usable & F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(key, F.col(text).alias("__t"))
+    texts = docs.where(usable & F.col(text).isNotNull()).select(key, F.substring(text, 1, max_chars).alias("__t"))
     sample = texts.join(F.broadcast(chosen), key).orderBy("__d", "__t").limit(2 * rows).collect()  # chosen has `rows` rows at most
     return train([r["__t"].encode("utf-8", "replace") for r in sample], [r["__y"] for r in sample])
 
 
 def predict(docs: DataFrame, model: ByteCnn, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score for every whole text; null and empty texts get the share of label 1. A map without a shuffle."""
+    """keep and score for every whole text; null and empty texts get the share of label 1. A map without a shuffle.
+
+    Very long texts go through the network part by part to their end. Repeated rows get equal scores; an empty table
+    gives no rows. A kept column that is called `score` goes: the result has the name. Others are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
+    keep = tuple(k for k in keep if k != "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", index=len(keep)):
             scores = [own.score(t.encode("utf-8", "replace")) for t in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text")).mapInArrow(run, "".join(f"`{k}` {kinds[k]}, " for k in keep) + "score double")

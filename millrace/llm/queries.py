@@ -13,18 +13,38 @@ QUALITY_THRESHOLD = 0.7
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every whole text and its decoding: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text acts as the empty one (no tokens, digests of no bytes); very long texts are whole; repeated rows get a
+    row each; an empty table gives none; other columns are not looked at.
+    """
     return bpe.roundtrip(table(spark, sf_dir, "documents"), bpe.public_model())
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that it leaks: doc_id, item_id, score, question_overlap, answer_overlap.
+
+    Null and empty texts and items without words leak nothing; very long texts are searched whole; several items of a
+    document are rows of their own, repeated rows repeat theirs; an empty table or benchmark gives no rows.
+    """
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's lines, how many went as its host's boilerplate, and the digest of the rest; a source is a host.
+
+    A null text has 0 lines and a null digest, an empty one a single blank line that stays; a null source is a host of
+    its own; a line repeated in a page counts once; repeated rows are pages; an empty table gives no rows.
+    """
     return line_dedup.report(table(spark, sf_dir, "documents"), "doc_id", "source")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text: doc_id, held_out, lang_pred, score, ambiguous, margin.
+
+    `und` with score 0 for null texts and texts without letters; ties go to the language first in order; very long
+    texts are read to their end; repeated rows get equal rows; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~held_out())
     out = langid.predict(docs, model).withColumn("held_out", held_out())
@@ -32,6 +52,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text: doc_id, held_out, score, predicted.
+
+    Null and empty texts score the share of label 1 among the training rows; very long texts are read to their end; of
+    several labels of a document the largest counts; repeated rows get equal rows; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents")
     model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
     predicted = F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0)
@@ -39,23 +64,48 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths with its suffix sums.
+
+    Null and empty texts have length 0; very long ones a row of their own length; repeated rows count each; documents
+    of one length are one row; an empty table gives no rows.
+    """
     lengths = bpe.lengths(table(spark, sf_dir, "documents"), bpe.public_model())
     return token_counts.suffix_table(stored(token_counts.histogram(lengths), "lengths"))  # a few rows, used twice
 
 
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document under the law `key`.
+
+    A null text has size 16 and the checksum of no bytes; a null id has a shard as any other; repeated rows get slots
+    of their own; an empty table gives no rows.
+    """
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of shingles and component: doc_id, n_shingles, component_id.
+
+    Documents without words are components of their own; equal texts and repeated rows share one; very long texts are
+    compared whole; a null id links with nothing but equal sets; an empty table gives no rows.
+    """
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
 def op9_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text, of its edited text, and their likeness.
+
+    Null texts act as empty ones; equal ids follow each other in order of text, null ids come last; a table of one row
+    is followed by itself; an empty one gives no rows.
+    """
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every whole text: counts and digest of the base spans, and all spans.
+
+    Null and empty texts have none: counts 0, the digest of the empty text; repeated rows get a row each, and their
+    copies count for ownership once for each owner; an empty table gives no rows.
+    """
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
