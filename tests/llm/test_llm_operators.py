@@ -218,6 +218,47 @@ def test_language_of_held_out_rows(spark, docs):
     assert (got.lang == got.lang_pred)[got.held_out].mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_decoding_by_plain_loops(spark, frame):
+    import math
+
+    model = langid.train(list(frame.text[:120]), list(frame.lang[:120]))
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(frame[["doc_id", "text"]]), model).collect()}
+    for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
+        if len(text) > 2000 or not any(map(str.isalpha, text)):
+            continue
+        data = langid.folded(text).tobytes()
+        sums, n = [0.0] * model.code.shape[1], 0
+        for order in langid.ORDERS:
+            for at in range(len(data) - order + 1):
+                h = order * 0x632BE5AB & 0xFFFFFFFF
+                for byte, by in zip(data[at : at + order], (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F), strict=False):
+                    h = (h ^ byte) * by & 0xFFFFFFFF
+                    h ^= h >> 15
+                sums = [s + float(x) for s, x in zip(sums, model.table[h & (langid.BUCKETS - 1)], strict=True)]
+                n += 1
+        bits = [s / n * float(k) for s, k in zip(sums, model.scale, strict=True)]
+        losses = [sum(float(w) * math.log1p(math.exp(-float(c) * b)) for w, c, b in zip(model.loss_weight, row, bits, strict=True)) for row in model.code]
+        best, second = sorted(losses)[:2]
+        assert got[doc_id].lang_pred == model.langs[losses.index(best)] and abs(got[doc_id].margin - (second - best) / second) < 1e-6
+        assert got[doc_id].ambiguous == (got[doc_id].margin < langid.AMBIGUOUS)
+
+
+def test_network_by_plain_loops():
+    rng = np.random.default_rng(5)
+    model = quality_cnn.train([bytes(rng.integers(97, 123, 700, dtype=np.uint8)) for _ in range(8)], [0, 1] * 4, epochs=1)
+    for size in (1, 100, 128, 300, 701):
+        text = bytes(rng.integers(97, 123, size, dtype=np.uint8))
+        halves = -(-size // 128)
+        data = text + bytes(halves * 128 + 6 - size)
+        response = lambda p, f, data=data: max(0.0, float(model.bias[f]) + sum(float(model.embed[data[2 * p + w], e]) * float(model.kernel[w * 8 + e, f]) for w in range(8) for e in range(8)))
+        features = []
+        for f in range(quality_cnn.FILTERS):
+            best = [max(response(p, f) for p in range(64 * k, 64 * k + 64)) for k in range(halves)]
+            features.append([max(x) for x in zip(best, best[1:], strict=False)] or best)
+        z = model.offset + sum(float(model.head[f]) * np.mean(x) + float(model.head[quality_cnn.FILTERS + f]) * max(x) for f, x in enumerate(features))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_language_of_odd_rows(odd, empty):
     model = langid.fit(odd, F.lit(True))
     got = {(r.doc_id, r.lang_pred == "und") for r in langid.predict(odd, model).collect()}
@@ -343,6 +384,33 @@ def test_components_of_odd_rows(odd, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_blocks_of_a_large_group_find_the_same_pairs(spark, frame, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:40] + [f"e{i}-{j}" if rng.random() < 0.25 else w for j, w in enumerate(base[40:])])) for i in range(90)]
+    monkeypatch.setattr(jaccard_join, "GROUP", 8)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 4)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_pairs_by_plain_bounds():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 120, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[int(rng.integers(0, 25)) :], rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64)])) for _ in range(70)]
+    for many in (20, 70):
+        rows = [(i % 3, i, i % 7, len(s), jaccard_join.folded(jaccard_join.sketch(s), 64).tobytes()) for i, s in enumerate(sets[:many])]
+        for between in (False, True):
+            want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[2] != b[2] and not (between and a[0] == b[0]) and jaccard_join._may_link(a[3], b[3], a[4], b[4])}
+            assert set(jaccard_join.near(rows, between)) == want and want
+
+
+def test_shown_shingles_merge():
+    h, cls, state = jaccard_join.merged(np.array([5, 3, 5, 3, 9], dtype=np.uint64), np.array([1, 2, 4, 2, 6]), np.array([1, 0, 1, 1, 0], dtype=np.uint8))
+    assert list(zip(h.tolist(), cls.tolist(), state.tolist(), strict=True)) == [(3, 2, 1), (5, 1, 2), (9, 6, 0)]
+
+
 def test_shingles_of_long_texts_in_parts(monkeypatch):
     text = " ".join(f"w{i % 300}" for i in range(1000))
     whole = shingle_set(text)
@@ -353,8 +421,78 @@ def test_shingles_of_long_texts_in_parts(monkeypatch):
 # 9
 
 
-def test_fingerprints(spark, frame, monkeypatch):
-    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 30)
+def plain_fingerprint(data):
+    """Byte by byte, with Python's integers."""
+
+    def wrapped(x):
+        return x & 0xFFFFFFFF
+
+    def signature(block):
+        out, total, place = "", 0, 0
+        for i in range(len(data)):
+            h = 0
+            for j in range(i - 6, i + 1):
+                h = wrapped(h * 0x01000193 + (data[j] + 1 if j >= 0 else 0))
+            h = wrapped((h ^ (h >> 15)) * 0x2C1B3C6D)
+            h ^= h >> 12
+            total, place = wrapped(total + wrapped((h ^ (h >> 13)) * 0x5BD1E995) * (2 * place + 1)), place + 1
+            if h % block == block - 1 or i == len(data) - 1:
+                out += fingerprints.ALPHABET[wrapped((total ^ (total >> 16)) * 0x9E3779B1) >> 26]
+                total, place = 0, 0
+        return out
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}" if data else "3::"
+
+
+def plain_likeness(a, b):
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1]
+
+    def like(x, y):
+        if not x or not y:
+            return float(x == y)
+        run = max(1, min(7, min(len(x), len(y)) // 2))
+        if not any(x[i : i + run] in y for i in range(len(x) - run + 1)):
+            return 0.0
+        return 2 * common(x, y) / (len(x) + len(y))
+
+    (m, a1, a2), (n, b1, b2) = a.split(":"), b.split(":")
+    if a == b:
+        return 1.0
+    sides = [(x, y) for p, x in ((int(m), a1), (2 * int(m), a2)) for q, y in ((int(n), b1), (2 * int(n), b2)) if p == q and (x == a1 or x and y)]
+    return max([like(x, y) for x, y in sides], default=0.0)
+
+
+def test_fingerprints_by_plain_loops(spark, frame):
+    got = {r.doc_id: r for r in queries.op9_piecewise_fingerprints(spark, SMALL).collect()}
+    rows = sorted(zip(frame.doc_id, frame.text, strict=True), reverse=True)
+    seen = 0
+    for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        if len(text) + len(after) > 9000:
+            continue
+        changed, r, seen = fingerprints.edited(text, after), got[doc_id], seen + 1
+        own, edited, following = (plain_fingerprint(t.encode()) for t in (text, changed, after))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+        assert abs(r.near_edited - plain_likeness(own, edited)) < 1e-9 and abs(r.near_next - plain_likeness(own, following)) < 1e-9
+    assert seen > 100
+
+
+def test_next_of_ids_beyond_doubles(spark):
+    texts = ["first of them " * 9, "the second one " * 9, "and the third " * 9]
+    rows = [(2**53 + i, texts[i]) for i in range(3)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.edit_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: hashlib.sha256(fingerprints.edited(t, rows[at - 1][1]).encode()).hexdigest() for at, (i, t) in enumerate(rows)}
+
+
+def test_fingerprints(spark, frame):
     got = {r.doc_id: r for r in queries.op9_piecewise_fingerprints(spark, SMALL).collect()}
     rows = sorted(zip(frame.doc_id, frame.text, strict=True), reverse=True)
     for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
@@ -380,7 +518,6 @@ def test_edits_are_those_of_the_plain_recurrence():
 
 
 def test_fingerprints_of_odd_rows(odd, empty, monkeypatch):
-    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 3)
     got = fingerprints.edit_report(odd).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ODD)
     assert len({r.fingerprint for r in got if r.doc_id in (5, 6)}) == 1

@@ -87,3 +87,25 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SMALL)
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_rows_of_one_id_and_different_texts_stay(spark):
+    a, b = "one text of seven words or so", "quite another text with nothing in common"
+    rows = [(7, a, "en", "a", 0), (7, b, "en", "a", 0), (7, a, "en", "a", 0), (9, a, "en", "b", 0), (8, b + " there", "en", "b", 0), (7, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
+    assert got == sorted([(7, a), (7, b), (8, b + " there"), (7, "")])
+
+
+def test_clashing_columns_pass(spark):
+    names = ["score", "lang_pred", "ambiguous", "margin", "__bad", "__host", "__kept", "__dropped", "__text", "cls", "n", "set_key", "first", "component_id", "__c0", "__known", "host"]
+    rows = [(i, f"text {i} of a page\nwith words of its own like {i * i}", "en", "a", 0, *[f"{c}{i}" for c in names]) for i in range(6)]
+    rows.append((3, "a repeated id\nof another text", "en", "a", 0, *[f"{c}9" for c in names]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    want = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        if stage is not corpus_pipeline.drop_boilerplate:
+            assert docs.columns == want
+    assert docs.count() == 7 and {r.score for r in docs.collect()} == {f"score{i}" for i in (0, 1, 2, 3, 4, 5, 9)}
+    assert corpus_pipeline.byte_bpe(spark, docs, SMALL).count() == 7
