@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and runs on this machine alone (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/millrace"
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN = f"run-{uuid.uuid4().hex}"
 _MADE: set[str] = set()
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
@@ -64,6 +67,13 @@ def discard(*frames: DataFrame) -> None:
         _remove(frame.sparkSession, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, where the session has Spark's default: long texts by the ten thousand take
+    hundreds of megabytes outside the heap."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,7 +10,8 @@ most. The steps, each of which loses no link:
    by one element at most; each part into three, of which then two agree. Every pair of those three makes a signature.
 4. In each group of one signature every member is compared with the least one, and links are contracted.
 5. Groups that still hold several components compare the members of different ones, behind exact bounds (sizes, the
-   parity sketch's distance); what passes is compared as sets.
+   parity sketch's distance); what passes is compared as sets. A few of the groups first, whose links join most
+   components of near copies with few pairs; then all groups, with all pairs that are left.
 
 Sets are made once and written once, with their signatures and sketches; what a step has read for the last time goes.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, slices, stored
+from millrace.llm.common import discard, slices, small_batches, stored
 from millrace.llm.shingle_sets import mix, set_key, shingle_set
 
 #: Sets up to SMALL shingles show all of them in step 2; their partners, up to a quarter larger, do so as well.
@@ -39,6 +40,8 @@ SKETCH_LEAST, SKETCH_MOST = 10, 17
 GROUP = 2048
 #: Pairs that a task holds before they leave.
 PAIRS = 1 << 16
+#: One group of so many is looked at in the first pass over groups of several components.
+FIRST_PASS = 16
 #: Rows of ids that are sent to all executors at most (24 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -264,20 +267,21 @@ def _crossing(signed: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
 
 
 def near(rows: list[tuple], between: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes of different labels that no bound excludes. rows: block, node, label, n, sketch; `between`: of
-    different blocks only."""
+    """Places i < j of rows of different labels that no bound excludes. rows: block, node, label, n, sketch;
+    `between`: of different blocks only."""
     if len(rows) < 48:
-        whole = [(block, node, label, n, int.from_bytes(x, "big"), 8 * len(x)) for block, node, label, n, x in rows]
-        for i, (block, a, label, n, x, bits) in enumerate(whole):
-            for other, b, its, m, y, its_bits in whole[i + 1 :]:
+        whole = [(block, label, n, int.from_bytes(x, "big"), 8 * len(x)) for block, _, label, n, x in rows]
+        for i, (block, label, n, x, bits) in enumerate(whole):
+            for j in range(i + 1, len(whole)):
+                other, its, m, y, its_bits = whole[j]
                 if label == its or 5 * min(n, m) < 4 * max(n, m) or (between and block == other):
                     continue
                 size = min(bits, its_bits)
                 if 9 * (_folded_int(x, bits, size) ^ _folded_int(y, its_bits, size)).bit_count() <= n + m:
-                    yield min(a, b), max(a, b)
+                    yield i, j
         return
     size = min(len(row[-1]) for row in rows)
-    block, node, label, n = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+    block, _, label, n = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
     marks = np.stack([folded(row[-1], size) for row in rows]).view(np.uint64)
     for i in range(len(rows) - 1):
         total = n[i] + n[i + 1 :]
@@ -287,16 +291,38 @@ def near(rows: list[tuple], between: bool) -> Iterator[tuple[int, int]]:
         at = i + 1 + np.flatnonzero(ok)
         if len(at):
             differ = np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64)
-            for b in node[at[9 * differ <= total[at - i - 1]]].tolist():
-                yield min(int(node[i]), b), max(int(node[i]), b)
+            for j in at[9 * differ <= total[at - i - 1]].tolist():
+                yield i, j
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of members in different components that may link; more than once, maybe. rows are sorted by group."""
+class _Joined:
+    """Components that pairs have joined, as far as a task knows."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, label: int) -> int:
+        while (up := self.above.get(label, label)) != label:
+            self.above[label] = label = self.above.get(up, up)
+        return label
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.top(a), self.top(b)
+        self.above[a] = b
+        return a != b
+
+
+def _cross_pairs(rows: DataFrame, spanning: bool) -> DataFrame:
+    """a, b: pairs of members in different components that may link.
+
+    With `spanning` a task names only pairs that join components which its pairs haven't joined yet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         last, group = None, []
+        known = _Joined()
 
         def emit() -> pa.RecordBatch:
             a, b = zip(*found, strict=True) if found else ((), ())
@@ -304,8 +330,11 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            for pair in near(group, last[1] != last[2]):
-                found.add(pair)
+            for i, j in near(group, last[1] != last[2]):
+                (_, a, x, *_), (_, b, y, *_) = group[i], group[j]
+                if spanning and not known.join(x, y):
+                    continue
+                found.add((min(a, b), max(a, b)))
                 if len(found) >= PAIRS:
                     yield emit()
 
@@ -323,6 +352,22 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs a, b by their components."""
+    side = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    out = pairs.join(side, "a", "left").join(side.toDF("b", "y"), "b", "left")
+    return out.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+
+
+def _raised(labels: DataFrame, upper: DataFrame) -> DataFrame:
+    """labels after their components were joined: `upper` has the labels of labels, and of nodes that had none."""
+    nodes = labels.unionByName(upper).groupBy("node").agg(F.min("label").alias("label"))
+    out = nodes.join(upper.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = stored(out, "labels")
+    discard(labels, upper)
+    return out
+
+
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b that no bound excludes: their sketches move, not their sets."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
@@ -397,25 +442,25 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", detail: bool
     With `detail` also set_key, equal for equal sets, and `first`: whether the row's set is the one that stands for its
     component, one of those that have the least id. Where ids repeat, id and set_key tell rows of different sets apart.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(key, text)
     profile = stored(_profile(docs, text, key), "profile")
     classes, alive = _alive(profile, docs, text)
     sets = _sets(docs, text, key, alive)
     signed = stored(_signed(sets), "signed")
     star = signed.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_linked(stored(_plausible(star, sets), "pairs"), sets), "links")
+    pairs = stored(_plausible(star, sets), "pairs")
+    links = stored(_linked(pairs, sets), "links")
+    discard(pairs)
     labels = components(links)
-    close = stored(_cross_pairs(_crossing(signed, labels, sets)), "pairs")
-    pairs = stored(_plausible(close, sets), "pairs")
-    discard(signed, close)
-    more = _linked(pairs, sets)
-    # Components of components: only their labels take part.
-    named = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
-    more = more.join(named, "a", "left").join(named.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    upper = components(more)
-    discard(sets, links, pairs)
-    nodes = labels.unionByName(upper).groupBy("node").agg(F.min("label").alias("label"))
-    top = nodes.join(upper.toDF("label", "top"), "label", "left").select(F.col("node").alias("cls"), F.coalesce("top", "label").alias("label"))
+    discard(links)
+    for part in (signed.where(F.pmod("sig", F.lit(FIRST_PASS)) == 0), signed):
+        close = stored(_cross_pairs(_crossing(part, labels, sets), part is not signed), "pairs")
+        pairs = stored(_plausible(close, sets), "pairs")
+        labels = _raised(labels, components(_named(_linked(pairs, sets), labels)))
+        discard(close, pairs)
+    discard(signed, sets)
+    top = labels.select(F.col("node").alias("cls"), "label")
     found = alive.join(top, "cls").select("cls", "n", "least", "label")
     ids = found.groupBy("label").agg(F.min(F.struct("least", "cls")).alias("first"))
     linked = found.join(ids, "label").select("cls", "n", F.col("first.least").alias("component"), (F.col("first.cls") == F.col("cls")).alias("first"))
@@ -423,7 +468,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", detail: bool
     # A class of one document that has no partner is its own answer. The rest is a table of its own, so that the join
     # with a class of a third of all documents can be split.
     answers = stored(answers.where((F.col("docs") > 1) | (F.col("own") != F.col("component")) | ~F.col("first")).select("cls", "n", "component", "first"), "answers")
-    discard(classes, alive, labels, upper)
+    discard(classes, alive, labels)
     own = F.col("__key").cast("long")
     out = profile.join(_sent(answers.withColumn("__known", F.lit(True))), ["cls", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("__known").isNull(), own).otherwise(F.col("component"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, small_batches
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -160,6 +160,7 @@ def predict(docs: DataFrame, model: LanguageCoder, text: str = "text", keep: tup
     an empty table gives no rows. A kept column that is called like one of the four results goes: the result has the
     name. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
     keep = tuple(k for k in keep if k not in ("lang_pred", "score", "ambiguous", "margin"))

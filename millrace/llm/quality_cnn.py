@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, small_batches
 
 #: Filter width and step in bytes, embedding size, filters.
 WIDTH, STEP, EMBED, FILTERS = 8, 2, 8, 24
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, model: ByteCnn, text: str = "text", keep: tuple[str
     Very long texts go through the network part by part to their end. Repeated rows get equal scores; an empty table
     gives no rows. A kept column that is called `score` goes: the result has the name. Others are not looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
     keep = tuple(k for k in keep if k != "score")
