@@ -87,13 +87,13 @@ def words(text: Column) -> Column:
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n words joined by a space; with fewer words the one run of all; none without words."""
+    """Runs of n words joined by a space; with fewer words the one run of all; none without words or for null."""
 
     def runs(w: Column) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(made)
 
-    return bind(tokens, runs)
+    return bind(F.coalesce(tokens, F.array().cast("array<string>")), runs)
 
 
 def repo_context(name: Column, files: Column) -> Column:
@@ -103,9 +103,9 @@ def repo_context(name: Column, files: Column) -> Column:
 
 
 def chat(system: Column, messages: Column, generation_prompt: bool = False) -> Column:
-    """System prompt and the turns of user and assistant; other roles go."""
+    """System prompt and the turns of user and assistant; other roles go, a null content is an empty one."""
     kept = F.filter(messages, lambda m: m["role"].isin("user", "assistant"))
-    turns = F.transform(kept, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit(END)))
+    turns = F.transform(kept, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), F.coalesce(m["content"], F.lit("")), F.lit(END)))
     parts = F.concat(F.array(F.concat(F.lit(SYSTEM + "\n"), system, F.lit(END))), turns)
     if generation_prompt:
         parts = F.concat(parts, F.array(F.lit(ASSISTANT + "\n")))

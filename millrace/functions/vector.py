@@ -42,7 +42,8 @@ def dequantize(q: Column, scale: Column) -> Column:
 
 
 def blocks(x: Column, size: int = BLOCK) -> Column:
-    return bind(x, lambda y: F.transform(F.sequence(F.lit(0), F.floor(F.size(y) / size).cast("int") - 1), lambda i: F.slice(y, i * size + 1, size)))
+    """Runs of `size` elements; the last one is what is left."""
+    return bind(x, lambda y: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(y) / size).cast("int"), F.lit(1)) - 1), lambda i: F.slice(y, i * size + 1, size)))
 
 
 def power_scale(value: Column, top: float) -> Column:

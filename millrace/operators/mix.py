@@ -36,21 +36,22 @@ def mix_order(docs: DataFrame, weights: dict[str, float], seed: int = 42, key: s
     """
     gap = -F.log1p(-u01(seed, "mix", F.col(key))) / weight_of(F.col(lang), weights)
     drawn = docs.select(key, lang, gap.alias("gap"))
-    timed = None
-    for name in sorted(r[0] for r in docs.select(lang).distinct().collect() if r[0] is not None):  # a few names
-        one = ordered_positions_double(drawn.where(F.col(lang) == name), key, "gap")
-        timed = one if timed is None else timed.unionByName(one)
-    timed = timed.withColumn("one", F.lit(1)) if timed is not None else drawn.withColumn("time", F.lit(0.0)).withColumn("one", F.lit(1))
+    timed = clocks(drawn, lang, key, "gap").withColumn("one", F.lit(1))
     return ordered_positions(timed, ["time", key], "one").select(key, lang, F.col("start").alias("position"))
 
 
-def ordered_positions_double(df: DataFrame, key: str, size: str) -> DataFrame:
-    """df with `time`: the sum of `size` up to and with each row, in order of key, over range partitions."""
-    dealt = written(df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("__range").agg(F.sum(size).alias("__t")).select("__range", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__s"))
-    own = F.sum(size).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("__own", own).join(F.broadcast(starts), "__range").withColumn("time", F.col("__s") + F.col("__own")).drop("__range", "__own", "__s")
+def clocks(df: DataFrame, group: str, key: str, size: str) -> DataFrame:
+    """df with `time`: the sum of `size` up to and with each row, in order of key within each group; null is a group.
+
+    One pass over ranges of (group, key), however many groups; the totals, a row for each range and group, give where
+    each range begins.
+    """
+    named = F.when(F.col(group).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(group).cast("string")))
+    dealt = written(df.withColumn("__g", named).repartitionByRange("__g", key).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy("__g").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__g", "__range").agg(F.sum(size).alias("__t")).select("__g", "__range", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__s"))
+    own = F.sum(size).over(Window.partitionBy("__g", "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("__own", own).join(starts, ["__g", "__range"]).withColumn("time", F.col("__s") + F.col("__own")).drop("__g", "__range", "__own", "__s")
 
 
 def quotas(weights: dict[str, float], total: int) -> dict[str, int]:

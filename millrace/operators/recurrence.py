@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import bind
+
+#: Steps that one array of a fold gathers; longer series are arrays of such arrays, so that work stays in proportion.
+RUN = 256
+
 
 def fold(df: DataFrame, key: str, order: list[str], value: str, start: dict, step) -> DataFrame:
     """key, order..., value and the fields of each step's state: step(state, x, index) gives the next state.
@@ -18,12 +23,20 @@ def fold(df: DataFrame, key: str, order: list[str], value: str, start: dict, ste
     state = F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in start.items()])
     fields = list(start)
 
-    def go(acc: Column, x: Column) -> Column:
-        made = step(acc["state"], x["__x"], F.size(acc["out"]))
-        after = F.struct(*[made[k].alias(k) for k in fields])
-        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(after)).alias("out"))
+    none = F.filter(F.array(state), lambda _: F.lit(False))
+
+    def run(acc: Column, xs: Column) -> Column:
+        def go(inner: Column, x: Column) -> Column:
+            made = step(inner["state"], x["__x"], F.size(acc["out"]) * RUN + F.size(inner["out"]))
+            after = F.struct(*[made[k].alias(k) for k in fields])
+            return F.struct(after.alias("state"), F.concat(inner["out"], F.array(after)).alias("out"))
+
+        folded = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), go)
+        return bind(folded, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-    folded = F.aggregate("__s", F.struct(state.alias("state"), F.filter(F.array(state), lambda _: F.lit(False)).alias("out")), go)["out"]
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("__s") / RUN).cast("int") - 1), lambda i: F.slice("__s", i * RUN + 1, RUN))
+    start_runs = F.struct(state.alias("state"), F.filter(F.array(none), lambda _: F.lit(False)).alias("out"))
+    folded = F.flatten(F.aggregate(runs, start_runs, run)["out"])
     rows = series.select(key, F.explode(F.arrays_zip(F.col("__s"), folded.alias("__o"))).alias("r"))
     return rows.select(key, *[F.col(f"r.__s.{c}").alias(c) for c in order], F.col("r.__s.__x").alias(value), *[F.col(f"r.__o.{k}").alias(k) for k in fields])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,10 @@ def _remove(spark: SparkSession, root: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """df as a table that is written once and read again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/millrace").rstrip("/") + f"/{_OWN}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = (shared or "file:///tmp/checkpoints/millrace").rstrip("/") + f"/{_OWN}"
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(_remove, spark, root)

@@ -9,10 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.storage import written
+
 # Fixed value: the pattern of pre-tokens, single digits, contractions in either case.
 PRETOKEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens that the merge loop holds on the driver at most: the most frequent ones.
+#: Distinct pre-tokens that the merge loop holds on the driver at most; with more of them, they stay where they are and
+#: only totals of pairs meet.
 PRETOKENS_ON_DRIVER = 2_000_000
+#: Merges after which the spread loop writes its pieces down.
+WRITE_EVERY = 50
 
 
 def pretokens(text: Column) -> Column:
@@ -27,9 +32,13 @@ def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def learn_merges(counts: DataFrame, merges: int, least: int = 2) -> list[tuple[bytes, bytes]]:
     """Pair merges by frequency over pre-token counts; ties go to the pair that sorts first.
 
-    Counting is distributed; the loop runs over distinct pieces, whose number is bounded.
+    All distinct pieces take part: on the driver up to PRETOKENS_ON_DRIVER of them, else spread over the cluster with a
+    job for each merge. Both ways give the same merges.
     """
-    rows = counts.orderBy(F.desc("n"), "piece").limit(PRETOKENS_ON_DRIVER).collect()
+    counts = written(counts)
+    if counts.count() > PRETOKENS_ON_DRIVER:
+        return _learn_spread(counts, merges, least)
+    rows = counts.collect()
     pieces = [([bytes([b]) for b in r.piece.encode("utf-8", "replace")], r.n) for r in rows]
     where: dict[tuple[bytes, bytes], set[int]] = {}
     totals: Counter = Counter()
@@ -66,6 +75,51 @@ def learn_merges(counts: DataFrame, merges: int, least: int = 2) -> list[tuple[b
     return made
 
 
+def _joined(parts: list, pair: tuple) -> list:
+    out, i = [], 0
+    while i < len(parts):
+        step = 2 if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair else 1
+        out.append(parts[i] + parts[i + 1] if step == 2 else parts[i])
+        i += step
+    return out
+
+
+def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
+    """learn_merges over a table of pieces that stays distributed. Tokens are hexadecimal text, whose order is theirs."""
+    split = F.regexp_extract_all(F.hex(F.encode("piece", "UTF-8")), F.lit(".."), F.lit(0))
+    table = written(counts.select(split.alias("parts"), "n").where(F.size("parts") > 1))
+    made: list[tuple[str, str]] = []
+    fresh: list[tuple[str, str]] = []
+
+    def applied(frames: Iterator[pd.DataFrame], fresh: list) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = [list(p) for p in frame["parts"]]
+            for pair in fresh:
+                parts = [_joined(p, pair) for p in parts]
+            yield pd.DataFrame({"parts": parts, "n": frame["n"]})
+
+    while len(made) < merges:
+        ready = list(fresh)
+
+        def pairs(frames: Iterator[pd.DataFrame], ready: list = ready) -> Iterator[pd.DataFrame]:
+            for frame in applied(frames, ready):
+                totals: Counter = Counter()
+                for parts, n in zip(frame["parts"], frame["n"], strict=True):
+                    for pair in zip(parts, parts[1:], strict=False):
+                        totals[pair] += n
+                yield pd.DataFrame([(a, b, n) for (a, b), n in totals.items()], columns=["a", "b", "n"])
+
+        best = table.mapInPandas(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+        if best is None or best.n < least:
+            break
+        made.append((best.a, best.b))
+        fresh.append((best.a, best.b))
+        if len(fresh) >= WRITE_EVERY:
+            table = written(table.mapInPandas(lambda frames, ready=tuple(fresh): applied(frames, list(ready)), "parts array<string>, n long").where(F.size("parts") > 1))
+            fresh = []
+    return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in made]
+
+
 def vocabulary(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
     """Bytes, then merged tokens in order."""
     return {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}

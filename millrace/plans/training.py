@@ -185,10 +185,10 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
-    return e.select("vec_id", F.slice(vector.doubles(F.col("embedding")), 1, 64).alias("x"))
+    return e.select("vec_id", vector.doubles(F.col("embedding")).alias("x"))
 
 
-_VEC = "v AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 64), lambda z: z::DOUBLE) AS x FROM embeddings WHERE len(embedding) > 0)"
+_VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings WHERE len(embedding) > 0)"
 _ELEM = f"{_VEC}, el AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM v), bl AS (SELECT *, (i - 1) // 32 AS b FROM el)"
 
 

@@ -19,9 +19,9 @@ TOKENS_SCHEMA = "doc_id bigint, offset bigint, length bigint, ids array<int>"
 
 
 def local_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = CODE_SUFFIXES) -> DataFrame:
-    """path, content of files below the path, by suffix; bytes that aren't UTF-8 are replaced, unreadable files skipped."""
+    """path, content of files below the path, by suffix, case and all; bytes that aren't UTF-8 are replaced, unreadable files skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(path)
-    wanted = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
+    wanted = files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*suffixes))
     return wanted.select("path", F.col("content").cast("string").alias("content"))
 
 

@@ -162,3 +162,43 @@ def test_files_and_token_tables(spark, tmp_path):
     files.write_tokens(tokens, f"{tmp_path}/out", {"source": "test"})
     assert files.read_tokens(spark, f"{tmp_path}/out").first().ids == [1, 300]
     assert bytes(files.packed_uint16(tokens).first().bytes) == b"\x01\x00\x2c\x01"
+
+
+def test_null_texts_have_no_ngrams(spark):
+    from millrace.operators import decontam, dedup
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([("x y",)], "text string")
+    assert {r.doc_id: r.ngrams for r in decontam.flags(docs, bench).collect()} == {1: 0, 2: 0, 3: 1}
+    signed = dedup.signed(docs.select("doc_id", dedup.shingle_hashes(F.col("text")).alias("h")), num_perm=4)
+    assert {r.doc_id: set(r.signature) == {dedup.MAX_HASH} for r in signed.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_mix_keeps_rows_without_a_language(spark):
+    from millrace.operators import mix
+
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else "en") for i in range(30)], "doc_id long, lang string")
+    assert sorted(r.position for r in mix.mix_order(docs, {"en": 0.5}).collect()) == list(range(30))
+
+
+def test_merges_of_spread_pieces(spark, monkeypatch):
+    from millrace.operators import tokenizer
+
+    counts = spark.createDataFrame([("low", 5), ("lower", 2), ("newest", 6), ("widest", 3), ("aaaa", 4), ("née", 2)], "piece string, n long")
+    want = tokenizer.learn_merges(counts, 9)
+    monkeypatch.setattr(tokenizer, "PRETOKENS_ON_DRIVER", 3)
+    monkeypatch.setattr(tokenizer, "WRITE_EVERY", 4)
+    assert tokenizer.learn_merges(counts, 9) == want and len(want) == 9
+
+
+def test_long_series_and_part_blocks(spark):
+    from millrace.functions import vector
+    from millrace.operators import recurrence
+
+    log = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("step"), (F.col("id") % 7).cast("double").alias("x"))
+    got, e = [r.ema for r in recurrence.ema(log, "k", ["step"], "x", 0.9).orderBy("step").collect()], None
+    for i in range(1000):
+        e = float(i % 7) if e is None else 0.9 * e + (1 - 0.9) * (i % 7)
+        assert abs(got[i] - e) < 1e-9
+    row = spark.range(1).select(F.size(vector.blocks(F.sequence(F.lit(1), F.lit(65)), 32)).alias("n")).first()
+    assert row.n == 3
