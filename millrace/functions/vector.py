@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.binding import bind
+from millrace.functions.hashing import u01
 
 # Fixed values of the formats.
 E4M3_MAX, E5M2_MAX, BLOCK = 448.0, 57344.0, 32
@@ -87,6 +88,31 @@ def fp8_cast(x: Column, kind: str = "e4m3") -> Column:
     return bind(x, lambda y: bind(F.lit(top) / F.greatest(amax(y), F.lit(TINY)), lambda scale: F.transform(y, lambda v: cast(v * scale) / scale)))
 
 
+def stochastic_e4m3(v: Column, u: Column) -> Column:
+    """One of the two E4M3 neighbours of v, the farther from zero with the share of the gap that v has crossed."""
+    size = F.least(F.abs(v), F.lit(E4M3_MAX))
+    ulp = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1e-300)))).cast("double"), F.lit(-6.0)) - 3)
+    low = F.floor(size / ulp)
+    return F.signum(v) * F.least((low + F.when(u < size / ulp - low, 1).otherwise(0)) * ulp, F.lit(E4M3_MAX))
+
+
+def stochastic_cast(x: Column, key: Column, seed: int = 42) -> Column:
+    """fp8_cast with stochastic rounding; each element's draw depends on seed, key and place."""
+    cast = lambda y, scale: F.transform(y, lambda v, i: stochastic_e4m3(v * scale, u01(seed, "round", key, i)) / scale)
+    return bind(x, lambda y: bind(F.lit(E4M3_MAX) / F.greatest(amax(y), F.lit(TINY)), lambda scale: cast(y, scale)))
+
+
+def sigma_cast(x: Column, factor: float = 3.0) -> Column:
+    """fp8_cast whose scale covers `factor` sample deviations; amax for vectors that hardly vary."""
+
+    def deviation(y: Column) -> Column:
+        squares = bind(mean(y), lambda m: F.aggregate(F.transform(y, lambda v: (v - m) * (v - m)), F.lit(0.0), lambda a, v: a + v))
+        return F.greatest(F.sqrt(squares / F.greatest(F.size(y) - 1, F.lit(1))), F.lit(TINY))
+
+    top = lambda y: bind(deviation(y), lambda s: F.when(s < 1e-6, F.greatest(amax(y), F.lit(TINY))).otherwise(s * factor))
+    return bind(x, lambda y: bind(F.lit(E4M3_MAX) / top(y), lambda scale: F.transform(y, lambda v: e4m3(v * scale) / scale)))
+
+
 def scaled(x: Column, scales: Column, size: int = BLOCK, reverse: bool = False) -> Column:
     """Each block divided by its scale, or multiplied."""
     parts = F.zip_with(blocks(x, size), scales, lambda b, s: F.transform(b, lambda v: v * s if reverse else v / s))
@@ -151,10 +177,28 @@ def block_exponents(x: Column, size: int = BLOCK) -> Column:
     return F.transform(blocks(x, size), lambda b: F.greatest(F.ceil(F.log2(F.greatest(amax(b), F.lit(TINY)) / E4M3_MAX)).cast("int"), F.lit(-126)))
 
 
-def dual(x: Column) -> Column:
-    """struct<hi, lo>: the FP8 values of x, and those of what they leave."""
-    hi = fp8_cast(x)
-    return F.struct(hi.alias("hi"), fp8_cast(F.zip_with(x, hi, lambda a, b: a - b)).alias("lo"))
+def block_cast(x: Column, size: int = BLOCK) -> Column:
+    """Values after an FP8 cast with a power of two as each block's scale."""
+
+    def one(b: Column) -> Column:
+        return bind(power_scale(F.greatest(amax(b), F.lit(TINY)), E4M3_MAX), lambda s: F.transform(b, lambda v: e4m3(v / s) * s))
+
+    return bind(x, lambda y: F.flatten(F.transform(blocks(y, size), one)))
+
+
+def dual(x: Column, error: Column | None = None, size: int = BLOCK) -> Column:
+    """struct<hi, lo, error>: FP8 values by blocks, those of what they leave, and what both leave.
+
+    With an error buffer, x is corrected by it first; the error that comes out is the next buffer.
+    """
+    less = lambda p, q: F.zip_with(p, q, lambda a, b: a - b)
+    corrected = x if error is None else F.zip_with(x, error, lambda a, b: a + b)
+
+    def parts(y: Column) -> Column:
+        rest = lambda hi, left: bind(block_cast(left, size), lambda lo: F.struct(hi.alias("hi"), lo.alias("lo"), less(left, lo).alias("error")))
+        return bind(block_cast(y, size), lambda hi: bind(less(y, hi), lambda left: rest(hi, left)))
+
+    return bind(corrected, parts)
 
 
 def softmax_loss(logits: Column, target: Column) -> Column:
@@ -162,6 +206,17 @@ def softmax_loss(logits: Column, target: Column) -> Column:
     return F.when(target >= 0, logsumexp(logits) - F.get(logits, target))
 
 
+def masked_loss(loss: Column) -> Column:
+    """Mean of softmax_loss over rows whose target isn't masked, 0 without any: an aggregate."""
+    return F.coalesce(F.avg(loss), F.lit(0.0))
+
+
+def z_loss(logits: Column, alpha: float = 1e-4) -> Column:
+    """alpha times the mean square of logsumexp: an aggregate."""
+    size = logsumexp(logits)
+    return F.coalesce(F.avg(size * size), F.lit(0.0)) * alpha
+
+
 def logsumexp(x: Column) -> Column:
     return bind(F.array_max(x), lambda top: top + F.log(F.aggregate(F.transform(x, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)))
 
@@ -172,20 +227,43 @@ def rms_norm(x: Column, eps: float = 1e-6) -> Column:
 
 def top_k(logits: Column, k: int) -> Column:
     """Logits below the k-th largest become null; ties with it stay."""
-    return bind(F.get(F.sort_array(logits, False), F.lit(k - 1)), lambda cut: F.transform(logits, lambda v: F.when(v >= cut, v)))
+    place = F.least(F.lit(k), F.size(logits)) - 1
+    return bind(F.get(F.sort_array(logits, False), place), lambda cut: F.transform(logits, lambda v: F.when(v >= cut, v)))
 
 
 def top_p(logits: Column, p: float) -> Column:
-    """The least set of largest logits whose probability exceeds p; others become null."""
+    """The least set of largest logits whose probability reaches p; others become null, and nulls stay so."""
 
     def cut(ordered: Column, total: Column) -> Column:
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("last"))
-        # Largest first: a value is kept while those before it sum up to p at most.
-        end = F.aggregate(ordered, start, lambda a, v: F.when(a["sum"] <= p, F.struct((a["sum"] + F.exp(v - total)).alias("sum"), v.alias("last"))).otherwise(a))
+        # Largest first: a value is kept while those before it sum up to less than p.
+        end = F.aggregate(ordered, start, lambda a, v: F.when(a["sum"] < p, F.struct((a["sum"] + F.exp(v - total)).alias("sum"), v.alias("last"))).otherwise(a))
         return end["last"]
 
-    least = bind(logsumexp(logits), lambda total: cut(F.sort_array(logits, False), total))
-    return bind(least, lambda c: F.transform(logits, lambda v: F.when(v >= c, v)))
+    def kept(x: Column) -> Column:
+        least = bind(F.filter(x, lambda v: v.isNotNull()), lambda live: bind(logsumexp(live), lambda total: cut(F.sort_array(live, False), total)))
+        return bind(least, lambda c: F.transform(x, lambda v: F.when(v >= c, v)))
+
+    return bind(logits, kept)
+
+
+def sampled_token(logits: Column, u: Column, temperature: float = 0.8, k: int = 50, p: float = 0.95) -> Column:
+    """The index that the uniform number u draws after temperature, top-k and top-p; the largest logit's without heat."""
+    if temperature <= 0:
+        return bind(logits, lambda x: F.array_position(x, F.array_max(x)) - 1).cast("int")
+
+    def drawn(weights: Column, target: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+        after = lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when(a["sum"] + v <= target, 1).otherwise(0)).alias("n"))
+        return F.least(F.aggregate(weights, start, after)["n"], F.size(weights) - 1)
+
+    def choose(x: Column) -> Column:
+        weights = bind(F.array_max(x), lambda top: F.transform(x, lambda v: F.coalesce(F.exp(v - top), F.lit(0.0))))
+        return bind(weights, lambda w: bind(F.aggregate(w, F.lit(0.0), lambda a, v: a + v) * u, lambda target: drawn(w, target)))
+
+    heated = F.transform(logits, lambda v: v / temperature)
+    cut = bind(heated, lambda x: top_k(x, k)) if k > 0 else heated
+    return bind(top_p(cut, p) if p < 1 else cut, choose)
 
 
 def penalised(logits: Column, seen: Column, repetition: float, frequency: float) -> Column:
