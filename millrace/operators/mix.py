@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.binding import bind
 from millrace.functions.hashing import u01
 from millrace.functions.quality import quality_score
+from millrace.functions.syntax import syntax_of
 from millrace.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, lines, preprocessed
 from millrace.operators import decontam, dedup
 from millrace.operators.pack import ordered_positions
@@ -78,7 +79,8 @@ def round_robin(docs: DataFrame, count: int, skip: int = 0, key: str = "doc_id",
     characters that pass preprocessing and quality, taken in turn over the languages until `count`."""
     raw = docs.select(key, lang, text, F.row_number().over(Window.partitionBy(lang).orderBy(key)).alias("raw")) if skip else docs.select(key, lang, text, F.lit(1 + skip).alias("raw"))
     rows = raw.where(F.col("raw") > skip).where(F.length(F.regexp_replace(text, r"\A\s+|\s+\z", "")) > least)
-    rows = rows.withColumn("code", preprocessed(F.col(text))).where(F.col("code").isNotNull()).where(quality_score(F.col("code"), F.col(lang)) >= threshold)
+    rows = rows.withColumn("code", preprocessed(F.col(text))).where(F.col("code").isNotNull())
+    rows = rows.withColumn("syntax", syntax_of(F.col("code"), F.col(lang))).where(quality_score(F.col("code"), F.col(lang), F.col("syntax")) >= threshold)
     turn = rows.select(key, lang, F.row_number().over(Window.partitionBy(lang).orderBy(key)).alias("turn")).where(F.col("turn") <= count)
     return turn.orderBy("turn", lang).limit(count)
 
@@ -102,13 +104,16 @@ def fim_sample(code: Column, rate: float, seed: int, key: Column) -> Column:
     return F.when(u01(seed, "fim", key) < rate, fim(code, seed, key)).otherwise(code)
 
 
-def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, similar: float = 0.8, num_perm: int = 128, bands: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, stage, code: preprocessing, quality, down-sampling, near-duplicates, decontamination, in that order.
+def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, similar: float = 0.8, num_perm: int = 128, bands: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", lang: str = "lang", fim_rate: float = 0.5) -> DataFrame:
+    """key, lang, stage, code: preprocessing, quality, down-sampling, near-duplicates, decontamination and, for rows that
+    pass, fill-in-the-middle at `fim_rate`, in that order.
 
-    A contaminated row still removes its later duplicates. High quality rows are not repeated.
+    A contaminated row still removes its later duplicates. High quality rows are not repeated. Python rows have a sixth
+    score, of their syntax.
     """
     scored = docs.select(key, lang, preprocessed(F.col(text)).alias("code"))
-    scored = scored.withColumn("quality", quality_score(F.col("code"), F.col(lang)))
+    scored = scored.withColumn("syntax", syntax_of(F.col("code"), F.col(lang)))
+    scored = scored.withColumn("quality", quality_score(F.col("code"), F.col(lang), F.col("syntax"))).drop("syntax")
     low = F.col("code").isNull() | (F.col("quality") < threshold) | ((F.col("quality") < 0.5) & (u01(seed, "down", F.col(key)) < 0.3))
     scored = written(scored.withColumn("low", low))
     good = scored.where(~F.col("low"))
@@ -116,7 +121,8 @@ def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, simila
     marks = decontam.flags(good.join(kept.where("kept"), key, "left_semi"), benchmark, key, "code").select(key, "contaminated")
     out = scored.join(kept, key, "left").join(marks, key, "left")
     stage = F.when(F.col("low"), STAGES[0]).when(~F.col("kept"), STAGES[1]).when(F.col("contaminated"), STAGES[2]).otherwise(STAGES[3])
-    return out.select(key, lang, stage.alias("stage"), "code")
+    passed = F.when(stage == STAGES[3], fim_sample(F.col("code"), fim_rate, seed, F.col(key))).otherwise(F.col("code"))
+    return out.select(key, lang, stage.alias("stage"), passed.alias("code"))
 
 
 def funnel_stats(staged: DataFrame) -> DataFrame:
