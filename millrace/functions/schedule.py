@@ -59,6 +59,51 @@ def special_table(spark: SparkSession, learned: int = BPE_SIZE) -> DataFrame:
     return ids.select("token_id", F.coalesce(names[F.col("token_id")], F.concat(F.lit("<|reserved_"), F.col("token_id").cast("string"), F.lit("|>"))).alias("token"))
 
 
+def checked_geometry(vocab: int = VOCAB_SIZE, learned: int = BPE_SIZE, specials: int = SPECIALS, code_share: float = 0.7, tile: int = 128) -> None:
+    """An error unless the sizes add up, fill whole tiles, and the share of code is one."""
+    if vocab != learned + specials:
+        raise ValueError(f"{vocab} tokens are not {learned} learned and {specials} special ones")
+    if vocab % tile:
+        raise ValueError(f"{vocab} tokens do not fill tiles of {tile}")
+    if not 0.0 <= code_share <= 1.0:
+        raise ValueError(f"the share of code must lie in [0, 1], not {code_share}")
+
+
+def vocabulary_report(vocab: DataFrame, tile: int = 128) -> DataFrame:
+    """size, aligned, misplaced, missing of a table (token, token_id): special tokens that are elsewhere, or nowhere."""
+    spark = vocab.sparkSession
+    wanted = spark.createDataFrame(list(SPECIAL_TOKENS.items()), "token string, __at int")
+    found = wanted.join(vocab, "token", "left")
+    placed = found.agg(F.count(F.when(F.col("token_id") != F.col("__at"), 1)).alias("misplaced"), F.count(F.when(F.col("token_id").isNull(), 1)).alias("missing"))
+    sizes = vocab.agg(F.count(F.lit(1)).alias("size")).withColumn("aligned", F.col("size") % tile == 0)
+    return sizes.crossJoin(placed)  # one row each
+
+
+def checked_vocabulary(vocab: DataFrame, tile: int = 128) -> DataFrame:
+    """vocab, or an error if its size isn't aligned or a special token has another id. A missing one is no error."""
+    report = vocabulary_report(vocab, tile).first()
+    if not report.aligned:
+        raise ValueError(f"{report['size']} tokens do not fill tiles of {tile}")
+    if report.misplaced:
+        raise ValueError(f"{report.misplaced} special tokens have other ids")
+    return vocab
+
+
+# Weights of a preset's flags.
+DIFFICULTY = {
+    "disable_error_feedback": 0.40, "force_global_scale": 0.20, "promote_sensitivity_tier": 0.20,
+    "halve_abd_hysteresis": 0.10, "verbose_gemm": 0.05, "disable_monitoring": 0.05,
+}
+
+
+def difficulty(flags: dict[str, Column]) -> Column:
+    """Sum of the weights of the flags that are set."""
+    total = F.lit(0.0)
+    for name, weight in DIFFICULTY.items():
+        total = total + F.when(flags[name], weight).otherwise(0.0)
+    return total
+
+
 def tier_for_step(step: Column, full_every: int, ef_every: int) -> Column:
     return F.when(step % full_every == 0, 2).when(step % ef_every == 0, 1).otherwise(0)
 

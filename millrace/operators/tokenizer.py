@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import json
+import os
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,32 +50,34 @@ def learn_merges(counts: DataFrame, merges: int, least: int = 2) -> list[tuple[b
         for pair in zip(parts, parts[1:], strict=False):
             totals[pair] += n
             where.setdefault(pair, set()).add(at)
+    # The heap holds each pair's totals, old ones too; an entry counts only if it is the pair's total of now.
+    heap = [(-n, pair) for pair, n in totals.items()]
+    heapq.heapify(heap)
     made: list[tuple[bytes, bytes]] = []
-    while len(made) < merges and totals:
-        pair = min(totals, key=lambda p: (-totals[p], p))
-        if totals[pair] < least:
+    while len(made) < merges and heap:
+        n, pair = heapq.heappop(heap)
+        if totals.get(pair) != -n:
+            continue
+        if -n < least:
             break
         made.append(pair)
+        change: Counter = Counter()
         for at in where.pop(pair):
             parts, n = pieces[at]
+            joined = _joined(parts, pair)
+            if len(joined) == len(parts):
+                continue
             for old in zip(parts, parts[1:], strict=False):
-                totals[old] -= n
-                if totals[old] <= 0:
-                    del totals[old]
-                    if old != pair:
-                        where.get(old, set()).discard(at)
-            joined, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts[:] = joined
-            for new in zip(parts, parts[1:], strict=False):
-                totals[new] += n
+                change[old] -= n
+            for new in zip(joined, joined[1:], strict=False):
+                change[new] += n
                 where.setdefault(new, set()).add(at)
+            parts[:] = joined
+        del totals[pair]
+        for other, by in change.items():
+            if by and other != pair:
+                totals[other] += by
+                heapq.heappush(heap, (-totals[other], other))
     return made
 
 
@@ -169,12 +175,78 @@ def decode(rows: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_i
     return rows.select(key, ids).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, text string")
 
 
-def compression(docs: DataFrame, ids: DataFrame, key: str = "doc_id", by: str = "lang", text: str = "text") -> DataFrame:
-    """by, bytes, tokens, bytes_per_token (0 without tokens)."""
+def compression(docs: DataFrame, ids: DataFrame, key: str = "doc_id", by: str = "lang", text: str = "text", overall: str | None = None) -> DataFrame:
+    """by, bytes, tokens, bytes_per_token (0 without tokens); with `overall`, a row of that name for all texts."""
     sizes = docs.select(key, by, F.octet_length(text).alias("b")).join(ids.select(key, F.size("ids").alias("t")), key)
+    if overall is not None:
+        sizes = sizes.select(key, F.explode(F.array(F.col(by), F.lit(overall))).alias(by), "b", "t")
     out = sizes.groupBy(by).agg(F.sum("b").alias("bytes"), F.sum("t").alias("tokens"))
     return out.withColumn("bytes_per_token", F.when(F.col("tokens") > 0, F.col("bytes") / F.col("tokens")).otherwise(0.0))
 
 
 def padded(ids: Column, length: int, pad: int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), length)), 1, length)
+
+
+def marked(ids: Column, bos: int, eos: int) -> Column:
+    return F.concat(F.array(F.lit(bos)), ids, F.array(F.lit(eos)))
+
+
+def tokens_of(rows: DataFrame, vocab: DataFrame, ids: str = "token_id", tokens: str = "token") -> DataFrame:
+    """rows with the token of each id, null for an id that there isn't. vocab: token, token_id; a vocabulary, hence small."""
+    return rows.join(vocab.select(F.col("token_id").alias(ids), F.col("token").alias(tokens)), ids, "left")
+
+
+def ids_of(rows: DataFrame, vocab: DataFrame, unknown: int, tokens: str = "token", ids: str = "token_id") -> DataFrame:
+    """rows with the id of each token; `unknown` for one that the vocabulary hasn't."""
+    known = vocab.select(F.col("token").alias(tokens), F.col("token_id").alias("__id"))
+    return rows.join(known, tokens, "left").withColumn(ids, F.coalesce("__id", F.lit(unknown))).drop("__id")
+
+
+# What a tokenizer of code should have as single tokens.
+INDENTS = {"4-space": "    ", "2-space": "  ", "tab": "\t"}
+OPERATORS = ("==", "!=", ">=", "<=", "->", "=>", "::", "**", "//")
+KEYWORDS = {
+    "cross-language": ("def", "function", "fn", "func", "void", "int", "return", "class", "import", "use"),
+    "python": ("def", "class", "import", "from", "return", "if", "else", "elif", "for", "while", "try", "except",
+        "with", "as", "yield", "lambda", "pass", "break", "continue", "raise", "async", "await", "None", "True",
+        "False", "self"),
+    "javascript": ("function", "const", "let", "var", "return", "if", "else", "for", "while", "class", "import",
+        "export", "async", "await", "try", "catch", "throw", "new", "this", "typeof"),
+    "rust": ("fn", "let", "mut", "impl", "struct", "enum", "trait", "pub", "use", "mod", "match", "self", "async",
+        "await"),
+    "go": ("func", "var", "const", "type", "struct", "interface", "return", "if", "else", "for", "range", "switch",
+        "case", "go", "chan", "defer", "package", "import"),
+}
+
+
+def single_token_checks(spark, merges: list[tuple[bytes, bytes]]) -> DataFrame:
+    """kind, probe, single, space_prefixed: whether indents, operators and keywords are one token, bare and after a space."""
+    probes = [("indent", p) for p in INDENTS.values()] + [("operator", p) for p in OPERATORS] + [(k, w) for k, ws in KEYWORDS.items() for w in ws]
+    rows = [(i, kind, probe, f"{lead}{probe}", bool(lead)) for i, (kind, probe) in enumerate(probes) for lead in ("", " ")]
+    table = spark.createDataFrame([(2 * i + lead, kind, probe, shown, lead) for i, kind, probe, shown, lead in rows], "at int, kind string, probe string, shown string, lead boolean").coalesce(1)
+    ids = encode(table, merges, "at", "shown").select("at", (F.size("ids") == 1).alias("one"))
+    return table.join(ids, "at").groupBy("kind", "probe").agg(F.max(F.expr("NOT lead AND one")).alias("single"), F.max(F.expr("lead AND one")).alias("space_prefixed"))
+
+
+def report(spark, docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", by: str = "lang", text: str = "text", low: float = 3.5, high: float = 4.5) -> DataFrame:
+    """One row: learned, bytes_per_token, in_range, roundtrip_failures, single, space_prefixed of the checks above."""
+    ids = written(encode(docs, merges, key, text))
+    size = compression(docs, ids, key, by, text, overall="*").where(F.col(by) == "*").select("bytes_per_token")
+    back = decode(ids, merges, key).withColumnRenamed("text", "__back")
+    lost = docs.select(key, F.coalesce(text, F.lit("")).alias("__t")).join(back, key).agg(F.count(F.when(F.col("__t") != F.col("__back"), 1)).alias("roundtrip_failures"))
+    single = single_token_checks(spark, merges).agg(F.count_if("single").alias("single"), F.count_if("space_prefixed").alias("space_prefixed"))
+    out = size.crossJoin(lost).crossJoin(single)  # one row each
+    return out.select(F.lit(256 + len(merges)).alias("learned"), "bytes_per_token", F.col("bytes_per_token").between(low, high).alias("in_range"), "roundtrip_failures", "single", "space_prefixed")
+
+
+def save(merges: list[tuple[bytes, bytes]], path: str) -> None:
+    """Merges as JSON, hexadecimal, by a temporary file beside it that then takes its name."""
+    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp", delete=False) as out:
+        json.dump({"merges": [[a.hex(), b.hex()] for a, b in merges]}, out)
+    os.replace(out.name, path)
+
+
+def load(path: str) -> list[tuple[bytes, bytes]]:
+    with open(path) as file:
+        return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in json.load(file)["merges"]]
