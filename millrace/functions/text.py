@@ -117,6 +117,24 @@ def chatml(messages: Column, generation_prompt: bool = False) -> Column:
     return F.concat(F.array_join(turns, ""), F.lit(IM_START + "assistant\n" if generation_prompt else ""))
 
 
+# Names of tensors outside of layers, and the parts of a layer.
+TENSOR_NAMES = {"tok_embeddings.weight": "token_embd.weight", "norm.weight": "output_norm.weight", "output.weight": "output.weight"}
+LAYER_PARTS = {
+    "attn_norm.weight": "attn_norm.weight", "attn.wq.weight": "attn_q.weight", "attn.wk.weight": "attn_k.weight",
+    "attn.wv.weight": "attn_v.weight", "attn.wo.weight": "attn_output.weight", "attn.q_norm.weight": "attn_q_norm.weight",
+    "attn.k_norm.weight": "attn_k_norm.weight", "ffn_norm.weight": "ffn_norm.weight", "ffn.gate_proj.weight": "ffn_gate.weight",
+    "ffn.up_proj.weight": "ffn_up.weight", "ffn.down_proj.weight": "ffn_down.weight",
+}
+
+
+def exported_name(name: Column) -> Column:
+    """layers.N.part becomes blk.N.part with the part's export name, if it has one; other names by their table, else as they are."""
+    table = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    layer, part = F.regexp_extract(name, r"\Alayers\.(\d+)\.(.+)\z", 1), F.regexp_extract(name, r"\Alayers\.(\d+)\.(.+)\z", 2)
+    inside = F.concat(F.lit("blk."), layer, F.lit("."), F.coalesce(table(LAYER_PARTS)[part], part))
+    return F.when(layer != "", inside).otherwise(F.coalesce(table(TENSOR_NAMES)[name], name))
+
+
 def coding_task(code: Column, explanation: Column, language: Column) -> Column:
     block = F.concat(F.lit("```"), language, F.lit("\n"), code, F.lit("\n```"))
     return F.concat(block, F.when(F.coalesce(explanation, F.lit("")) != "", F.concat(F.lit("\n\n"), explanation)).otherwise(""))

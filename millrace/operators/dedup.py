@@ -120,6 +120,31 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", thres
     return docs.select(key).join(kept, key, "left").select(key, F.coalesce("__k", F.lit(False)).alias("kept"))
 
 
+def ring_kept(nodes: DataFrame, edges: DataFrame, size: int = 500_000, key: str = "doc_id") -> DataFrame:
+    """greedy_kept where a row meets the last `size` kept rows before it only, as if a ring held them.
+
+    A row's fate depends on rows before it alone: each round takes the ranks of the last one's kept rows, lets edges
+    between rows within reach count, and decides anew; the first row that was wrong is right after it. With fewer rows
+    than the ring holds, one round is all.
+    """
+    from millrace.operators.pack import ordered_positions
+
+    edges = written(edges.select("a", "b"))
+    live = edges
+    kept = written(greedy_kept(nodes, live, key))
+    if kept.where("kept").count() <= size:
+        return kept
+    while True:
+        ranks = written(ordered_positions(kept.withColumn("__one", F.col("kept").cast("int")), key, "__one").select(key, "start"))
+        at = lambda side: ranks.select(F.col(key).alias(side), F.col("start").alias(f"__{side}"))
+        now = written(edges.join(at("a"), "a").join(at("b"), "b").where(F.col("__b") - F.col("__a") <= size).select("a", "b"))
+        both = live.join(now, ["a", "b"], "left_semi").count()
+        if both == live.count() == now.count():
+            return kept
+        live = now
+        kept = written(greedy_kept(nodes, live, key))
+
+
 def ring_window(kept: DataFrame, size: int = 500_000, key: str = "doc_id") -> DataFrame:
     """kept rows with the rank at which a ring of `size` would evict each: a row compares with those less than that
     many kept rows before it. Ranks come from range buckets, not from one task."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
 import subprocess
 import sys
 import tempfile
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,3 +44,21 @@ def executed(programs: DataFrame, program: str = "program", timeout: int = 10, a
             yield frame.assign(passed=frame[program].map(passes))
 
     return programs.mapInPandas(run, schema)
+
+
+def harness(benchmarks: dict[str, Callable[[], DataFrame]], names: list[str], folder: str) -> dict:
+    """Metrics and seconds of each named benchmark, as a dictionary and as JSON in the folder; unknown names are skipped.
+
+    A benchmark gives (k, problems, pass_at_k), a row for each k.
+    """
+    began, results = time.time(), {}
+    for name in names:
+        if name in benchmarks:
+            start = time.time()
+            rows = benchmarks[name]().collect()  # a row for each k
+            results[name] = {"metrics": {f"pass@{r.k}": r.pass_at_k for r in rows}, "elapsed_seconds": time.time() - start}
+    out = {"total_elapsed_seconds": time.time() - began, "benchmarks": results}
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, f"eval_{int(time.time())}.json"), "w") as file:
+        json.dump(out, file, indent=2)
+    return out

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +102,38 @@ def diagnose(layers: DataFrame, block: int = 32) -> DataFrame:
         F.count(F.lit(1)).alias("layers"), F.sum(F.col("ok").cast("int")).alias("eligible"), before.alias("bytes_before"), after.alias("bytes_after"),
         (100.0 * (before - after) / before).alias("savings_percent"), F.min(finite).alias("min_snr"), F.avg(finite).alias("mean_snr"), F.sum(F.when(finite < 30, 1).otherwise(0)).alias("under_30_db"),
     )
+
+
+def low_rank(buffers: DataFrame, key: str, values: str, columns: int, share: float = 0.1) -> DataFrame:
+    """key, rank, u, s, vt: the leading singular triplets of each row's matrix (row by row in one array).
+
+    The rank is `share` of the lesser side, 1 at least. An array that isn't whole rows of `columns` stays out, with rank
+    0 and its values as `s`: a vector has no factors.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for x in frame[values]:
+                x = np.asarray(x, dtype=float)
+                if len(x) % columns or len(x) < 2 * columns or columns < 2:
+                    out.append((0, np.zeros(0), x, np.zeros(0)))
+                    continue
+                u, s, vt = np.linalg.svd(x.reshape(-1, columns), full_matrices=False)
+                rank = max(1, int(min(len(x) // columns, columns) * share))
+                out.append((rank, u[:, :rank].ravel(), s[:rank], vt[:rank].ravel()))
+            yield pd.DataFrame({key: frame[key], **dict(zip(("rank", "u", "s", "vt"), map(list, zip(*out, strict=True)), strict=True))}) if out else pd.DataFrame(columns=[key, "rank", "u", "s", "vt"])
+
+    return buffers.select(key, values).mapInPandas(run, f"`{key}` {dict(buffers.dtypes)[key]}, rank int, u array<double>, s array<double>, vt array<double>")
+
+
+def restored(factors: DataFrame, columns: int) -> DataFrame:
+    """factors with `x`: u * s * vt, row by row in one array; the values themselves at rank 0."""
+
+    def cell(i: Column) -> Column:
+        r, c = F.floor(i / columns).cast("int"), (i % columns).cast("int")
+        terms = F.transform(F.sequence(F.lit(0), F.col("rank") - 1), lambda k: F.get("u", r * F.col("rank") + k) * F.get("s", k) * F.get("vt", k * columns + c))
+        return F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+
+    cells = F.transform(F.sequence(F.lit(0), (F.size("u") / F.col("rank") * columns).cast("int") - 1), cell)
+    return factors.withColumn("x", F.when(F.col("rank") == 0, F.col("s")).otherwise(cells))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import quality, text
 from millrace.functions.hashing import u01_sql
+from millrace.functions.syntax import syntax_of
 from millrace.functions.text import EXTENSION_LANGUAGE
 from millrace.operators import decontam, dedup, mix, pack
 
@@ -86,9 +87,14 @@ def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", text.preprocessed(F.col("text")).alias("code"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = _processed(spark, sf_dir).where("code is not null").withColumn("syntax", syntax_of(F.col("code"), F.col("lang")))
+    return code.withColumn("q", quality.quality_score(F.col("code"), F.col("lang"), F.col("syntax")))
+
+
 @query(f"WITH {SOURCE_SQL}, {PREPROCESS_SQL}, {QUALITY_SQL} SELECT lang, count(*) AS docs, round(avg(quality), 9) AS mean_quality FROM q WHERE quality >= 0.35 GROUP BY lang")
 def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _processed(spark, sf_dir).where("code is not null").withColumn("q", quality.quality_score(F.col("code"), F.col("lang")))
+    scored = _scored(spark, sf_dir)
     return scored.where("q >= 0.35").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("q"), 9).alias("mean_quality"))
 
 
@@ -99,7 +105,7 @@ def preprocess_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SOURCE_SQL}, {PREPROCESS_SQL}, {QUALITY_SQL} SELECT doc_id, round(quality, 9) AS quality, quality >= 0.3 AS passes FROM q")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _processed(spark, sf_dir).where("code is not null").withColumn("q", quality.quality_score(F.col("code"), F.col("lang")))
+    scored = _scored(spark, sf_dir)
     return scored.select("doc_id", F.round("q", 9).alias("quality"), (F.col("q") >= 0.3).alias("passes"))
 
 

@@ -174,10 +174,10 @@ def resume_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latest_with(table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("event_type") == "purchase").alias("has")), "has")
 
 
-@query("""SELECT user_id, event_id, round(step_ms, 3) AS step_ms FROM (SELECT user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1000.0::DOUBLE AS step_ms FROM events)""")
+@query("""SELECT user_id, event_id, round(step_ms, 3) AS step_ms, round(CASE WHEN step_ms > 0 THEN value / (step_ms / 1000) END, 6) AS tokens_per_sec FROM (SELECT user_id, event_id, value, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1000.0::DOUBLE AS step_ms FROM events)""")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), "value")
-    return metrics.throughput(log, "user_id", "event_id", "s", "value").select("user_id", "event_id", F.round("step_ms", 3).alias("step_ms"))
+    return metrics.throughput(log, "user_id", "event_id", "s", "value").select("user_id", "event_id", F.round("step_ms", 3).alias("step_ms"), F.round("tokens_per_sec", 6).alias("tokens_per_sec"))
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
@@ -259,7 +259,7 @@ def top_k_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("k").alias("kept"), F.round(F.aggregate("k", F.lit(0.0), lambda s, v: s + v), 9).alias("total"))
 
 
-@query(f"WITH {_ELEM}, p AS (SELECT vec_id, v, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM el), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*)::INT AS kept FROM c WHERE before <= 0.5 GROUP BY vec_id")
+@query(f"WITH {_ELEM}, p AS (SELECT vec_id, v, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM el), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*)::INT AS kept FROM c WHERE before < 0.5 GROUP BY vec_id")
 def top_p_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", F.size(F.filter(vector.top_p(F.col("x"), 0.5), lambda v: v.isNotNull())).alias("kept"))
 
@@ -405,14 +405,14 @@ def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tokenizer_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    merges = tokenizer.learn_merges(tokenizer.pretoken_counts(docs), 300)
-    return tokenizer.compression(docs, tokenizer.encode(docs, merges))
+    merges = tokenizer.learn_merges(tokenizer.pretoken_counts(docs), schedule.BPE_SIZE - 256)
+    return tokenizer.compression(docs, tokenizer.encode(docs, merges), overall="*")
 
 
 @query()
 def tokenizer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    merges = tokenizer.learn_merges(tokenizer.pretoken_counts(docs), 300)
+    merges = tokenizer.learn_merges(tokenizer.pretoken_counts(docs), schedule.BPE_SIZE - 256)
     ids = written(tokenizer.encode(docs, merges))
     back = tokenizer.decode(ids, merges).withColumnRenamed("text", "decoded")
     return docs.join(back, "doc_id").join(ids, "doc_id").select("doc_id", F.size("ids").alias("tokens"), (F.col("text") == F.col("decoded")).alias("same"))

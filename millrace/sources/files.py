@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import u01
 from millrace.functions.text import first_truthy
 from millrace.operators.chat import SFT_SCHEMA
+from millrace.operators.pack import ordered_positions
 
 # Fixed values.
-CODE_SUFFIXES = ("py", "js", "ts", "java", "cpp", "c", "h", "go", "rs", "rb", "php", "cs", "swift", "kt")
-REPO_SUFFIXES = (*CODE_SUFFIXES, "tsx", "hpp", "scala", "sh", "bash", "sql", "lua", "jl", "r")
+CODE_SUFFIXES = ("py", "js", "ts", "java", "cpp", "c", "h", "go", "rs", "rb", "php", "cs", "kt", "swift")
+REPO_SUFFIXES = ("py", "js", "ts", "tsx", "java", "cpp", "c", "h", "hpp", "go", "rs", "rb", "php", "cs", "kt", "swift", "scala", "sh", "bash", "sql", "lua", "jl", "r")
 SKIPPED_FOLDERS = ("node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build", ".tox", ".eggs", "vendor")
 DPO_SCHEMA = "prompt string, chosen string, rejected string"
 HUMANEVAL_SCHEMA = "task_id string, prompt string, canonical_solution string, test string, entry_point string"
@@ -82,3 +89,51 @@ def packed_uint16(tokens: DataFrame) -> DataFrame:
     """doc_id, bytes: ids as little-endian unsigned 16-bit integers, for readers of flat token files."""
     hexes = F.transform("ids", lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 256)), 2, "0")))
     return tokens.select("doc_id", F.unhex(F.array_join(hexes, "")).alias("bytes"))
+
+
+def synthetic_tokens(spark: SparkSession, rows: int, length: int, vocab: int, seed: int = 42) -> DataFrame:
+    """row, input_ids, targets: ids drawn evenly from the vocabulary, the targets one place further."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(length)), lambda i: F.floor(u01(seed, "synthetic", F.col("id"), i) * vocab).cast("int"))
+    made = spark.range(rows).select(F.col("id").alias("row"), ids.alias("ids"))
+    return made.select("row", F.slice("ids", 1, length).alias("input_ids"), F.slice("ids", 2, length).alias("targets"))
+
+
+def flat_tokens(spark: SparkSession, folder: str, batch: int = 1024) -> DataFrame:
+    """row, offset, length, ids from tokens.bin (unsigned 16-bit) and index.npy (offset, length of each sample).
+
+    The folder must be mounted wherever tasks run. Tasks read their own rows of the index and their own slices of the
+    tokens through memory maps; the driver reads the index's header only.
+    """
+    tokens, index = os.path.join(folder, "tokens.bin"), os.path.join(folder, "index.npy")
+    for path in (tokens, index):
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+    shape = np.load(index, mmap_mode="r").shape if os.path.getsize(index) else (0,)
+    if shape != (0,) and (len(shape) != 2 or shape[1] != 2):
+        raise ValueError(f"the index has shape {shape}, not (n, 2)")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat = np.memmap(tokens, dtype="<u2", mode="r") if os.path.getsize(tokens) else np.zeros(0, dtype="<u2")
+        places = np.load(index, mmap_mode="r")
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                rows = frame["id"].to_numpy()[at : at + batch]
+                own = np.asarray(places[rows])
+                yield pd.DataFrame({"row": rows, "offset": own[:, 0], "length": own[:, 1], "ids": [flat[o : o + n].astype(np.int32) for o, n in own]})
+
+    return spark.range(shape[0]).mapInPandas(read, "row bigint, offset bigint, length bigint, ids array<int>")
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """Evaluation results as JSON lines; a run that is repeated replaces them."""
+    df.write.mode("overwrite").json(path)
+
+
+def append_metrics(df: DataFrame, path: str) -> None:
+    """Metric rows as JSON lines, added to those that are there."""
+    df.write.mode("append").json(path)
+
+
+def walked(files: DataFrame, path: str = "path") -> DataFrame:
+    """files with `position`: their place in order of path."""
+    return ordered_positions(files.withColumn("__one", F.lit(1)), path, "__one").withColumnRenamed("start", "position").drop("__one")

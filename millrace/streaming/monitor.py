@@ -46,6 +46,11 @@ def ema(stream: DataFrame, key: str = "user_id", decay: float = 0.99, spike: flo
     return stream.groupBy(key).applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
+def metric_lines(stream: DataFrame, path: str, checkpoint: str):
+    """As written, each batch added as JSON lines."""
+    return stream.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+
+
 def written(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """A query that writes what there is as Parquet and stops; it goes on from its checkpoint the next time."""
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(path)
