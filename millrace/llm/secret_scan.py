@@ -19,6 +19,8 @@ OWNED = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value in more owners than this is a widely copied example.
 MAX_OWNERS = 2
+#: Tasks that share the spans of one value.
+SALTS = 64
 #: A live-looking value has at least so many digits, letters and distinct characters.
 LEAST_DIGITS, LEAST_LETTERS, LEAST_DISTINCT = 4, 4, 10
 
@@ -29,21 +31,32 @@ def _looks_live(value: Column) -> Column:
     return (digits >= LEAST_DIGITS) & (letters >= LEAST_LETTERS) & (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_DISTINCT)
 
 
-def _matches(texts: DataFrame, kind: str, pattern: str, least: int, group: int) -> DataFrame:
-    """key, kind, start, end, value of every match of the pattern whose group is long enough.
+def _parts(text: Column, kind: str, pattern: str, least: int, group: int) -> Column:
+    """One struct for each match of the pattern: kind, pos, gap (code points since the match before), size, value.
 
     The text splits at the matches; a match starts where the parts and matches before it end. Counting code points
-    of the parts gives positions without a function of the regex engine that would return them.
+    of the parts gives positions without a function of the regex engine that would return them. The value is null
+    where the match fails, but its size still moves those behind it.
     """
-    hits = texts.where(F.col("text").rlike(pattern))
-    parts = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"))
-    rows = hits.select("key", F.posexplode(parts).alias("pos", "part")).where(F.col("part.hit").isNotNull())
-    rows = rows.select("key", "pos", F.length("part.gap").alias("gap"), F.col("part.hit").alias("hit"))
-    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum((F.col("gap") + F.length("hit")).cast("long")).over(upto)
-    value = F.regexp_extract("hit", pattern, group) if group else F.col("hit")
-    rows = rows.select("key", F.lit(kind).alias("kind"), (end - F.length("hit")).alias("start"), end.alias("end"), value.alias("value"))
-    return rows.where(F.length("value") >= least)
+
+    def part(p: Column, i: Column) -> Column:
+        value = F.regexp_extract(p["hit"], pattern, group) if group else p["hit"]
+        holds = F.length(value) >= least
+        if kind == "owned":
+            holds = holds & _looks_live(value)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("size"), F.when(holds, value).alias("value"))
+
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return F.transform(F.filter(pairs, lambda p: p["hit"].isNotNull()), part)
+
+
+def _found(texts: DataFrame) -> DataFrame:
+    """key, kind, start, end, value of every match that holds, of a table of key and parts: running sums by text."""
+    rows = texts.select("key", F.explode("parts").alias("part")).select("key", "part.*")
+    upto = Window.partitionBy("key", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum((F.col("gap") + F.col("size")).cast("long")).over(upto)
+    rows = rows.withColumn("end", end).where(F.col("value").isNotNull())
+    return rows.select("key", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
 
 
 def text_key(text: Column) -> Column:
@@ -59,19 +72,16 @@ def spans(docs: DataFrame, repository: str = "source", owner: str = "source", ma
     away from base spans. Owners are counted over all documents: (value, repository, owner) first, so that a value
     of a third of all rows is reduced on the map side. A null repository or owner counts as one of its own.
     """
-    cols = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("key"), "text", F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-    some = F.col("text").rlike("[0-9]") & F.col("text").rlike(OWNED)  # a live-looking value has digits
+    text = F.col("text")
+    some = text.rlike("[0-9]") & text.rlike(OWNED)  # a live-looking value has digits
     for _, pattern, _, _ in BASE:
-        some = some | F.col("text").rlike(pattern)
-    hits = stored(cols.where(some), "secret-hits")  # each kind reads it
+        some = some | text.rlike(pattern)
+    parts = F.concat(*[_parts(text, *rule) for rule in (*BASE, ("owned", OWNED, 20, 0))])
+    who = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((repository, "repository"), (owner, "owner"))]
+    # Texts are read once: what goes on is their matches.
+    hits = stored(docs.where(some).select(text_key(text).alias("key"), *who, parts.alias("parts")), "secret-hits")
     where = hits.groupBy("key", "repository", "owner").agg(F.count(F.lit(1)).alias("copies"))
-    texts = hits.select("key", "text").dropDuplicates(["key"])
-    found = None
-    for kind, pattern, least, group in (*BASE, ("owned", OWNED, 20, 0)):
-        one = _matches(texts, kind, pattern, least, group)
-        if kind == "owned":
-            one = one.where(_looks_live(F.col("value")))
-        found = one if found is None else found.unionByName(one)
+    found = _found(hits.select("key", "parts").dropDuplicates(["key"]))
     found = found.withColumn("value_hash", F.sha2(F.col("value").cast("binary"), 256))
     # An owned span that touches a base span of its text goes: ends so far, in order of start, and the next start.
     base_end = F.when(F.col("kind") != "owned", F.col("end"))
@@ -82,12 +92,15 @@ def spans(docs: DataFrame, repository: str = "source", owner: str = "source", ma
         "__after": F.min(base_start).over(order.rowsBetween(0, Window.unboundedFollowing)),
     })
     away = (F.coalesce(F.col("__before"), F.lit(0)) <= F.col("start")) & (F.col("__after").isNull() | (F.col("__after") >= F.col("end")))
-    found = found.where((F.col("kind") != "owned") | away).drop("__before", "__after")
+    found = found.where((F.col("kind") != "owned") | away).withColumn("live", _looks_live(F.col("value")))
+    found = stored(found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).drop("__before", "__after", "value"), "secret-spans")
     held = found.select("key", "value_hash").distinct().join(where, "key").groupBy("value_hash", "repository", "owner").agg(F.sum("copies").alias("copies"))
     by_owner = held.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("copies").alias("copies"))
     counts = by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
-    out = found.join(counts, "value_hash")
-    verdict = F.when(F.col("owners") > max_owners, "example").when(_looks_live(F.col("value")), "live").otherwise("weak")
+    # A value that many texts share meets its counts once for each salt, and its spans by value and salt.
+    counts = found.select("value_hash", "salt").distinct().join(counts, "value_hash")
+    out = found.join(counts, ["value_hash", "salt"])
+    verdict = F.when(F.col("owners") > max_owners, "example").when(F.col("live"), "live").otherwise("weak")
     out = out.withColumn("verdict", verdict).where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     return out.select("key", "kind", "start", "end", "value_hash", "owners", "repositories", "copies", "verdict")
 
