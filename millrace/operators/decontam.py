@@ -47,19 +47,19 @@ def benchmark_ngrams(benchmark: DataFrame, text: str = "text", n: int = N) -> Da
 
 
 def flags(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """key, ngrams, shared, contaminated: the share is of the sample's own distinct n-grams.
+    """key, ngrams, shared, contaminated: the share is of the sample's own distinct n-grams. A row for each row.
 
-    Only n-grams that meet the benchmark's are counted further, so one exploded pass and a sum by key; the test set is
-    broadcast if its size allows, and joined by its n-grams if not.
+    One pass: n-grams are made once, exploded, marked and summed by row, in the map task first, so that only sums
+    move. The test set is broadcast if its size allows, and joined by its n-grams if not.
     """
-    wanted = benchmark_ngrams(benchmark, n=n)
+    wanted = benchmark_ngrams(benchmark, n=n).withColumn("__hit", F.lit(1))
     if wanted.count() <= BROADCAST_NGRAMS:
         wanted = F.broadcast(wanted)
-    own = docs.select(key, ngram_set(F.col(text), n).alias("gs"))
-    hits = own.select(key, F.explode("gs").alias("g")).join(wanted, "g", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
-    sizes = own.select(key, F.size("gs").cast("long").alias("ngrams"))
-    out = sizes.join(hits, key, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    return out.withColumn("contaminated", (F.col("ngrams") > 0) & (F.col("shared") / F.greatest("ngrams", F.lit(1)) >= threshold))
+    own = docs.select(key, F.monotonically_increasing_id().alias("__row"), ngram_set(F.col(text), n).alias("gs"))
+    own = own.select(key, "__row", F.explode_outer("gs").alias("g"))
+    sums = own.join(wanted, "g", "left").groupBy(key, "__row").agg(F.count("g").alias("ngrams"), F.count("__hit").alias("shared"))
+    share = F.col("shared") / F.greatest("ngrams", F.lit(1))
+    return sums.select(key, "ngrams", "shared", ((F.col("ngrams") > 0) & (share >= threshold)).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:

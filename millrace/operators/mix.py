@@ -118,7 +118,7 @@ def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, simila
     scored = written(scored.withColumn("low", low))
     good = scored.where(~F.col("low"))
     kept = dedup.deduplicated(good, "code", key, similar, num_perm, bands=bands)
-    marks = decontam.flags(good.join(kept.where("kept"), key, "left_semi"), benchmark, key, "code").select(key, "contaminated")
+    marks = decontam.flags(good, benchmark, key, "code").select(key, "contaminated")  # a map: no text moves for it
     out = scored.join(kept, key, "left").join(marks, key, "left")
     stage = F.when(F.col("low"), STAGES[0]).when(~F.col("kept"), STAGES[1]).when(F.col("contaminated"), STAGES[2]).otherwise(STAGES[3])
     passed = F.when(stage == STAGES[3], fim_sample(F.col("code"), fim_rate, seed, F.col(key))).otherwise(F.col("code"))
