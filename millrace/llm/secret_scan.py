@@ -19,7 +19,7 @@ OWNED = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value in more owners than this is a widely copied example.
 MAX_OWNERS = 2
-#: Tasks that share the spans of one value.
+#: Tasks that share the spans of one value, or the documents of one text.
 SALTS = 64
 #: A live-looking value has at least so many digits, letters and distinct characters.
 LEAST_DIGITS, LEAST_LETTERS, LEAST_DISTINCT = 4, 4, 10
@@ -63,6 +63,10 @@ def text_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def _salt(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(SALTS))
+
+
 def spans(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """Every candidate of every distinct text: key (md5 of the text), kind, start, end, value_hash, owners,
     repositories, verdict.
@@ -72,6 +76,11 @@ def spans(docs: DataFrame, repository: str = "source", owner: str = "source", ma
     away from base spans. Owners are counted over all documents: (value, repository, owner) first, so that a value
     of a third of all rows is reduced on the map side. A null repository or owner counts as one of its own.
     """
+    return _spans(docs.where(F.col("text").isNotNull()).withColumn("__salt", F.lit(0)), repository, owner, max_owners)[1]
+
+
+def _spans(docs: DataFrame, repository: str, owner: str, max_owners: int) -> tuple[DataFrame, DataFrame]:
+    """The key and __salt of each document with candidates, and the spans."""
     text = F.col("text")
     some = text.rlike("[0-9]") & text.rlike(OWNED)  # a live-looking value has digits
     for _, pattern, _, _ in BASE:
@@ -79,7 +88,7 @@ def spans(docs: DataFrame, repository: str = "source", owner: str = "source", ma
     parts = F.concat(*[_parts(text, *rule) for rule in (*BASE, ("owned", OWNED, 20, 0))])
     who = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((repository, "repository"), (owner, "owner"))]
     # Texts are read once: what goes on is their matches.
-    hits = stored(docs.where(some).select(text_key(text).alias("key"), *who, parts.alias("parts")), "secret-hits")
+    hits = stored(docs.where(some).select(text_key(text).alias("key"), "__salt", *who, parts.alias("parts")), "secret-hits")
     where = hits.groupBy("key", "repository", "owner").agg(F.count(F.lit(1)).alias("copies"))
     found = _found(hits.select("key", "parts").dropDuplicates(["key"]))
     found = found.withColumn("value_hash", F.sha2(F.col("value").cast("binary"), 256))
@@ -93,7 +102,7 @@ def spans(docs: DataFrame, repository: str = "source", owner: str = "source", ma
     })
     away = (F.coalesce(F.col("__before"), F.lit(0)) <= F.col("start")) & (F.col("__after").isNull() | (F.col("__after") >= F.col("end")))
     found = found.where((F.col("kind") != "owned") | away).withColumn("live", _looks_live(F.col("value")))
-    found = stored(found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).drop("__before", "__after", "value"), "secret-spans")
+    found = stored(found.withColumn("salt", _salt("key")).drop("__before", "__after", "value"), "secret-spans")
     held = found.select("key", "value_hash").distinct().join(where, "key").groupBy("value_hash", "repository", "owner").agg(F.sum("copies").alias("copies"))
     by_owner = held.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("copies").alias("copies"))
     counts = by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
@@ -102,7 +111,7 @@ def spans(docs: DataFrame, repository: str = "source", owner: str = "source", ma
     out = found.join(counts, ["value_hash", "salt"])
     verdict = F.when(F.col("owners") > max_owners, "example").when(F.col("live"), "live").otherwise("weak")
     out = out.withColumn("verdict", verdict).where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
-    return out.select("key", "kind", "start", "end", "value_hash", "owners", "repositories", "copies", "verdict")
+    return hits.select("key", "__salt"), out.select("key", "kind", "start", "end", "value_hash", "owners", "repositories", "copies", "verdict")
 
 
 def _joined(only: Column | None = None) -> Column:
@@ -121,13 +130,17 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     """
     base = F.col("kind") != "owned"
     count = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(name)
-    by_text = spans(docs, repository, owner).groupBy("key").agg(
+    salted = docs.withColumn("__salt", _salt("doc_id"))
+    holders, found = _spans(salted, repository, owner, MAX_OWNERS)
+    by_text = found.groupBy("key").agg(
         *[count(F.col("kind") == k, f"n_{k}") for k in KINDS[:3]],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined().alias("spans"),
         count(F.col("verdict") == "live", "n_live"), count(F.col("verdict") == "example", "n_example"),
     )
-    keyed = docs.select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"))
-    out = keyed.join(by_text, "key", "left")
+    # Copies of one text meet its spans by key and salt, so that a large group of them isn't one task.
+    by_text = holders.distinct().join(by_text, "key")
+    keyed = salted.select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"), "__salt")
+    out = keyed.join(by_text, ["key", "__salt"], "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example")}
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return out.select("doc_id", zero["n_assign"], zero["n_access"], zero["n_hex"], F.coalesce("base_sha256", empty).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero["n_live"], zero["n_example"])
