@@ -202,3 +202,15 @@ def test_long_series_and_part_blocks(spark):
         assert abs(got[i] - e) < 1e-9
     row = spark.range(1).select(F.size(vector.blocks(F.sequence(F.lit(1), F.lit(65)), 32)).alias("n")).first()
     assert row.n == 3
+
+
+def test_contamination_is_a_row_for_each_row_with_and_without_broadcast(spark, monkeypatch):
+    from millrace.operators import decontam
+
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, item), (1, "of this " * 20), (1, None), (None, item), (2, item + " twelve")], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(item,), (item,), (None,)], "text string")
+    want = sorted([(1, 2, 2, True), (1, 2, 0, False), (1, 0, 0, False), (None, 2, 2, True), (2, 3, 2, True)], key=str)
+    for bound in (decontam.BROADCAST_NGRAMS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_NGRAMS", bound)
+        assert sorted(map(tuple, decontam.flags(docs, bench).collect()), key=str) == want
