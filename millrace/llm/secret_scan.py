@@ -87,7 +87,7 @@ def _spans(docs: DataFrame, repository: str, owner: str, max_owners: int) -> tup
         some = some | text.rlike(pattern)
     parts = F.concat(*[_parts(text, *rule) for rule in (*BASE, ("owned", OWNED, 20, 0))])
     who = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((repository, "repository"), (owner, "owner"))]
-    # Texts are read once: what goes on is their matches.
+    # Texts go no further: what is stored and moved is their matches.
     hits = stored(docs.where(some).select(text_key(text).alias("key"), "__salt", *who, parts.alias("parts")), "secret-hits")
     where = hits.groupBy("key", "repository", "owner").agg(F.count(F.lit(1)).alias("copies"))
     found = _found(hits.select("key", "parts").dropDuplicates(["key"]))
@@ -125,8 +125,8 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     """One row per document: counts of the base kinds, the digest of the base spans, all spans, and how many of
     its spans are `live` and `example` in the corpus.
 
-    Null and empty texts have no spans: counts 0, `spans` empty, the digest of the empty string. Texts are scanned
-    once however many copies there are; repeated rows get a row each.
+    Null and empty texts have no spans: counts 0, `spans` empty, the digest of the empty string. Matches of
+    equal texts count once each for their text; repeated rows get a row each.
     """
     base = F.col("kind") != "owned"
     count = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(name)
