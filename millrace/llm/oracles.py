@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import line_dedup, secret_scan
+from millrace.llm import line_dedup, merkle, secret_scan
 
 #: The 256 values of the CRC-32 table by its rule.
 _CRC_TABLE = "tb AS (SELECT list_transform(generate_series(0, 255), lambda n: list_reduce(generate_series(1, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tbl)"
@@ -69,10 +69,31 @@ def secrets() -> str:
            coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN s USING (key)"""
 
 
+#: Plain grouping by client: no vectors, no salts.
+def cohort_cells() -> str:
+    return f"""
+    WITH {_CRC_TABLE},
+    e AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+    h AS (SELECT *, {_crc32("click_id::VARCHAR")} AS h FROM e, tb),
+    k AS (SELECT client_id, epoch_us(ts) AS us, kind = 'purchase' AS buys, CASE WHEN isfinite(value) THEN floor(100 * value + 0.5)::BIGINT ELSE 0 END AS cents,
+          coalesce(arrived_at + to_days((CASE WHEN h % 3 = 0 THEN h % 100 ELSE 0 END)::INT) < TIMESTAMP '2024-03-01', false) AS early FROM h),
+    s AS (SELECT client_id, min(us) FILTER (WHERE buys AND early) AS s0, min(us) FILTER (WHERE buys) AS s1 FROM k GROUP BY 1),
+    z AS (SELECT client_id, 0 AS state, s0 AS start FROM s WHERE s0 IS NOT NULL UNION ALL SELECT client_id, 1, s1 FROM s WHERE s1 IS NOT NULL),
+    a AS (SELECT z.client_id, z.state, start // 259200000000 AS cohort, (us - start) // 259200000000 AS period,
+          coalesce((s0 // 259200000000 <> s1 // 259200000000)::INT, 0) AS moved, cents
+          FROM k JOIN z USING (client_id) JOIN s USING (client_id) WHERE us >= start AND (state = 1 OR early)),
+    p AS (SELECT client_id, state, cohort, period, moved, sum(cents) AS cents FROM a GROUP BY ALL),
+    g AS (SELECT client_id, arg_max(coalesce(city, ''), (coalesce(updated_at, TIMESTAMP '0001-01-01'), coalesce(city, ''))) AS segment FROM clients GROUP BY 1)
+    SELECT state, coalesce(segment, '') AS segment, cohort::BIGINT AS cohort, period::BIGINT AS period, count(*) AS users, sum({_crc32("p.client_id::VARCHAR")})::BIGINT AS users_crc32,
+           sum(moved)::BIGINT AS moved, sum(cents)::BIGINT AS cents FROM p LEFT JOIN g USING (client_id), tb GROUP BY ALL"""
+
+
 def all_of_them(shard_count: int, rows_per_bucket: int) -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.report_sql("documents", "doc_id", "source"),
         "op7_rendezvous_shards": shards(shard_count, rows_per_bucket),
         "op8_ngram_jaccard_join": COMPONENTS,
         "op10_secret_ownership": secrets(),
+        "op11_merkle_manifest": merkle.manifest_sql(),
+        "op13_cohort_retention": cohort_cells(),
     }

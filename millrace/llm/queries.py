@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, fingerprints, jaccard_join, langid, line_dedup, oracles, quality_cnn, secret_scan, sharding, token_counts
+from millrace.llm import bpe, cohorts, decontaminate, fingerprints, jaccard_join, langid, line_dedup, merkle, oracles, quality_cnn, secret_scan, sharding, token_counts
 from millrace.llm.common import held_out, stored, table
 
 SHARDS = 40
+#: State 0 of op13 knows what arrives before 2024-03-01 00:00.
+CUT_US = 19_783 * cohorts.DAY_US
 QUALITY_THRESHOLD = 0.7
 
 
@@ -109,6 +111,26 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle proof of every document and whether its row, as it is found later, still gives the root.
+
+    Null ids come first in their source and are never tampered with; rows of one id go by their leaves, equal rows have
+    places of their own; a null source is a tree of its own, null fields aren't empty ones; very long texts are hashed
+    whole; an empty table gives no rows; other columns are not looked at.
+    """
+    return merkle.prove(table(spark, sf_dir, "documents"), merkle.lower_cased())
+
+
+def op13_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retention cells of the clicks in two states of knowledge: see `cohorts.matrix`.
+
+    Equal rows count once, rows without ts or client_id not at all; a null value is 0 cents, a null arrived_at is known
+    to state 1 only, a null click_id isn't late; long or null props matter for equality alone; empty tables give no rows.
+    """
+    clicks, clients = table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients")
+    return cohorts.matrix(clicks, clients, cohorts.late_arrival(), [CUT_US])
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -120,6 +142,8 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_piecewise_fingerprints": op9_piecewise_fingerprints,
     "op10_secret_ownership": op10_secret_ownership,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_cohort_retention": op13_cohort_retention,
 }
 
 ORACLES = oracles.all_of_them(SHARDS, sharding.ROWS_PER_BUCKET)
