@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, cohorts, decontaminate, fingerprints, jaccard_join, langid, line_dedup, merkle, oracles, quality_cnn, secret_scan, sharding, token_counts
+from millrace.llm import bpe, cohorts, decontaminate, fingerprints, jaccard_join, katz, langid, line_dedup, merkle, oracles, quality_cnn, secret_scan, sharding, token_counts
 from millrace.llm.common import held_out, stored, table
 
 SHARDS = 40
@@ -121,6 +121,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"), merkle.lower_cased())
 
 
+def op12_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every whole text by a pair model with backoff: see `katz.score`.
+
+    Null and empty texts are their end alone; a null id counts as the empty text for its remainder; very long texts are
+    whole; repeated rows teach and are scored each; an empty table gives no rows; other columns are not looked at.
+    """
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    return katz.score(table(spark, sf_dir, "documents"), remainder != 1)[0]
+
+
 def op13_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retention cells of the clicks in two states of knowledge: see `cohorts.matrix`.
 
@@ -143,6 +153,7 @@ QUERIES = {
     "op9_piecewise_fingerprints": op9_piecewise_fingerprints,
     "op10_secret_ownership": op10_secret_ownership,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_katz_backoff": op12_katz_backoff,
     "op13_cohort_retention": op13_cohort_retention,
 }
 
