@@ -134,7 +134,7 @@ def backoff(shares: np.ndarray, total: np.ndarray, seen: np.ndarray, lower: np.n
     return denominator, np.where(total > 0, weight, 1.0)
 
 
-def chunks(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+def chunks(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """The corpus by chunks: words (hashes), ids (each token's place in them, END after each text), lens, train, docs.
 
     The first two words of a chunk are END and START. Documents are never cut.
@@ -166,7 +166,7 @@ def chunks(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
                 hashes, n = word_hashes(part.column(1))
                 held.append((hashes, n, np.asarray(part.column(2).cast(pa.int8())).astype(np.int64), part.column(0)))
                 size += len(hashes) + len(n)
-                if size >= CHUNK_TOKENS:
+                if size >= chunk_tokens:
                     yield row()
                     held, size, made = [], 0, made + 1
         if held:
@@ -238,7 +238,7 @@ def count_words(asked: DataFrame) -> DataFrame:
 class Chunk:
     """One chunk with the counts of its words: its distinct pairs, and the cells that these go to."""
 
-    def __init__(self, row: dict, answers: list[dict], cells: int):
+    def __init__(self, row: dict, answers: list[dict], cells: int, cell_tokens: int):
         self.words, ids, self.lens = unpack(row["words"]), unpack(row["ids"]), unpack(row["lens"])
         n = len(self.words)
         self.counts = np.zeros(n, dtype=np.int64)
@@ -254,7 +254,7 @@ class Chunk:
         self.h, self.w = keys // n, keys % n
         self.totals = self.counts.copy()  # tokens after each word, START and END changed
         self.totals[1], self.totals[0] = self.counts[0], 0
-        split = -(-self.totals // CELL_TOKENS)
+        split = -(-self.totals // cell_tokens)
         place = lambda h, part: (mix(self.words[h] + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(cells)).astype(np.int64)
         part = np.where(split[self.h] > 1, (mix(self.words[self.w]) % np.maximum(split[self.h], 1).astype(np.uint64)).astype(np.int64), 0)
         cell = place(self.h, part)
@@ -288,13 +288,13 @@ def _cogrouped(made: DataFrame, answers: DataFrame):
     return made.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
 
-def ask_pairs(made: DataFrame, answers: DataFrame, cells: int) -> DataFrame:
+def ask_pairs(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int) -> DataFrame:
     """cell, chunk and a chunk's pairs there: contexts, pairs of each, words, their counts, each pair's word and times."""
     names = ["contexts", "runs", "words", "counts", "place", "n"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        rows = list(Chunk(row, right.to_pylist(), cells).questions(_trained(row)))
+        rows = list(Chunk(row, right.to_pylist(), cells, cell_tokens).questions(_trained(row)))
         out = {"cell": pa.array([c for c, _ in rows], pa.int32()), "chunk": pa.array([row["chunk"]] * len(rows), pa.int64())}
         return pa.table(out | {n: pa.array([pack(x[k]) for _, x in rows], pa.binary()) for k, n in enumerate(names)})
 
@@ -334,12 +334,12 @@ def count_pairs(asked: DataFrame, words: Words) -> DataFrame:
     return asked.groupBy("cell").applyInArrow(run, _ANSWERS)
 
 
-def evaluate(made: DataFrame, answers: DataFrame, cells: int, words: Words, shares: np.ndarray, key: str, kind: str, named: str) -> DataFrame:
+def evaluate(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int, words: Words, shares: np.ndarray, key: str, kind: str, named: str) -> DataFrame:
     """The scores of the chunks' documents from the answers to their words and pairs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row, given = left.to_pylist()[0], right.to_pylist()
-        own = Chunk(row, given, cells)
+        own = Chunk(row, given, cells, cell_tokens)
         counts, lower, few = np.zeros(len(own.h), dtype=np.int64), np.zeros(len(own.words)), np.zeros((LARGEST_DISCOUNTED, len(own.words)), dtype=np.int64)
         told = {a["cell"]: a for a in given if a["kind"] == "pair"}
         for cell, contexts, pairs in own.spans():
@@ -389,23 +389,23 @@ def unpacked(tables: Tables) -> DataFrame:
     return tables.pairs.select("a", "b", "c", "d", "e").mapInArrow(run, "context long, word long, count long")
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", named: str = "held_out") -> tuple[DataFrame, Tables]:
+def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", named: str = "held_out", chunk_tokens: int = CHUNK_TOKENS, cell_tokens: int = CELL_TOKENS) -> tuple[DataFrame, Tables]:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; and the tables.
 
     Rows where `train` holds teach, all are scored. A null or empty text is its end alone; a null key is as any other;
     repeated rows teach and are scored each; very long texts are whole; without training rows every token is the one
     unknown outcome (score 0); an empty table gives no rows. Other columns are not looked at, whatever their names.
 
-    Words are known by 64-bit hashes. Pairs of a context of more than CELL_TOKENS tokens go to several cells.
+    Words are known by 64-bit hashes. Pairs of a context of more than cell_tokens tokens go to several cells.
     """
-    made = stored(chunks(docs, F.coalesce(train, F.lit(False)), text, key), "chunks")
-    cells = max(1, -(-(made.agg(F.sum("tokens")).first()[0] or 0) // CELL_TOKENS))
+    made = stored(chunks(docs, F.coalesce(train, F.lit(False)), text, key, chunk_tokens), "chunks")
+    cells = max(1, -(-(made.agg(F.sum("tokens")).first()[0] or 0) // cell_tokens))
     words = stored(count_words(ask_words(made, cells)), "words")
     tokens, types, *few = _summed(words)
     lower = Words(tokens, types, few)
     told = words.where(F.col("kind") == "word")
-    pairs = stored(count_pairs(ask_pairs(made, told, cells), lower), "pairs")
+    pairs = stored(count_pairs(ask_pairs(made, told, cells, cell_tokens), lower), "pairs")
     shares = discounts(_summed(pairs)[2:])
     answers = told.unionByName(pairs.where(F.col("kind") == "pair"))
     tables = Tables(words.where(F.col("kind") == "words"), pairs.where(F.col("kind") == "pairs"), lower, shares)
-    return evaluate(made, answers, cells, lower, shares, key, dict(docs.dtypes)[key], named), tables
+    return evaluate(made, answers, cells, cell_tokens, lower, shares, key, dict(docs.dtypes)[key], named), tables

@@ -14,7 +14,6 @@ from millrace.llm.common import stored
 FANOUT = 16
 #: Levels of the tree in one block: a task's group has FANOUT ** LEVELS nodes at most.
 LEVELS = 2
-BLOCK = FANOUT**LEVELS
 #: Tasks over which the blocks of one tree are dealt when they meet its path to the root.
 SALTS = 16
 
@@ -52,10 +51,10 @@ def traverse(digests: list[str], height: int, paths: list[list] | None = None, f
     return digest("".join(roots))
 
 
-def height_of(size: int) -> int:
+def height_of(size: int, levels: int) -> int:
     """Levels of a block in a tree of so many nodes: runs are hashed while several nodes remain."""
     height = 0
-    while height < LEVELS and FANOUT**height < size:
+    while height < levels and FANOUT**height < size:
         height += 1
     return height
 
@@ -95,31 +94,31 @@ def numbered(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
     return here.join(runs, ["tree", "__part"]).withColumn("pos", F.col("__row") + F.col("__base")).drop("__part", "__row", "__base")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", levels * (FANOUT.bit_length() - 1)))
 
 
-def _sorted_digests(group: pa.Table) -> tuple[pa.Table, list[str], int]:
+def _sorted_digests(group: pa.Table, levels: int) -> tuple[pa.Table, list[str], int]:
     group = group.sort_by("pos")
-    return group, group["digest"].to_pylist(), height_of(group["size"][0].as_py())
+    return group, group["digest"].to_pylist(), height_of(group["size"][0].as_py(), levels)
 
 
-def roots(nodes: DataFrame) -> DataFrame:
-    """The nodes LEVELS levels higher: tree, pos, size, digest of each aligned block."""
+def roots(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """The nodes so many levels higher: tree, pos, size, digest of each aligned block."""
 
     def up(group: pa.Table) -> pa.Table:
-        group, digests, height = _sorted_digests(group)
-        size = -(-group["size"][0].as_py() // BLOCK)
+        group, digests, height = _sorted_digests(group, levels)
+        size = -(-group["size"][0].as_py() // FANOUT**levels)
         return pa.table({"tree": group["tree"].slice(0, 1), "pos": group["block"].slice(0, 1), "size": [size], "digest": [traverse(digests, height)]})
 
-    return _blocks(nodes).select("tree", "block", "pos", "size", "digest").groupBy("tree", "block").applyInArrow(up, _NODES)
+    return _blocks(nodes, levels).select("tree", "block", "pos", "size", "digest").groupBy("tree", "block").applyInArrow(up, _NODES)
 
 
-def descend(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def descend(nodes: DataFrame, above: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The path of each node to its tree's top: its own in the block, then that of the block's root."""
 
     def down(group: pa.Table, over: pa.Table) -> pa.Table:
-        group, digests, height = _sorted_digests(group)
+        group, digests, height = _sorted_digests(group, levels)
         paths: list[list] = [[] for _ in digests]
         traverse(digests, height, paths)
         places, siblings, top = over["places"][0].as_py(), over["siblings"][0].as_py(), over["top"][0].as_py()
@@ -130,30 +129,30 @@ def descend(nodes: DataFrame, above: DataFrame) -> DataFrame:
         }
         return pa.table({"tree": group["tree"], "pos": group["pos"]} | out)
 
-    left = _blocks(nodes).select("tree", "block", "pos", "size", "digest").groupBy("tree", "block")
+    left = _blocks(nodes, levels).select("tree", "block", "pos", "size", "digest").groupBy("tree", "block")
     return left.cogroup(above.withColumnRenamed("pos", "block").groupBy("tree", "block")).applyInArrow(down, _PATHS)
 
 
-def ascend(nodes: DataFrame) -> DataFrame:
+def ascend(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """tree, pos, places, siblings, top of each block root above the nodes: its path to its tree's top.
 
-    Every round has a BLOCK-th of the rows of the one before, and trees that have come to one node leave.
+    Every round has a FANOUT ** levels-th of the rows of the one before, and trees that have come to one node leave.
     """
-    made = stored(roots(nodes), "roots")
+    made = stored(roots(nodes, levels), "roots")
     ends = made.where(F.col("size") == 1).select("tree", "pos", F.array().cast("array<int>").alias("places"), F.array().cast("array<array<string>>").alias("siblings"), F.col("digest").alias("top"))
     more = made.where(F.col("size") > 1)
     if more.limit(1).count():
-        ends = ends.unionByName(descend(more, ascend(more)))
+        ends = ends.unionByName(descend(more, ascend(more, levels), levels))
     return stored(ends, "paths")
 
 
-def block_paths(leaves: DataFrame) -> DataFrame:
+def block_paths(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     """For each block of leaves its path via the subroot of its tree to the root of all trees: tree, block, places,
     siblings, subroot, root. Trees follow each other in bytewise order."""
-    blocks = ascend(leaves)
+    blocks = ascend(leaves, levels)
     sub = blocks.groupBy("tree").agg(F.min("top").alias("digest"), F.count(F.lit(1)).alias("blocks"))
     top = stored(numbered(sub.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest", "blocks"), ["name"]), "subroots")
-    paths = top.join(descend(top, ascend(top)).withColumnRenamed("top", "root"), ["tree", "pos"])
+    paths = top.join(descend(top, ascend(top, levels), levels).withColumnRenamed("top", "root"), ["tree", "pos"])
     salt = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("blocks") - 1, F.lit(SALTS - 1).cast("long"))))
     paths = paths.select(F.col("name").alias("tree"), salt.alias("salt"), F.col("places").alias("p2"), F.col("siblings").alias("s2"), "root")
     joined = blocks.withColumn("salt", F.pmod("pos", F.lit(SALTS).cast("long"))).join(paths, ["tree", "salt"])
@@ -174,12 +173,13 @@ def leaves_of(docs: DataFrame, forged: Column | None = None, key: str = "doc_id"
     return numbered(rows, ["key", "digest"])
 
 
-def prove(docs: DataFrame, forged: Column | None = None, key: str = "doc_id", detail: bool = False, **names) -> DataFrame:
+def prove(docs: DataFrame, forged: Column | None = None, key: str = "doc_id", detail: bool = False, levels: int = LEVELS, **names) -> DataFrame:
     """key, leaf, subroot, root, proof_sha256, folded_root, verified of every row; with `detail` places and siblings too.
 
     Rows of one source ascend by key (null first), rows of one key by leaf; equal rows have places of their own. A null
     source is a tree of its own, before the others; very long texts are hashed whole; null fields differ from empty
-    ones; an empty table gives no rows. Other columns of docs are not looked at, whatever their names.
+    ones; an empty table gives no rows. Other columns of docs are not looked at, whatever their names. A task's group
+    has FANOUT ** levels leaves.
     """
     nodes = stored(leaves_of(docs, forged, key, **names), "leaves")
     kind = dict(docs.dtypes)[key]
@@ -187,7 +187,7 @@ def prove(docs: DataFrame, forged: Column | None = None, key: str = "doc_id", de
     schema += ", places array<int>, siblings array<array<string>>" if detail else ""
 
     def down(group: pa.Table, over: pa.Table) -> pa.Table:
-        group, digests, height = _sorted_digests(group)
+        group, digests, height = _sorted_digests(group, levels)
         paths: list[list] = [[] for _ in digests]
         traverse(digests, height, paths)
         upper = list(zip(over["places"][0].as_py(), over["siblings"][0].as_py(), strict=True))
@@ -202,8 +202,8 @@ def prove(docs: DataFrame, forged: Column | None = None, key: str = "doc_id", de
             out["siblings"] = pa.array([[s for _, s in x + upper] for x in paths], pa.list_(pa.list_(pa.string())))
         return pa.table(out)
 
-    above = block_paths(nodes).groupBy("tree", "block")
-    return _blocks(nodes).groupBy("tree", "block").cogroup(above).applyInArrow(down, schema)
+    above = block_paths(nodes, levels).groupBy("tree", "block")
+    return _blocks(nodes, levels).groupBy("tree", "block").cogroup(above).applyInArrow(down, schema)
 
 
 def lower_cased(docs_text: str = "text", key: str = "doc_id", fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text")) -> Column:
