@@ -26,7 +26,7 @@ CHUNK_TOKENS, CELL_TOKENS = 2_000_000, 1_000_000
 #: Counts up to this are discounted, if the counts of counts allow it; see `discounts`.
 LARGEST_DISCOUNTED = 5
 #: Bytes of text whose words are hashed at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: What follows a text's last word, and what precedes its first one.
 END, START = np.uint64(0x51ED270B9F6A3C15), np.uint64(0xA24BAED4963EE407)
 
@@ -162,7 +162,7 @@ def chunks(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
 
         size = 0
         for batch in batches:
-            for part in slices(iter([batch]), "__text"):
+            for part in slices(iter([batch]), "__text", PIECE_BYTES):
                 hashes, n = word_hashes(part.column(1))
                 held.append((hashes, n, np.asarray(part.column(2).cast(pa.int8())).astype(np.int64), part.column(0)))
                 size += len(hashes) + len(n)
@@ -260,7 +260,8 @@ class Chunk:
         cell = place(self.h, part)
         self.by_cell = np.argsort(cell, kind="stable")
         here = np.unique(self.h)
-        wide = here[split[here] > 1]  # contexts of several cells ask all of them
+        self.wide = split > 1
+        wide = here[self.wide[here]]  # contexts of several cells ask all of them
         each = split[wide]
         probes = np.repeat(wide, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         entries = np.unique(np.concatenate([cell * n + self.h, place(*probes) * n + probes[0]]))
@@ -281,7 +282,13 @@ class Chunk:
         for cell, contexts, pairs in self.spans():
             at = self.by_cell[pairs]
             own, place = np.unique(self.w[at], return_inverse=True)
-            yield cell, [self.words[self.entry_h[contexts]], self.runs[contexts], self.words[own], self.counts[own], place, times[at]]
+            yield cell, [self.words[self.entry_h[contexts]], self.runs[contexts], self.wide[self.entry_h[contexts]], self.words[own], self.counts[own], place, times[at]]
+
+
+def backing_off(wide: np.ndarray, runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The contexts whose backoff weight a chunk needs: those of several cells, and such as have a pair without a count."""
+    missing = np.bincount(np.repeat(np.arange(len(runs)), runs), weights=counts == 0, minlength=len(runs)) > 0
+    return np.flatnonzero(missing | (wide > 0))
 
 
 def _cogrouped(made: DataFrame, answers: DataFrame):
@@ -289,8 +296,9 @@ def _cogrouped(made: DataFrame, answers: DataFrame):
 
 
 def ask_pairs(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int) -> DataFrame:
-    """cell, chunk and a chunk's pairs there: contexts, pairs of each, words, their counts, each pair's word and times."""
-    names = ["contexts", "runs", "words", "counts", "place", "n"]
+    """cell, chunk and a chunk's pairs there: contexts, pairs of each, whether a context has several cells, words, their
+    counts, each pair's word and times."""
+    names = ["contexts", "runs", "wide", "words", "counts", "place", "n"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -303,14 +311,18 @@ def ask_pairs(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int)
 
 def count_pairs(asked: DataFrame, words: Words) -> DataFrame:
     """Rows of kind `pairs` (a cell's table: a contexts, b pairs of each, c words, d each pair's word, e counts) and
-    `pair` (answers: a counts of pairs; of contexts b the lower order's sum and c the successors of count 1, 2, ...)."""
+    `pair` (answers: a counts of pairs; c the contexts' successors of count 1, 2, ...; b the lower order's sum of those
+    contexts that back off)."""
 
     def run(group: pa.Table) -> pa.Table:
         cell, rows = group["cell"][0].as_py(), []
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for r in group.to_pylist():
-            contexts, runs, own, counts, place = (unpack(r[k]) for k in ("contexts", "runs", "words", "counts", "place"))
-            rows.append((r["chunk"], contexts, np.repeat(contexts, runs), own[place], counts[place], unpack(r["n"])))
-        h, w, lower, n = (np.concatenate([r[k] for r in rows]) for k in (2, 3, 4, 5))
+            contexts, runs, wide, own, counts, place = (unpack(r[k]) for k in ("contexts", "runs", "wide", "words", "counts", "place"))
+            rows.append((r["chunk"], contexts, runs, wide))
+            for column, values in zip(columns, (np.repeat(contexts, runs), own[place], counts[place], unpack(r["n"])), strict=True):
+                column.append(values)
+        h, w, lower, n = (np.concatenate(columns.pop(0)) for _ in range(4))
         _, first, of = np.unique(mix(h * np.uint64(0x9E3779B97F4A7C15) + w), return_index=True, return_inverse=True)
         counts = np.bincount(of, weights=n, minlength=len(first)).astype(np.int64)
         seen = np.flatnonzero(counts > 0)
@@ -320,12 +332,13 @@ def count_pairs(asked: DataFrame, words: Words) -> DataFrame:
         few = np.zeros((len(contexts) + 1, LARGEST_DISCOUNTED), dtype=np.int64)
         np.add.at(few, (ctx[small], counts[seen][small] - 1), 1)
         out, at = [], 0
-        for chunk, asked_contexts, own, *_ in rows:
+        for chunk, asked_contexts, runs, wide in rows:
+            own = counts[of[at : at + int(runs.sum())]]
+            at += len(own)
             place = np.minimum(np.searchsorted(contexts, asked_contexts), max(len(contexts) - 1, 0))
             known = contexts[place] == asked_contexts if len(contexts) else np.zeros(len(place), dtype=bool)
             place = np.where(known, place, len(contexts))
-            out.append(("pair", cell, chunk, [pack(counts[of[at : at + len(own)]]), pack(sums[place]), pack(few[place].T.ravel())], None))
-            at += len(own)
+            out.append(("pair", cell, chunk, [pack(own), pack(sums[place[backing_off(wide, runs, own)]]), pack(few[place].T.ravel())], None))
         order = np.argsort(ctx, kind="stable")
         types, which = np.unique(w[first[seen]][order], return_inverse=True)
         table = [contexts, np.bincount(ctx, minlength=len(contexts)), types, which, counts[seen][order]]
@@ -344,9 +357,10 @@ def evaluate(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int,
         told = {a["cell"]: a for a in given if a["kind"] == "pair"}
         for cell, contexts, pairs in own.spans():
             a = told[cell]
-            counts[own.by_cell[pairs]] = unpack(a["a"])
-            lower[own.entry_h[contexts]] += unpack(a["b"])
-            few[:, own.entry_h[contexts]] += unpack(a["c"]).reshape(LARGEST_DISCOUNTED, -1)
+            times, asked = unpack(a["a"]), own.entry_h[contexts]
+            counts[own.by_cell[pairs]] = times
+            lower[asked[backing_off(own.wide[asked], own.runs[contexts], times)]] += unpack(a["b"])
+            few[:, asked] += unpack(a["c"]).reshape(LARGEST_DISCOUNTED, -1)
         denominator, weight = backoff(shares, own.totals, few, lower)
         kept = shares[np.where(counts <= LARGEST_DISCOUNTED, counts, 0)] * counts / denominator[own.h]
         p = np.where(counts > 0, kept, weight[own.h] * words.probability(own.counts)[own.w])
