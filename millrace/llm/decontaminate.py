@@ -23,12 +23,11 @@ THRESHOLD = 1.0
 #: Shares of the question's and the answer's shingles that a leak must have; see `contaminated`.
 OVERLAP, BOTH = 0.5, 0.3
 SHINGLE = 5
-#: Postings of one block; words of an index entry, longer items have several; items of one index on the driver.
-BLOCK, PART_WORDS, ITEMS = 8, 128, 20_000
-#: Blocks of entries in the first test.
-COARSE = 64
-#: Share of the threshold that the commonest terms may bring there.
-COMMON = 0.5
+#: Postings of one block; words of an index entry, longer items have several.
+BLOCK, PART_WORDS = 8, 128
+#: Items, and characters of items, of one index on the driver and in a broadcast, about; more of them make several
+#: indexes, each with a scan of its own.
+ITEMS, ITEM_CHARS = 20_000, 8_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -59,24 +58,21 @@ def _sides(question: str, answer: str) -> tuple[str, str]:
     return (f"{question} {answer}", "") if len(words_of(question)) < SHINGLE and words_of(answer) else (question, answer)
 
 
-def _least_score(shingles: list[tuple[str, ...]], parts: dict[str, float], share: float) -> float:
+def _terms(words: list[str] | tuple[str, ...]) -> list[tuple[str, ...]]:
+    """What the index holds of a run of words: its pairs of neighbours; of a single word the word."""
+    return list(zip(words, words[1:], strict=False)) if len(words) > 1 else [tuple(words)] * len(words)
+
+
+def _least_score(shingles: list[tuple[str, ...]], parts: dict[tuple[str, ...], float], share: float) -> float:
     """A bound: no text with this share of the shingles has terms that score less.
 
     A term's score is dealt over the shingles that hold it, so a set of shingles scores at least the sum of its deals.
     """
-    holders = Counter(t for s in shingles for t in set(s))
-    deals = sorted(sum(parts[t] / holders[t] for t in set(s)) for s in shingles)
+    holders = Counter(t for s in shingles for t in set(_terms(s)))
+    deals = sorted(sum(parts[t] / holders[t] for t in set(_terms(s))) for s in shingles)
     return sum(deals[: max(1, math.ceil(share * len(deals) - 1e-9))]) * (1 - 1e-9)
 
 
-def _hashes(columns: np.ndarray) -> np.ndarray:
-    """A hash of each shingle; the first, second, ... words of all of them come as rows."""
-    out = np.zeros(columns.shape[1], dtype=np.uint64)
-    for column in columns.astype(np.uint64):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1)
-    return out
-
-
 @dataclass
 class Entry:
     item: int
@@ -86,7 +82,7 @@ class Entry:
 
 
 class BlockMaxIndex:
-    """Postings of each term in order of entry, in blocks that know their highest impact.
+    """Postings of each term in order of entry, in blocks that know their highest impact. Terms are pairs of words.
 
     Every leak has BOTH of the question's shingles at least, so entries are questions, or their parts. An impact is the
     term's BM25 part of an entry's score, divided by the least score of a passage with that share of the entry's
@@ -97,25 +93,22 @@ class BlockMaxIndex:
         pairs = [(i, *_sides(q, a)) for i, q, a in items]
         self.items = [(i, _wanted(q), _wanted(a)) for i, q, a in pairs]
         entries: list[Entry] = []
-        self.holders: dict[tuple[str, ...], list[int]] = {}
         for number, (_, question, _) in enumerate(pairs):
             words, (size, wanted) = words_of(question), self.items[number][1]
-            for s in wanted:
-                self.holders.setdefault(s, []).append(number)
             left = set(wanted)  # each shingle counts in the first part that holds it, so one part has the share that the whole has
             for at in range(0, len(words), PART_WORDS - SHINGLE + 1):
                 part = words[at : at + PART_WORDS]
                 own = _shingles(part, size) & left
                 left -= own
                 if own:
-                    entries.append(Entry(number, Counter(part), len(part), sorted(own)))
+                    entries.append(Entry(number, Counter(_terms(part)), len(part), sorted(own)))
         self.owner = [e.item for e in entries]
         self.longest = max((e.length for e in entries), default=1)
         mean = sum(e.length for e in entries) / max(1, len(entries))
         df = Counter(t for e in entries for t in e.terms)
         n = len(entries)
         idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
-        postings: dict[str, list[tuple[int, float]]] = {t: [] for t in df}
+        postings: dict[tuple[str, ...], list[tuple[int, float]]] = {t: [] for t in df}
         self.needs: list[float] = []  # the threshold as a share of an entry's score for itself
         for number, e in enumerate(entries):
             norm = K1 * (1 - B + B * e.length / mean)
@@ -124,30 +117,18 @@ class BlockMaxIndex:
             self.needs.append(least / sum(parts.values()))
             for t, x in parts.items():
                 postings[t].append((number, x / least))
-        self.terms = {t: i for i, t in enumerate(sorted(postings))}
-        by_size: dict[int, list[np.ndarray]] = {}
-        for s in self.holders:
-            by_size.setdefault(len(s), []).append(_hashes(np.array([[self.terms[w]] for w in s])))
-        self.hashes = {size: np.unique(np.concatenate(x)) for size, x in by_size.items()}
-        self.lists = [postings[t] for t in self.terms]
-        self.tops = np.array([max(x for _, x in p) for p in self.lists] + [0.0])  # the last is for unknown words
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in postings for w in t}))}
+        ordered = sorted(postings, key=self._number)
+        self.terms = {t: i for i, t in enumerate(ordered)}
+        self.numbers = np.array([self._number(t) for t in ordered], dtype=np.int64)
+        self.lists = [postings[t] for t in ordered]
+        self.tops = np.array([max(x for _, x in p) for p in self.lists])
         self.block_tops = [[max(x for _, x in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)] for p in self.lists]
-        # Coarse blocks for the first test of all passages at once: the highest impact of each term in each of them.
-        # The commonest terms together stay below a share of the threshold in every block, so the others must bring the rest.
-        size = max(1, -(-len(entries) // COARSE))
-        self.block_of: dict[int, set[int]] = {}
-        for number, e in enumerate(entries):
-            self.block_of.setdefault(e.item, set()).add(number // size)
-        coarse = np.zeros((len(self.lists) + 1, COARSE), dtype=np.float32)
-        for t, p in enumerate(self.lists):
-            for entry, x in p:
-                coarse[t, entry // size] = max(coarse[t, entry // size], x)
-        order = np.argsort([-len(p) for p in self.lists], kind="stable") if self.lists else np.zeros(0, dtype=np.int64)
-        common = order[(np.cumsum(coarse[order], axis=0) <= COMMON * THRESHOLD).all(axis=1)]
-        self.needed = THRESHOLD - coarse[common].sum(axis=0)
-        self.rare = coarse.any(axis=1)
-        self.rare[common] = False
-        self.coarse = coarse
+
+    def _number(self, term: tuple[str, ...]) -> int:
+        """One number for a pair of known words; a negative one for a word that is a whole item."""
+        first = self.vocabulary[term[0]]
+        return first * len(self.vocabulary) + self.vocabulary[term[1]] if len(term) == 2 else -1 - first
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Entries whose score for the distinct terms reaches the threshold: block-max WAND, document at a time."""
@@ -199,53 +180,48 @@ class BlockMaxIndex:
             out.append([entry, at, t])
         return out
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.terms.get, words, repeat(len(self.lists))), dtype=np.int64, count=len(words))
-
-    def _touches(self, ids: np.ndarray) -> bool:
-        """Whether a text may have a shingle of a question; only those can leak."""
-        known_word = ids < len(self.lists)
-        for size, known in self.hashes.items():
-            whole = known_word[: max(0, len(ids) - size + 1)].copy()
-            for i in range(1, size):
-                whole &= known_word[i : i + len(whole)]
-            at = np.flatnonzero(whole)
-            if len(at):
-                made = _hashes(ids[at[:, None] + np.arange(size)].T)
-                at = np.minimum(np.searchsorted(known, made), len(known) - 1)
-                if (known[at] == made).any():
-                    return True
-        return False
-
-    def _reached(self, ids: np.ndarray, items: set[int] | None = None) -> dict[int, tuple[float, float]]:
-        """Score, and share of the score for itself, of each item, or each of `items`, whose threshold a passage reaches.
-
-        Passages are twice the longest entry and begin one longest entry apart: each entry's copy lies whole in one.
-        The sum of the terms' upper bounds, WAND's first test, is taken of all passages at once.
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the text has terms of the index, and which."""
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        numbers = ids[at] * len(self.vocabulary) + ids[at + 1]
+        if self.numbers[0] < 0:
+            singles = np.flatnonzero(ids >= 0)
+            at, numbers = np.concatenate([singles, at]), np.concatenate([-1 - ids[singles], numbers])
+        place = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        hit = self.numbers[place] == numbers
+        return at[hit], place[hit]
+
+    def retrieve(self, words: list[str]) -> dict[int, tuple[float, bool]]:
+        """Each item whose threshold a passage of the text reaches: its best score as a share of the item's score for
+        itself, and whether only the text as a whole reaches it.
+
+        Passages are twice the longest entry and begin one longest entry apart: each entry's copy lies whole in one. The
+        text is a passage too, as a leak's pieces may lie apart; so no leak is missed. The sum of its terms' upper bounds,
+        WAND's first test, is taken of all passages at once.
         """
-        unknown = len(self.lists)
-        best: dict[int, tuple[float, float]] = {}
-        at = np.flatnonzero(self.rare[ids])
-        if not len(at):
+        best: dict[int, tuple[float, bool]] = {}
+        if not words or not self.lists:
             return best
-        blocks = slice(None) if items is None else sorted(set().union(*(self.block_of[i] for i in items)))
-        halves = at // self.longest
-        first = np.flatnonzero(np.diff(halves, prepend=-1))
-        sums = np.zeros((-(-len(ids) // self.longest) + 1, COARSE), dtype=np.float32)
-        sums[halves[first]] = np.add.reduceat(self.coarse[ids[at]], first, axis=0)
-        bounds = sums[:-1] + sums[1:]  # a passage is two halves
-        for number in np.flatnonzero((bounds >= self.needed - 1e-5)[:, blocks].any(axis=1)).tolist():
-            distinct = np.unique(ids[number * self.longest : (number + 2) * self.longest])
-            if self.coarse[distinct].sum(axis=0)[blocks].max() < THRESHOLD - 1e-5:
-                continue  # the same test, with each term once and the common ones only if they are there
-            for entry, score in self.search([int(t) for t in distinct if t != unknown]):
-                item = self.owner[entry]
-                if items is not None and item not in items:
-                    continue
-                old = best.get(item, (0.0, 0.0))
-                best[item] = max(old[0], score), max(old[1], score * self.needs[entry])
+        at, terms = self._known(words)
+        if self.tops[np.unique(terms)].sum() < THRESHOLD - 1e-9:
+            return best  # the bound of the text bounds its passages too
+        half = at // self.longest
+        count = max(1, -(-len(words) // self.longest))
+        sums = np.bincount(half, weights=self.tops[terms], minlength=count + 1)
+        for number in np.flatnonzero(sums[:-1] + sums[1:] >= THRESHOLD - 1e-9).tolist():
+            self._search(terms[(half == number) | (half == number + 1)], best, False)
+        if count > 2:
+            self._search(terms, best, True)
         return best
 
+    def _search(self, terms: np.ndarray, best: dict[int, tuple[float, bool]], whole: bool) -> None:
+        for entry, score in self.search(np.unique(terms).tolist()):
+            item, share = self.owner[entry], score * self.needs[entry]
+            old = best.get(item)
+            if old is None or (share > old[0] and old[1] == whole):
+                best[item] = share, whole
+
     def _shares(self, words: list[str]) -> Callable[[int], tuple[float, float | None]]:
         """A function that gives an item's question and answer overlap with the whole text."""
         have: dict[int, set[tuple[str, ...]]] = {}
@@ -258,37 +234,16 @@ class BlockMaxIndex:
 
         return lambda item: (share(item, 1) or 0.0, share(item, 2))
 
-    def _leaked(self, words: list[str], ids: np.ndarray) -> set[int]:
-        if not self._touches(ids):
-            return set()
-        shares = self._shares(words)
-        known = set().union(*(_shingles(words, size) for size in self.hashes)) & self.holders.keys()
-        return {i for i in {i for s in known for i in self.holders[s]} if contaminated(*shares(i))}
-
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float | None]]:
-        """item number, score, question overlap, answer overlap of each item that comes into question for the text.
-
-        Items come by a passage's score (0 if none reaches the threshold), and by the text's shingles where a leak's
-        pieces lie in passages apart. Overlaps are those of the whole text.
-        """
-        words = words_of(text)
-        if not words or not self.lists:
-            return []
-        ids = self._ids(words)
-        shares, best = self._shares(words), self._reached(ids)
-        return [(i, best.get(i, (0.0, 0.0))[0], *shares(i)) for i in sorted(best.keys() | self._leaked(words, ids))]
-
-    def leaked(self, text: str | None) -> list[tuple[int, float, float, float | None]]:
-        """The contaminated ones of `matches`, their scores as shares of the item's score for itself."""
+    def leaked(self, text: str | None) -> list[tuple[int, float, bool, float, float | None]]:
+        """item number, score, whether its pieces lie apart, question overlap, answer overlap: what is retrieved for the
+        text and verified by the overlaps with the whole text."""
         words = words_of(text)
-        if not words or not self.lists:
+        found = self.retrieve(words)
+        if not found:
             return []
-        ids = self._ids(words)
-        items = self._leaked(words, ids)
-        if not items:
-            return []
-        shares, best = self._shares(words), self._reached(ids, items)
-        return [(i, best.get(i, (0.0, 0.0))[1], *shares(i)) for i in sorted(items)]
+        shares = self._shares(words)
+        rows = [(i, *found[i], *shares(i)) for i in sorted(found)]
+        return [r for r in rows if contaminated(*r[3:])]
 
 
 def contaminated(question: float, answer: float | None) -> bool:
@@ -297,24 +252,28 @@ def contaminated(question: float, answer: float | None) -> bool:
 
 
 def indexes(benchmark: DataFrame, item: str = "item_id", question: str = "text", answer: str | None = None) -> Iterator[BlockMaxIndex]:
-    """One index for each block of at most about ITEMS items; test sets are small, but their size is looked at.
+    """One index for each block of about ITEMS items or ITEM_CHARS characters; test sets are small, but their size is looked at.
 
     Items without words, null ones among them, match nothing. Without an answer column the last sentence is the answer.
     """
     columns = [F.col(item).alias("i"), F.col(question).alias("q"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")]
     rows = benchmark.select(*columns).where(F.col("q").isNotNull())
-    blocks = max(1, -(-rows.count() // ITEMS))
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("q") + F.length(F.coalesce("a", F.lit("")))), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-chars // ITEM_CHARS))
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else rows
         yield BlockMaxIndex([(r.i, r.q, r.a or "") if answer else (r.i, *split_item(r.q)) for r in sorted(part.collect(), key=lambda r: (str(r.i), r.q))])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", answer: str | None = None) -> DataFrame:
-    """key, item, score, question_overlap, answer_overlap of every document and test item that it leaks.
+    """key, item, score, apart, question_overlap, answer_overlap of every document and test item that it leaks.
 
-    Each block of test items is searched with every passage of every text, in a map without a shuffle. Null and empty
-    texts leak nothing; a null answer_overlap means an item without an answer. Repeated rows give their rows again.
+    Each block of test items is searched with every passage of every text, in a map without a shuffle; `apart` says that
+    only the text as a whole came up, as the item's pieces lie in passages apart. Null and empty texts leak nothing; a
+    null answer_overlap means an item without an answer. Repeated rows give their rows again; other columns of docs are
+    not looked at, whatever their names.
     """
+    names = ["score", "apart", "question_overlap", "answer_overlap"]
     kinds = dict(docs.dtypes), dict(benchmark.dtypes)
     item_type = to_arrow_type(benchmark.schema[item].dataType)
     out = None
@@ -324,12 +283,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for part in slices(batches, "__text"):
-                rows = [(at, own.items[i][0], s, q, a) for at, t in enumerate(part.column(1).to_pylist()) for i, s, q, a in own.leaked(t)]
+                rows = [(at, own.items[i][0], *more) for at, t in enumerate(part.column(1).to_pylist()) for i, *more in own.leaked(t)]
                 if rows:
-                    at, ids, score, q, a = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(ids, item_type), pa.array(score, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], names=[key, item, "score", "question_overlap", "answer_overlap"])
+                    at, ids, *more = zip(*rows, strict=True)
+                    types = pa.float64(), pa.bool_(), pa.float64(), pa.float64()
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(ids, item_type), *map(pa.array, more, types)], names=[key, item, *names])
 
-        schema = f"`{key}` {kinds[0][key]}, `{item}` {kinds[1][item]}, score double, question_overlap double, answer_overlap double"
+        schema = f"`{key}` {kinds[0][key]}, `{item}` {kinds[1][item]}, score double, apart boolean, question_overlap double, answer_overlap double"
         found = docs.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out

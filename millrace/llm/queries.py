@@ -24,7 +24,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and test item that it leaks: doc_id, item_id, score, question_overlap, answer_overlap.
+    """Every document and test item that it leaks: doc_id, item_id, score, apart, question_overlap, answer_overlap.
+
+    Rows come by retrieval above the threshold, with every passage of a text and the text as a whole, and are verified
+    by the overlaps; `apart` marks what only the whole text brings up.
 
     Null and empty texts and items without words leak nothing; very long texts are searched whole; several items of a
     document are rows of their own, repeated rows repeat theirs; an empty table or benchmark gives no rows.
