@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import slices, stored
 from millrace.llm.shingle_sets import _BYTES, _powers, mix
 
-#: Tokens of a chunk (more if one document has more) and of a cell. Contexts with more tokens are dealt to several cells.
+#: Tokens of a chunk, about (more if one document has more), and of a cell. Contexts with more tokens are dealt to several cells.
 CHUNK_TOKENS, CELL_TOKENS = 2_000_000, 1_000_000
 #: Counts up to this are discounted, if the counts of counts allow it; see `discounts`.
 LARGEST_DISCOUNTED = 5
@@ -146,8 +146,8 @@ def chunks(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
         first, made = TaskContext.get().partitionId() << 32, 0
         held: list[tuple] = []
 
-        def row() -> pa.RecordBatch:
-            own, n, flags, keys = [np.concatenate(x) for x in zip(*[h[:3] for h in held], strict=True)] + [pa.concat_arrays([h[3] for h in held])]
+        def row(parts: list[tuple]) -> pa.RecordBatch:
+            own, n, flags, keys = [np.concatenate(x) for x in zip(*[h[:3] for h in parts], strict=True)] + [pa.concat_arrays([h[3] for h in parts])]
             words, place, times = np.unique(own, return_inverse=True, return_counts=True)
             rank = np.empty(len(words), dtype=np.int64)
             order = np.argsort(-times, kind="stable")
@@ -160,17 +160,18 @@ def chunks(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
             blobs = [pa.array([pack(x)], pa.binary()) for x in (np.concatenate([[END, START], words[order]]).astype(np.uint64), ids, n + 1, flags)]
             return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([len(ids)]), *blobs, lists], names=["chunk", "tokens", "words", "ids", "lens", "train", "docs"])
 
-        size = 0
+        sizes: list[int] = []
         for batch in batches:
             for part in slices(iter([batch]), "__text", PIECE_BYTES):
                 hashes, n = word_hashes(part.column(1))
                 held.append((hashes, n, np.asarray(part.column(2).cast(pa.int8())).astype(np.int64), part.column(0)))
-                size += len(hashes) + len(n)
-                if size >= chunk_tokens:
-                    yield row()
-                    held, size, made = [], 0, made + 1
+                sizes.append(len(hashes) + len(n))
+                if sum(sizes) >= 1.5 * chunk_tokens:  # so that the last chunk isn't a small one
+                    upto = int(np.searchsorted(np.cumsum(sizes), chunk_tokens)) + 1
+                    yield row(held[:upto])
+                    held, sizes, made = held[upto:], sizes[upto:], made + 1
         if held:
-            yield row()
+            yield row(held)
 
     return docs.select(key, F.col(text).alias("__text"), train.alias("__train")).mapInArrow(run, schema)
 
