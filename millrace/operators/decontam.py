@@ -46,8 +46,9 @@ def benchmark_ngrams(benchmark: DataFrame, text: str = "text", n: int = N) -> Da
     return benchmark.select(F.explode(ngram_set(F.col(text), n)).alias("g")).distinct()
 
 
-def flags(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """key, ngrams, shared, contaminated: the share is of the sample's own distinct n-grams. A row for each row.
+def flags(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+    """key, ngrams, shared, contaminated: the share is of the sample's own distinct n-grams. A row for each row; `row`
+    names a column that tells rows apart, which the result then has.
 
     One pass: n-grams are made once, exploded, marked and summed by row, in the map task first, so that only sums
     move. The test set is broadcast if its size allows, and joined by its n-grams if not.
@@ -55,13 +56,17 @@ def flags(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     wanted = benchmark_ngrams(benchmark, n=n).withColumn("__hit", F.lit(1))
     if wanted.count() <= BROADCAST_NGRAMS:
         wanted = F.broadcast(wanted)
-    own = docs.select(key, F.monotonically_increasing_id().alias("__row"), ngram_set(F.col(text), n).alias("gs"))
+    mark = F.col(row) if row else F.monotonically_increasing_id()
+    own = docs.select(key, mark.alias("__row"), ngram_set(F.col(text), n).alias("gs"))
     own = own.select(key, "__row", F.explode_outer("gs").alias("g"))
     sums = own.join(wanted, "g", "left").groupBy(key, "__row").agg(F.count("g").alias("ngrams"), F.count("__hit").alias("shared"))
     share = F.col("shared") / F.greatest("ngrams", F.lit(1))
-    return sums.select(key, "ngrams", "shared", ((F.col("ngrams") > 0) & (share >= threshold)).alias("contaminated"))
+    named = [F.col("__row").alias(row)] if row else []
+    return sums.select(key, *named, "ngrams", "shared", ((F.col("ngrams") > 0) & (share >= threshold)).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without contaminated rows."""
-    return docs.join(flags(docs, benchmark, key, **how).where("contaminated").select(key), key, "left_anti")
+    """docs without contaminated rows; rows of one key and different texts are judged each."""
+    named = docs.withColumn("__text_of", F.xxhash64(F.coalesce(F.col(how.get("text", "text")), F.lit(""))))
+    bad = flags(named, benchmark, "__text_of", **how).where("contaminated").select("__text_of").distinct()
+    return named.join(bad, "__text_of", "left_anti").drop("__text_of")

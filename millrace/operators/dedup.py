@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import sha1_le32
 from millrace.functions.text import word_ngrams, words
+from millrace.operators.pack import ordered_positions
 from millrace.operators.storage import written
 
 # Fixed values of the hash family.
@@ -106,18 +107,24 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> Data
     return nodes.select(key).join(marks, key, "left").select(key, F.coalesce("__k", F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, num_perm: int = 128, ngram: int = 5, bands: int = 16) -> DataFrame:
-    """key, kept for rows in order of key.
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, num_perm: int = 128, ngram: int = 5, bands: int = 16, row: str | None = None) -> DataFrame:
+    """key, kept for rows in order of key, one for each row; rows of one key come in order of their words' digest.
 
-    Equal shingle sets have estimate 1, so all but the least key of each set go first, by one aggregation; only the
-    rest is signed and joined. A removed copy would have removed nothing that its first doesn't.
+    `row` names a column that tells rows apart; the result has it, to join on. Texts of the same words have estimate 1,
+    so all but the first row of them goes, by one aggregation; only the rest is signed and joined. A removed copy would
+    have removed nothing that its first doesn't.
     """
-    hashed = docs.select(key, F.array_sort(shingle_hashes(F.col(text), ngram)).alias("h"))
-    grouped = hashed.withColumn("g", F.sha2(F.array_join(F.transform("h", lambda x: x.cast("string")), ","), 256))
-    firsts = grouped.groupBy("g").agg(F.min(key).alias(key), F.first("h").alias("h"))
-    marks = written(signed(firsts, "h", key, num_perm))
-    kept = greedy_kept(marks, similar_pairs(marks, threshold, key, bands), key).withColumnRenamed("kept", "__k")
-    return docs.select(key).join(kept, key, "left").select(key, F.coalesce("__k", F.lit(False)).alias("kept"))
+    mark = F.col(row) if row else F.monotonically_increasing_id()
+    same = F.md5(F.array_join(words(F.col(text)), " "))
+    rows = written(docs.select(F.col(key).alias("k"), mark.alias("r"), F.coalesce(same, F.lit("")).alias("w")))
+    firsts = rows.groupBy("w").agg(F.min(F.struct("k", "r")).alias("first"))
+    order = written(ordered_positions(firsts.select("w", "first.k", "first.r", F.lit(1).alias("one")), ["k", "w"], "one").select("w", "k", "r", F.col("start").alias("at")))
+    hashed = docs.select(F.coalesce(same, F.lit("")).alias("w"), shingle_hashes(F.col(text), ngram).alias("h")).groupBy("w").agg(F.first("h").alias("h"))
+    marks = written(signed(hashed, "h", "w", num_perm).join(order.select("w", "at"), "w").select("at", "signature"))
+    kept = greedy_kept(marks, similar_pairs(marks, threshold, "at", bands), "at").where("kept")
+    stay = order.join(kept.select("at"), "at").select("w", F.col("r").alias("first"))
+    out = rows.join(stay, "w", "left").withColumn("kept", F.coalesce(F.col("r") == F.col("first"), F.lit(False)))
+    return out.select(F.col("k").alias(key), *([F.col("r").alias(row)] if row else []), "kept")
 
 
 def ring_kept(nodes: DataFrame, edges: DataFrame, size: int = 500_000, key: str = "doc_id") -> DataFrame:
@@ -127,8 +134,6 @@ def ring_kept(nodes: DataFrame, edges: DataFrame, size: int = 500_000, key: str
     between rows within reach count, and decides anew; the first row that was wrong is right after it. With fewer rows
     than the ring holds, one round is all.
     """
-    from millrace.operators.pack import ordered_positions
-
     edges = written(edges.select("a", "b"))
     live = edges
     kept = written(greedy_kept(nodes, live, key))
@@ -148,7 +153,5 @@ def ring_kept(nodes: DataFrame, edges: DataFrame, size: int = 500_000, key: str
 def ring_window(kept: DataFrame, size: int = 500_000, key: str = "doc_id") -> DataFrame:
     """kept rows with the rank at which a ring of `size` would evict each: a row compares with those less than that
     many kept rows before it. Ranks come from range buckets, not from one task."""
-    from millrace.operators.pack import ordered_positions
-
     ranked = ordered_positions(kept.where("kept").select(key, F.lit(1).alias("one")), key, "one")
     return ranked.select(key, (F.col("start") + 1).alias("kept_rank"), (F.col("start") + 1 + size).alias("evicted_at"))

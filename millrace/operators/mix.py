@@ -109,17 +109,17 @@ def funnel(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.3, simila
     pass, fill-in-the-middle at `fim_rate`, in that order.
 
     A contaminated row still removes its later duplicates. High quality rows are not repeated. Python rows have a sixth
-    score, of their syntax.
+    score, of their syntax. Each row gets a row, rows of one key too; the marks are joined by a number of the row.
     """
     scored = docs.select(key, lang, preprocessed(F.col(text)).alias("code"))
     scored = scored.withColumn("syntax", syntax_of(F.col("code"), F.col(lang)))
     scored = scored.withColumn("quality", quality_score(F.col("code"), F.col(lang), F.col("syntax"))).drop("syntax")
     low = F.col("code").isNull() | (F.col("quality") < threshold) | ((F.col("quality") < 0.5) & (u01(seed, "down", F.col(key)) < 0.3))
-    scored = written(scored.withColumn("low", low))
+    scored = written(scored.withColumn("low", low).withColumn("__row", F.monotonically_increasing_id()))
     good = scored.where(~F.col("low"))
-    kept = dedup.deduplicated(good, "code", key, similar, num_perm, bands=bands)
-    marks = decontam.flags(good, benchmark, key, "code").select(key, "contaminated")  # a map: no text moves for it
-    out = scored.join(kept, key, "left").join(marks, key, "left")
+    kept = dedup.deduplicated(good, "code", key, similar, num_perm, bands=bands, row="__row").select("__row", "kept")
+    marks = decontam.flags(good, benchmark, key, "code", row="__row").select("__row", "contaminated")  # a map: no text moves for it
+    out = scored.join(kept.join(marks, "__row"), "__row", "left")
     stage = F.when(F.col("low"), STAGES[0]).when(~F.col("kept"), STAGES[1]).when(F.col("contaminated"), STAGES[2]).otherwise(STAGES[3])
     passed = F.when(stage == STAGES[3], fim_sample(F.col("code"), fim_rate, seed, F.col(key))).otherwise(F.col("code"))
     return out.select(key, lang, stage.alias("stage"), passed.alias("code"))

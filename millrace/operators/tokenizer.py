@@ -131,8 +131,9 @@ def vocabulary(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
     return {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}
 
 
-def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", text: str = "text", bos: int | None = None, eos: int | None = None) -> DataFrame:
-    """key, ids: pre-tokens natively, merges in Arrow batches with a cache of pieces; optional marks at either end."""
+def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", text: str = "text", bos: int | None = None, eos: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of `keep`, ids: pre-tokens natively, merges in Arrow batches with a cache of pieces; optional
+    marks at either end. A row for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(({p: i for i, p in enumerate(merges)}, vocabulary(merges)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,27 +160,41 @@ def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_i
                         cache[piece] = piece_ids(piece)
                     row += cache[piece]
                 out.append(row if eos is None else [*row, eos])
-            yield pd.DataFrame({key: frame[key], "ids": out})
+            yield pd.DataFrame({c: frame[c] for c in (key, *keep)} | {"ids": out})
 
-    return docs.select(key, pretokens(F.coalesce(text, F.lit(""))).alias("__p")).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", ids array<int>"
+    return docs.select(key, *keep, pretokens(F.coalesce(text, F.lit(""))).alias("__p")).mapInPandas(run, schema)
 
 
-def decode(rows: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of `keep`, text; a row for each row."""
     shared = rows.sparkSession.sparkContext.broadcast({i: t for t, i in vocabulary(merges).items()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "text": [b"".join(table.get(i, b"") for i in row).decode("utf-8", "replace") for row in frame[ids]]})
+            yield pd.DataFrame({c: frame[c] for c in (key, *keep)} | {"text": [b"".join(table.get(i, b"") for i in row).decode("utf-8", "replace") for row in frame[ids]]})
 
-    return rows.select(key, ids).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, text string")
+    kinds = dict(rows.dtypes)
+    return rows.select(key, *keep, ids).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", text string")
 
 
-def compression(docs: DataFrame, ids: DataFrame, key: str = "doc_id", by: str = "lang", text: str = "text", overall: str | None = None) -> DataFrame:
-    """by, bytes, tokens, bytes_per_token (0 without tokens); with `overall`, a row of that name for all texts."""
-    sizes = docs.select(key, by, F.octet_length(text).alias("b")).join(ids.select(key, F.size("ids").alias("t")), key)
+def encoded_sizes(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", by: str = "lang", text: str = "text") -> DataFrame:
+    """key, by, b, t, back: bytes and tokens of each row, and whether the tokens give its text again; null acts as empty."""
+    whole = docs.select(key, by, F.coalesce(text, F.lit("")).alias("__t")).withColumn("b", F.octet_length("__t"))
+    digest = F.xxhash64("__t").alias("__d")
+    ids = encode(whole.select(key, by, "b", "__t", digest), merges, key, "__t", keep=(by, "b", "__d"))
+    back = decode(ids.withColumn("t", F.size("ids")), merges, key, keep=(by, "b", "t", "__d"))
+    return back.select(key, by, "b", "t", (F.xxhash64("text") == F.col("__d")).alias("back"))
+
+
+def compression(sizes: DataFrame, by: str = "lang", overall: str | None = None) -> DataFrame:
+    """by, bytes, tokens, bytes_per_token (0 without tokens) of encoded_sizes; with `overall`, a row of that name for all.
+
+    A row counts once, whatever its key."""
     if overall is not None:
-        sizes = sizes.select(key, F.explode(F.array(F.col(by), F.lit(overall))).alias(by), "b", "t")
+        sizes = sizes.select(F.explode(F.array(F.col(by), F.lit(overall))).alias(by), "b", "t")
     out = sizes.groupBy(by).agg(F.sum("b").alias("bytes"), F.sum("t").alias("tokens"))
     return out.withColumn("bytes_per_token", F.when(F.col("tokens") > 0, F.col("bytes") / F.col("tokens")).otherwise(0.0))
 
@@ -231,12 +246,10 @@ def single_token_checks(spark, merges: list[tuple[bytes, bytes]]) -> DataFrame:
 
 def report(spark, docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", by: str = "lang", text: str = "text", low: float = 3.5, high: float = 4.5) -> DataFrame:
     """One row: learned, bytes_per_token, in_range, roundtrip_failures, single, space_prefixed of the checks above."""
-    ids = written(encode(docs, merges, key, text))
-    size = compression(docs, ids, key, by, text, overall="*").where(F.col(by) == "*").select("bytes_per_token")
-    back = decode(ids, merges, key).withColumnRenamed("text", "__back")
-    lost = docs.select(key, F.coalesce(text, F.lit("")).alias("__t")).join(back, key).agg(F.count(F.when(F.col("__t") != F.col("__back"), 1)).alias("roundtrip_failures"))
+    sizes = written(encoded_sizes(docs, merges, key, by, text))
+    size = sizes.agg(F.when(F.sum("t") > 0, F.sum("b") / F.sum("t")).otherwise(0.0).alias("bytes_per_token"), F.count_if(~F.col("back")).alias("roundtrip_failures"))
     single = single_token_checks(spark, merges).agg(F.count_if("single").alias("single"), F.count_if("space_prefixed").alias("space_prefixed"))
-    out = size.crossJoin(lost).crossJoin(single)  # one row each
+    out = size.crossJoin(single)  # one row each
     return out.select(F.lit(256 + len(merges)).alias("learned"), "bytes_per_token", F.col("bytes_per_token").between(low, high).alias("in_range"), "roundtrip_failures", "single", "space_prefixed")
 
 

@@ -178,12 +178,6 @@ def decontam_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{text_}')" for i, (s, text_) in enumerate((x, " ".join(x.lower().split())) for x in decontam.HUMANEVAL_SIGNATURES)) + ") v(id, signature, ngram)")
-def humaneval_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(decontam.HUMANEVAL_SIGNATURES)), "id int, signature string")
-    return rows.select("id", "signature", F.explode(decontam.ngram_set(F.col("signature"))).alias("ngram"))
-
-
 # --- near-duplicates -------------------------------------------------------------------------------------------------
 
 PERMUTATIONS, BANDS = 128, 16

@@ -93,11 +93,6 @@ def normal_levels_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", levels.alias("levels"), F.round(vector.snr_db(F.col("x"), F.col("y")), 6).alias("snr"))
 
 
-@query("SELECT s AS size, (12 + 16.0 / s)::DOUBLE AS bits FROM (VALUES (16), (32), (64), (128)) v(s)")
-def bits_per_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, vector.bits_per_value(s)) for s in (16, 32, 64, 128)], "size int, bits double")
-
-
 @query(f"""WITH s AS ({TRAINING_SQL['residual_roundtrip_snr']}), n AS (SELECT len(embedding) AS n, vec_id FROM embeddings WHERE len(embedding) > 0)
     SELECT count(*) AS layers, sum((n % 32 = 0)::INT)::BIGINT AS eligible, sum(n * 2)::BIGINT AS bytes_before, round(sum(n * 12.5::DOUBLE / 8), 6) AS bytes_after, round(100.0 * (1 - sum(n * 12.5::DOUBLE / 8) / sum(n * 2)), 6) AS savings_percent,
     round(min(snr), 4) AS min_snr, round(avg(snr), 4) AS mean_snr, sum((snr < 30)::INT)::BIGINT AS under_30_db FROM s JOIN n USING (vec_id)""")
@@ -108,13 +103,6 @@ def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-@query(f"WITH {_ELEM} SELECT vec_id, 8 AS rank, round(sum(v * v), 6) AS energy, round(sum(v), 6) AS total FROM el GROUP BY vec_id")
-def low_rank_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eight factors of vectors as 8 x 8 matrices: their squares add up to the vector's, and they restore it."""
-    made = metrics.restored(metrics.low_rank(_vectors(spark, sf_dir), "vec_id", "x", 8, 1.0), 8)
-    return made.select("vec_id", "rank", F.round(total(F.transform("s", lambda v: v * v)), 6).alias("energy"), F.round(total(F.col("x")), 6).alias("total"))
-
-
 # --- logits ----------------------------------------------------------------------------------------------------------
 
 
@@ -141,30 +129,9 @@ def masked_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.round(vector.masked_loss(vector.softmax_loss(F.col("x"), target)), 9).alias("loss"), F.round(vector.z_loss(F.col("x")), 9).alias("z_loss"))
 
 
-@query("""WITH g AS (SELECT p, d, 10000.0::DOUBLE AS t, pow(4.0::DOUBLE, 64.0 / 62.0) AS grow, greatest(least((d / 32.0::DOUBLE - 0.25) / 0.5, 1.0), 0.0) AS mixed FROM range(128) a(p), range(32) b(d))
-    SELECT p AS position, d AS pair, round(p / 4.0 * exp(-d * 2.0 / 64 * ln(t)), 9)::DOUBLE AS linear, round(p * exp(-d * 2.0 / 64 * ln(t * grow)), 9) AS ntk, round(p * exp(-d * 2.0 / 64 * ln(t * grow)) * ((1 - mixed) + mixed / 4.0), 9) AS yarn FROM g""")
-def rope_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(128).select(F.col("id").alias("position"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(31).cast("bigint"))).alias("pair"))
-    return grid.select("position", "pair", *[F.round(vector.rope_angle(F.col("position"), F.col("pair"), 64, scaling=s, factor=4.0), 9).alias(s) for s in ("linear", "ntk", "yarn")])
-
-
 # --- presets, names, programs ----------------------------------------------------------------------------------------
 
 
-@query("SELECT i AS preset, round(" + " + ".join(f"{w} * ((i >> {n}) & 1)" for n, w in enumerate(schedule.DIFFICULTY.values())) + ", 9)::DOUBLE AS difficulty FROM range(64) t(i)")
-def preset_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {name: F.shiftright("id", n).bitwiseAND(1) == 1 for n, name in enumerate(schedule.DIFFICULTY)}
-    return spark.range(64).select(F.col("id").alias("preset"), F.round(schedule.difficulty(flags), 9).alias("difficulty"))
-
-
-_TENSORS = [*text.TENSOR_NAMES, *(f"layers.{i}.{part}" for i in (0, 11) for part in (*text.LAYER_PARTS, "extra.bias")), "other.bias"]
-
-
-@query("SELECT name, CASE WHEN starts_with(name, 'layers.') THEN 'blk.' || split_part(name, '.', 2) || '.' || coalesce((MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.LAYER_PARTS.items()) + "})[regexp_extract(name, '^layers\\.\\d+\\.(.+)$', 1)], regexp_extract(name, '^layers\\.\\d+\\.(.+)$', 1)) ELSE coalesce((MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.TENSOR_NAMES.items()) + "})[name], name) END AS exported FROM (VALUES " + ", ".join(f"('{t}')" for t in _TENSORS) + ") v(name)")
-def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in _TENSORS], "name string").withColumn("exported", text.exported_name(F.col("name")))
-
-
 @query("""SELECT item_id, md5(text || 'pass' || chr(10) || 'def check(f): pass' || chr(10) || 'check(f' || item_id || ')' || chr(10)) AS function_md5,
     md5(CASE WHEN item_id % 2 = 0 THEN 'import math' || chr(10) ELSE '' END || text || chr(10) || 'assert 1' || chr(10) || 'assert 2') AS asserted_md5 FROM benchmark""")
 def test_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +142,6 @@ def test_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", F.md5(whole.cast("binary")).alias("function_md5"), F.md5(asserted.cast("binary")).alias("asserted_md5"))
 
 
-@query(f"""WITH g AS (SELECT r, list(floor({u01_sql(42, 'synthetic', 'r', 'i')} * 49152)::INT ORDER BY i) AS ids FROM range(100) a(r), range(65) b(i) GROUP BY r)
-    SELECT r AS row, array_to_string(ids[1:64], ',') AS input_ids, array_to_string(ids[2:65], ',') AS targets FROM g""")
-def synthetic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.synthetic_tokens(spark, 100, 64, 49_152).withColumns({c: joined(F.col(c)) for c in ("input_ids", "targets")})
-
-
 @query("SELECT doc_id, path, row_number() OVER (ORDER BY path) - 1 AS position FROM (SELECT doc_id, source || '/f' || doc_id || '.txt' AS path FROM documents)")
 def sorted_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
@@ -299,23 +260,6 @@ def marked_and_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", joined(ids).alias("marked"), joined(tokenizer.padded(ids, 24, 49_088)).alias("padded"))
 
 
-_NAMES = "(VALUES " + ", ".join(f"('{t}', {i})" for t, i in schedule.SPECIAL_TOKENS.items()) + ") s(token, token_id)"
-
-
-@query(f"SELECT r.n, r.token, coalesce(s.token_id, 49091) AS token_id, r.asked, b.token AS back FROM (SELECT i AS n, CASE WHEN i % 3 = 0 THEN '<|eos|>' WHEN i % 3 = 1 THEN '<|fim_pad|>' ELSE 'none' END AS token, (49085 + i)::INT AS asked FROM range(60) t(i)) r LEFT JOIN {_NAMES} ON r.token = s.token LEFT JOIN (SELECT * FROM {_NAMES}) b ON b.token_id = r.asked")
-def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = spark.createDataFrame(list(schedule.SPECIAL_TOKENS.items()), "token string, token_id int")
-    token = F.when(F.col("id") % 3 == 0, "<|eos|>").when(F.col("id") % 3 == 1, "<|fim_pad|>").otherwise("none")
-    rows = spark.range(60).select(F.col("id").alias("n"), token.alias("token"), (F.col("id") + 49_085).cast("int").alias("asked"))
-    return tokenizer.tokens_of(tokenizer.ids_of(rows, vocab, 49_091), vocab, "asked", "back").select("n", "token", "token_id", "asked", "back")
-
-
-@query("SELECT 64 AS size, false AS aligned, 0 AS misplaced, 0 AS missing")
-def vocabulary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schedule.checked_geometry()
-    return schedule.vocabulary_report(schedule.special_table(spark))
-
-
 #: Merges of a full vocabulary: what is learned beyond the 256 bytes.
 MERGES = schedule.BPE_SIZE - 256
 

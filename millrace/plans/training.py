@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import schedule, text, vector
 from millrace.operators import chat, metrics, recurrence, tokenizer
-from millrace.operators.storage import written
 from millrace.plans.corpus import strip_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,12 +156,6 @@ def index_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.index_percentile(table(spark, sf_dir, "events"), "value", 0.9)
 
 
-@query("SELECT name, (49152 * d + l * (2 * d * d + 2 * d * (d // h) * kv + 3 * d * (((floor(d * w)::BIGINT + 63) // 64) * 64) + 2 * d) + d)::BIGINT AS parameters FROM (VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, {v[4]}::DOUBLE)" for k, v in metrics.PRESETS.items()) + ") p(name, d, l, h, kv, w)")
-def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *v) for k, v in metrics.PRESETS.items()], "name string, d bigint, l bigint, h bigint, kv bigint, w double")
-    return rows.select("name", metrics.parameter_count(*[F.col(c) for c in ("d", "l", "h", "kv", "w")]).alias("parameters"))
-
-
 @query("SELECT event_type, event_id AS step FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("step"))
@@ -269,40 +262,9 @@ def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", F.round(F.aggregate(vector.rms_norm(F.col("x")), F.lit(0.0), lambda s, v: s + v), 9).alias("total"))
 
 
-@query("SELECT p AS position, d AS pair, round(cos(p * exp(-d * 2.0 / 64 * ln(10000.0))), 9) AS cosine, round(sin(p * exp(-d * 2.0 / 64 * ln(10000.0))), 9) AS sine FROM range(128) a(p), range(32) b(d)")
-def rope_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(128).select(F.col("id").alias("position"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(31).cast("bigint"))).alias("pair"))
-    angle = vector.rope_angle(F.col("position"), F.col("pair"), 64)
-    return grid.select("position", "pair", F.round(F.cos(angle), 9).alias("cosine"), F.round(F.sin(angle), 9).alias("sine"))
-
-
 # --- schedules and series --------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT s AS step, round(CASE WHEN s < 100 THEN s / 100.0 WHEN s < 600 THEN 1.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos({math.pi} * least((s - 600) / 300.0, 1.0))) END, 9)::DOUBLE AS wsd,
-    round(CASE WHEN s < 100 THEN s / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos({math.pi} * (s - 100) / 900.0)) END, 9)::DOUBLE AS cosine FROM range(1200) t(s)""")
-def lr_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("id")
-    return spark.range(1200).select(s.alias("step"), F.round(schedule.wsd_lr(s, 100, 500, 300), 9).alias("wsd"), F.round(schedule.cosine_lr(s, 100, 1000), 9).alias("cosine"))
-
-
-@query("""WITH a AS (SELECT s, s // 600 >= 5 AS o, CASE WHEN s // 600 >= 5 THEN 1.0 WHEN s % 600 >= 500 THEN 0.0 ELSE (s % 600) / 499.0 END::DOUBLE AS a FROM range(0, 4000, 7) t(s)) SELECT s AS step, round(a, 9) AS aggression, o OR a >= 0.5 AS abd, o OR a >= 0.8 AS srr FROM a""")
-def curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = schedule.wave(F.col("id"))
-    return spark.range(0, 4000, 7).select(F.col("id").alias("step"), F.round(made["aggression"], 9).alias("aggression"), made["abd"].alias("abd"), made["srr"].alias("srr"))
-
-
-@query("SELECT v AS size, " + ", ".join(f"v % {f} = 0 AS by_{f}" for f in schedule.ALIGNMENT_FACTORS) + ", (128 - v % 128) % 128 AS waste_128, v // 128 AS tiles_128, v % 16 = 0 AND v % 32 = 0 AND v % 128 = 0 AS peak, (v + 64 + 255) // 256 * 256 AS suggested FROM range(32000, 50300, 50) t(v)")
-def vocab_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("id")
-    return spark.range(32000, 50300, 50).select(v.alias("size"), *[c.alias(k) for k, c in schedule.alignment(v).items()], schedule.suggested_size(v).alias("suggested"))
-
-
-@query("SELECT i::INT AS token_id, coalesce((MAP {" + ", ".join(f"{i}: '{t}'" for t, i in schedule.SPECIAL_TOKENS.items()) + "})[i::INT], '<|reserved_' || i || '|>') AS token FROM range(49080, 49152) t(i)")
-def special_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.special_table(spark, 49_080)
-
-
 @query("SELECT event_id AS step, CASE WHEN event_id % 100 = 0 THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS tier, event_id % 4 = 0 AS highway FROM events")
 def step_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("event_id")
@@ -402,24 +364,17 @@ def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.pretoken_counts(table(spark, sf_dir, "documents"))
 
 
+def learned(spark: SparkSession, docs: DataFrame) -> list[tuple[bytes, bytes]]:
+    return tokenizer.learn_merges(tokenizer.pretoken_counts(docs), schedule.BPE_SIZE - 256)
+
+
 @query()
 def tokenizer_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    merges = tokenizer.learn_merges(tokenizer.pretoken_counts(docs), schedule.BPE_SIZE - 256)
-    return tokenizer.compression(docs, tokenizer.encode(docs, merges), overall="*")
+    return tokenizer.compression(tokenizer.encoded_sizes(docs, learned(spark, docs)), overall="*")
 
 
 @query()
 def tokenizer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    merges = tokenizer.learn_merges(tokenizer.pretoken_counts(docs), schedule.BPE_SIZE - 256)
-    ids = written(tokenizer.encode(docs, merges))
-    back = tokenizer.decode(ids, merges).withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id").join(ids, "doc_id").select("doc_id", F.size("ids").alias("tokens"), (F.col("text") == F.col("decoded")).alias("same"))
-
-
-@query()
-def python_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.functions.syntax import python_syntax_score
-
-    return table(spark, sf_dir, "documents").select("doc_id", python_syntax_score(F.col("text")).alias("syntax_score"))
+    return tokenizer.encoded_sizes(docs, learned(spark, docs)).select("doc_id", F.col("t").alias("tokens"), F.col("back").alias("same"))
