@@ -25,6 +25,9 @@ from millrace.llm.shingle_sets import _BYTES, _powers, mix
 CHUNK_TOKENS, CELL_TOKENS = 2_000_000, 1_000_000
 #: Counts up to this are discounted, if the counts of counts allow it; see `discounts`.
 LARGEST_DISCOUNTED = 5
+#: Words of more than 1/COMMON of all training tokens are sent by number; so their list, which is broadcast, has COMMON
+#: entries of 8 bytes at most, in any corpus.
+COMMON = 1 << 20
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 20
 #: What follows a text's last word, and what precedes its first one.
@@ -56,6 +59,23 @@ def unpack(data: bytes) -> np.ndarray:
     return flat if kind.kind == "f" else flat.astype(np.uint64 if kind.itemsize == 8 else np.int64)
 
 
+def pack_words(words: np.ndarray, common: np.ndarray) -> bytes:
+    """Hashes, those of common words by their number."""
+    place = np.minimum(np.searchsorted(common, words), max(len(common) - 1, 0))
+    known = common[place] == words if len(common) else np.zeros(len(words), dtype=bool)
+    numbers = pack(np.where(known, place + 1, 0))
+    return len(numbers).to_bytes(4, "little") + numbers + pack(words[~known])
+
+
+def unpack_words(data: bytes, common: np.ndarray) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    numbers = unpack(data[4 : 4 + size])
+    out = np.empty(len(numbers), dtype=np.uint64)
+    out[numbers > 0] = common[numbers[numbers > 0] - 1]
+    out[numbers == 0] = unpack(data[4 + size :])
+    return out
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every text, in order, and the number of words of each text; null is empty.
 
@@ -296,7 +316,20 @@ def _cogrouped(made: DataFrame, answers: DataFrame):
     return made.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
 
-def ask_pairs(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int) -> DataFrame:
+def common_words(tables: DataFrame, lower: Words) -> np.ndarray:
+    """The hashes of the words with more than 1/COMMON of all tokens, in order."""
+    least = lower.tokens // COMMON
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(words)[unpack(counts) > least].astype(np.uint64).view(np.int64))], names=["word"])
+
+    found = tables.select("a", "b").mapInArrow(run, "word long").toArrow().column("word")
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def ask_pairs(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int, shared) -> DataFrame:
     """cell, chunk and a chunk's pairs there: contexts, pairs of each, whether a context has several cells, words, their
     counts, each pair's word and times."""
     names = ["contexts", "runs", "wide", "words", "counts", "place", "n"]
@@ -305,12 +338,13 @@ def ask_pairs(made: DataFrame, answers: DataFrame, cells: int, cell_tokens: int)
         row = left.to_pylist()[0]
         rows = list(Chunk(row, right.to_pylist(), cells, cell_tokens).questions(_trained(row)))
         out = {"cell": pa.array([c for c, _ in rows], pa.int32()), "chunk": pa.array([row["chunk"]] * len(rows), pa.int64())}
-        return pa.table(out | {n: pa.array([pack(x[k]) for _, x in rows], pa.binary()) for k, n in enumerate(names)})
+        coded = lambda n, x: pack_words(x, shared.value) if n in ("contexts", "words") else pack(x)
+        return pa.table(out | {n: pa.array([coded(n, x[k]) for _, x in rows], pa.binary()) for k, n in enumerate(names)})
 
     return _cogrouped(made.drop("docs", "tokens"), answers.select("chunk", "kind", "cell", "a")).applyInArrow(run, "cell int, chunk long, " + ", ".join(f"{n} binary" for n in names))
 
 
-def count_pairs(asked: DataFrame, words: Words) -> DataFrame:
+def count_pairs(asked: DataFrame, words: Words, shared) -> DataFrame:
     """Rows of kind `pairs` (a cell's table: a contexts, b pairs of each, c words, d each pair's word, e counts) and
     `pair` (answers: a counts of pairs; c the contexts' successors of count 1, 2, ...; b the lower order's sum of those
     contexts that back off)."""
@@ -319,7 +353,8 @@ def count_pairs(asked: DataFrame, words: Words) -> DataFrame:
         cell, rows = group["cell"][0].as_py(), []
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for r in group.to_pylist():
-            contexts, runs, wide, own, counts, place = (unpack(r[k]) for k in ("contexts", "runs", "wide", "words", "counts", "place"))
+            contexts, own = (unpack_words(r[k], shared.value) for k in ("contexts", "words"))
+            runs, wide, counts, place = (unpack(r[k]) for k in ("runs", "wide", "counts", "place"))
             rows.append((r["chunk"], contexts, runs, wide))
             for column, values in zip(columns, (np.repeat(contexts, runs), own[place], counts[place], unpack(r["n"])), strict=True):
                 column.append(values)
@@ -419,8 +454,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     tokens, types, *few = _summed(words)
     lower = Words(tokens, types, few)
     told = words.where(F.col("kind") == "word")
-    pairs = stored(count_pairs(ask_pairs(made, told, cells, cell_tokens), lower), "pairs")
+    tables = words.where(F.col("kind") == "words")
+    shared = docs.sparkSession.sparkContext.broadcast(common_words(tables, lower))
+    pairs = stored(count_pairs(ask_pairs(made, told, cells, cell_tokens, shared), lower, shared), "pairs")
     shares = discounts(_summed(pairs)[2:])
     answers = told.unionByName(pairs.where(F.col("kind") == "pair"))
-    tables = Tables(words.where(F.col("kind") == "words"), pairs.where(F.col("kind") == "pairs"), lower, shares)
-    return evaluate(made, answers, cells, cell_tokens, lower, shares, key, dict(docs.dtypes)[key], named), tables
+    learned = Tables(tables, pairs.where(F.col("kind") == "pairs"), lower, shares)
+    return evaluate(made, answers, cells, cell_tokens, lower, shares, key, dict(docs.dtypes)[key], named), learned

@@ -212,6 +212,10 @@ def test_packed_numbers_come_back():
     for x in ([], [0, 3], [70000, 2, 255], [1 << 63], [1 << 40, 5]):
         assert katz.unpack(katz.pack(np.array(x, dtype=np.uint64))).tolist() == x
     assert katz.unpack(katz.pack(np.array([0.5, -1e300]))).tolist() == [0.5, -1e300]
+    common = np.array([3, 1 << 60, (1 << 64) - 1], dtype=np.uint64)
+    for x in ([], [3], [4, 3, (1 << 64) - 1, 3, 1 << 63]):
+        for known in (common, common[:0]):
+            assert katz.unpack_words(katz.pack_words(np.array(x, dtype=np.uint64), known), known).tolist() == x
 
 
 # 13
