@@ -7,18 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import sha1_le32
 from millrace.functions.text import word_ngrams, words
 from millrace.operators.pack import ordered_positions
-from millrace.operators.storage import written
+from millrace.operators.storage import scratch, written
 
 # Fixed values of the hash family.
 PRIME = (1 << 61) - 1
 MAX_HASH = (1 << 32) - 1
 SEED = 42
+#: Edges of a block that one task goes through in order.
+BLOCK_EDGES = 500_000
+#: Candidate pairs that are compared at once; buckets with more of them are settled by stars first.
+PAIRS_AT_ONCE = 5_000_000
 
 
 def family(num_perm: int = 128, seed: int = SEED) -> tuple[list[int], list[int]]:
@@ -67,52 +72,139 @@ def jaccard_estimate(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v) / F.size(x)
 
 
-def candidate_pairs(signatures: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
+def banded(signatures: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
+    """key, band, part: a row for each band of each signature; part is a hash of the band's rows."""
+    rows = F.size("signature") / bands
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("signature", (i * rows + 1).cast("int"), rows.cast("int"))))
+    return signatures.select(key, F.posexplode(cut).alias("band", "part"))
+
+
+def memberships(signatures: DataFrame, key: str = "doc_id", bands: int = 16) -> DataFrame:
+    """key, band, first, members: the buckets as stars, a row for each key and band, however large a bucket is.
+
+    `first` is the least key of the bucket, `members` its number of rows. Every candidate pair shares a bucket;
+    `pairs_within` gives the pairs of the buckets that one asks for.
+    """
+    rows = banded(signatures, key, bands)
+    heads = rows.groupBy("band", "part").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("members"))
+    return rows.join(heads, ["band", "part"]).select(key, "band", "first", "members")
+
+
+def pairs_within(members: DataFrame, key: str = "doc_id", since: object = None) -> DataFrame:
+    """a < b of the same bucket (band and first) of memberships, each pair once; with `since`, b is no less than it."""
+    side = members.where(F.col("members") > 1)
+    right = side if since is None else side.where(F.col(key) >= F.lit(since))
+    pairs = side.select(F.col(key).alias("a"), "band", "first").join(right.select(F.col(key).alias("b"), "band", "first"), ["band", "first"])
+    return pairs.where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def candidate_pairs(signatures: DataFrame, key: str = "doc_id", bands: int = 16, since: object = None) -> DataFrame:
     """a < b whose signatures agree in a band: an equi-join on (band, rows of the band), each pair once.
 
-    Callers take copies away first (see deduplicated): a group of copies would give all its pairs.
+    Callers take copies away first, and near copies too (see deduplicated): a group gives all its pairs.
     """
-    rows = F.size("signature") / bands
-    banded = signatures.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice("signature", (i * rows + 1).cast("int"), rows.cast("int")))).alias("band", "part"))
-    banded = banded.withColumn("part", F.xxhash64("part"))
-    left, right = banded.select(F.col(key).alias("a"), "band", "part"), banded.select(F.col(key).alias("b"), "band", "part")
-    return left.join(right, ["band", "part"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    rows = banded(signatures, key, bands)
+    right = rows if since is None else rows.where(F.col(key) >= F.lit(since))
+    pairs = rows.withColumnRenamed(key, "a").join(right.withColumnRenamed(key, "b"), ["band", "part"])
+    return pairs.where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
-def similar_pairs(signatures: DataFrame, threshold: float = 0.8, key: str = "doc_id", bands: int = 16) -> DataFrame:
-    """a < b, estimate: candidate pairs whose estimate reaches the threshold."""
+def estimated(pairs: DataFrame, signatures: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
+    """a, b, estimate of the pairs that reach the threshold."""
     side = lambda name: signatures.select(F.col(key).alias(name), F.col("signature").alias(f"s_{name}"))
-    pairs = candidate_pairs(signatures, key, bands).join(side("a"), "a").join(side("b"), "b")
-    return pairs.withColumn("estimate", jaccard_estimate(F.col("s_a"), F.col("s_b"))).where(F.col("estimate") >= threshold).select("a", "b", "estimate")
-
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.withColumn("estimate", jaccard_estimate(F.col("s_a"), F.col("s_b"))).where(F.col("estimate") >= threshold).select("a", "b", "estimate")
 
-def greedy_kept(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, kept: a row is kept if no kept row before it is similar; a dropped row drops none itself.
 
-    Rounds: rows without undecided or kept earlier neighbours are kept, their later neighbours dropped. The least
-    undecided row is settled in each round; only rows with edges take part, and each round is written down.
+def similar_pairs(signatures: DataFrame, threshold: float = 0.8, key: str = "doc_id", bands: int = 16, since: object = None) -> DataFrame:
+    """a < b, estimate: candidate pairs whose estimate reaches the threshold."""
+    return estimated(candidate_pairs(signatures, key, bands, since), signatures, threshold, key)
+
+
+def _settled(group: pa.Table) -> pa.Table:
+    """n, kept of the rows of a block that are decided there: a (null, -1 for one outside) comes before n in each edge."""
+    before: dict[int, list[int | None]] = {}
+    for n, a in zip(group["n"].to_pylist(), group["a"].to_pylist(), strict=True):
+        own = before.setdefault(n, [])
+        if a is not None:
+            own.append(a)
+    kept: dict[int, bool | None] = {}
+    for n in sorted(before):
+        known = [kept[a] if a >= 0 else None for a in before[n]]
+        kept[n] = False if True in known else None if None in known else True
+    sure = [(n, k) for n, k in kept.items() if k is not None]
+    return pa.table({"n": pa.array([n for n, _ in sure], pa.int64()), "kept": pa.array([k for _, k in sure], pa.bool_())})
+
+
+def greedy_kept(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", block: int = BLOCK_EDGES) -> DataFrame:
+    """key, kept: a row is kept if no kept row before it is similar; a dropped row drops none itself. Edges are a < b.
+
+    Rounds over open edges: rows with edges are dealt in their order to blocks of about `block` edges. A task goes
+    through its block in order and settles whatever doesn't hang on an open row of a block before; then kept rows drop
+    their neighbours in other blocks. So the first block is settled in each round, and of the others all that chains
+    from outside don't reach: a chain of n links takes about n / block rounds at most. What is settled goes to one
+    table, a folder a round; only open edges are carried on.
     """
-    open_edges = written(edges.select("a", "b"))
-    dropped: DataFrame | None = None
-    while open_edges.limit(1).count():
-        later = open_edges.select(F.col("b").alias("n")).distinct()
-        sure = open_edges.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti")
-        gone = written(open_edges.join(sure.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        rest = open_edges.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b")
-        open_edges = written(rest)
-    if dropped is None:
+    spark, path, rounds = edges.sparkSession, scratch(edges.sparkSession), 0
+    # Keys become their places in the order of keys, so that blocks are runs of numbers, whatever a key's type.
+    ends = edges.select(F.col("a").alias("k")).unionByName(edges.select(F.col("b").alias("k"))).distinct().withColumn("one", F.lit(1))
+    places = written(ordered_positions(ends, "k", "one").select("k", F.col("start").alias("n")))
+    at = lambda side, name: places.select(F.col("k").alias(side), F.col("n").alias(name))
+    left = written(edges.select("a", "b").join(at("a", "na"), "a").join(at("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    count = left.count()
+    while count:
+        into = left.groupBy(F.col("b").alias("n")).agg(F.count(F.lit(1)).alias("size"))
+        rows = left.select(F.col("a").alias("n"), F.lit(0).cast("long").alias("size")).distinct().unionByName(into).groupBy("n").agg((F.sum("size") + 1).alias("size"))
+        if count <= block:
+            blocks = rows.select("n", F.lit(0).cast("long").alias("block"))
+        else:
+            blocks = ordered_positions(rows, "n", "size").select("n", F.floor(F.col("start") / block).cast("long").alias("block"))
+        blocks = written(blocks)
+        of = lambda side: blocks.select(F.col("n").alias(side), F.col("block").alias(f"block_{side}"))
+        inside = left.join(of("a"), "a").join(of("b"), "b").select("block_b", F.col("b").alias("n"), F.when(F.col("block_a") == F.col("block_b"), F.col("a")).otherwise(-1).alias("a"))
+        every = inside.unionByName(blocks.select(F.col("block").alias("block_b"), "n", F.lit(None).cast("long").alias("a"))).distinct()
+        done = written(every.groupBy("block_b").applyInArrow(_settled, "n long, kept boolean"))
+        open_edges = left.join(done.select(F.col("n").alias("b")), "b", "left_anti")
+        hit = open_edges.join(done.where("kept").select(F.col("n").alias("a")), "a", "left_semi").select(F.col("b").alias("n"), F.lit(False).alias("kept")).distinct()
+        settled = written(done.unionByName(hit))
+        settled.write.parquet(f"{path}/round={rounds}")
+        rounds += 1
+        gone = settled.where(~F.col("kept")).select("n")
+        left = written(open_edges.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
+        count = left.count()
+    if not rounds:
         return nodes.select(key, F.lit(True).alias("kept"))
-    marks = dropped.distinct().select(F.col("n").alias(key), F.lit(False).alias("__k"))
+    marks = spark.read.parquet(path).where(~F.col("kept")).select("n").join(places, "n").select(F.col("k").alias(key), F.lit(False).alias("__k"))
     return nodes.select(key).join(marks, key, "left").select(key, F.coalesce("__k", F.lit(True)).alias("kept"))
 
 
+def settled_by_stars(marks: DataFrame, threshold: float = 0.8, key: str = "doc_id", bands: int = 16, pairs: int = PAIRS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
+    """Rows that are kept for sure, and those that are still open, once the buckets have few enough candidate pairs.
+
+    A row that is the first in all its buckets is kept, whatever comes after it; what is similar to it is dropped, and
+    what isn't stays open without it. So a group of near copies is settled without any of its pairs but those with its
+    first. Rounds go on until `pairs` candidate pairs are left, or a round leaves more than half of those before it.
+    """
+    kept, left, before = marks.limit(0).select(key), marks, None
+    while True:
+        members = written(memberships(left, key, bands))
+        to_come = members.agg(F.coalesce(F.sum((F.col("members") - 1) / 2), F.lit(0.0))).first()[0]
+        if to_come <= pairs or (before is not None and to_come > before / 2):
+            return kept, left
+        before = to_come
+        sure = written(members.groupBy(key).agg(F.bool_and(F.col(key) == F.col("first")).alias("sure")).where("sure").select(key))
+        stars = members.where(F.col(key) > F.col("first")).join(sure.withColumnRenamed(key, "first"), "first", "left_semi").select(F.col("first").alias("a"), F.col(key).alias("b")).distinct()
+        dropped = estimated(stars, left, threshold, key).select(F.col("b").alias(key))
+        kept = written(kept.unionByName(sure))
+        left = written(left.join(sure.unionByName(dropped).distinct(), key, "left_anti"))
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, num_perm: int = 128, ngram: int = 5, bands: int = 16, row: str | None = None) -> DataFrame:
     """key, kept for rows in order of key, one for each row; rows of one key come in order of their words' digest.
 
     `row` names a column that tells rows apart; the result has it, to join on. Texts of the same words have estimate 1,
     so all but the first row of them goes, by one aggregation; only the rest is signed and joined. A removed copy would
-    have removed nothing that its first doesn't.
+    have removed nothing that its first doesn't. Groups of near copies are settled by stars, the rest by pairs.
     """
     mark = F.col(row) if row else F.monotonically_increasing_id()
     same = F.md5(F.array_join(words(F.col(text)), " "))
@@ -121,8 +213,9 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", thres
     order = written(ordered_positions(firsts.select("w", "first.k", "first.r", F.lit(1).alias("one")), ["k", "w"], "one").select("w", "k", "r", F.col("start").alias("at")))
     hashed = docs.select(F.coalesce(same, F.lit("")).alias("w"), shingle_hashes(F.col(text), ngram).alias("h")).groupBy("w").agg(F.first("h").alias("h"))
     marks = written(signed(hashed, "h", "w", num_perm).join(order.select("w", "at"), "w").select("at", "signature"))
-    kept = greedy_kept(marks, similar_pairs(marks, threshold, "at", bands), "at").where("kept")
-    stay = order.join(kept.select("at"), "at").select("w", F.col("r").alias("first"))
+    sure, left = settled_by_stars(marks, threshold, "at", bands)
+    kept = greedy_kept(left, similar_pairs(left, threshold, "at", bands), "at").where("kept")
+    stay = order.join(kept.select("at").unionByName(sure), "at").select("w", F.col("r").alias("first"))
     out = rows.join(stay, "w", "left").withColumn("kept", F.coalesce(F.col("r") == F.col("first"), F.lit(False)))
     return out.select(F.col("k").alias(key), *([F.col("r").alias(row)] if row else []), "kept")
 

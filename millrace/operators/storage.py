@@ -20,9 +20,8 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table that is written once and read again: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir, which goes when Python ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
@@ -30,6 +29,11 @@ def written(df: DataFrame) -> DataFrame:
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table that is written once and read again: lineage is cut and lost executors cost nothing."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
