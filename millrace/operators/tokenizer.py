@@ -37,7 +37,7 @@ def learn_merges(counts: DataFrame, merges: int, least: int = 2) -> list[tuple[b
     """Pair merges by frequency over pre-token counts; ties go to the pair that sorts first.
 
     All distinct pieces take part: on the driver up to PRETOKENS_ON_DRIVER of them, else spread over the cluster with a
-    job for each merge. Both ways give the same merges.
+    job for each run of merges that don't touch each other. Both ways give the same merges.
     """
     counts = written(counts)
     if counts.count() > PRETOKENS_ON_DRIVER:
@@ -90,39 +90,108 @@ def _joined(parts: list, pair: tuple) -> list:
     return out
 
 
+class PairTable:
+    """Totals of neighbouring pairs, with what the sequential order of merges needs: the best pair, and what is certain
+    to follow it. Ties go to the pair that sorts first."""
+
+    def __init__(self, totals: dict[tuple, int]):
+        self.totals: Counter = Counter()
+        self.before: dict = {}
+        self.after: dict = {}
+        self.heap: list = []
+        self.add(totals)
+
+    def add(self, change: dict[tuple, int]) -> None:
+        for pair, by in change.items():
+            self.totals[pair] += by
+            if self.totals[pair] > 0:
+                self.after.setdefault(pair[0], set()).add(pair[1])
+                self.before.setdefault(pair[1], set()).add(pair[0])
+                heapq.heappush(self.heap, (-self.totals[pair], pair))
+            else:
+                del self.totals[pair]
+                self.after.get(pair[0], set()).discard(pair[1])
+                self.before.get(pair[1], set()).discard(pair[0])
+
+    def certain(self, least: int, most: int) -> list[tuple]:
+        """The next merges of the sequential order, as many as the totals of now prove.
+
+        A merge of (a, b) changes no pair without a and b, takes from those that have one of them, and makes pairs
+        (x, ab) and (ab, y) of at most as many as (x, a) and (b, y) were. So the next best pair comes next if it has no
+        token of the merges before it and no such new pair could come before it; a new pair of two new tokens sorts
+        behind the one with the first of them and the second's own first token, which bounds its total too.
+        """
+        out: list[tuple] = []
+        taken: set = set()
+        top: list[tuple] = []  # the best that new pairs could be: (-total, pair), a heap
+        while self.heap and len(out) < most:
+            n, pair = heapq.heappop(self.heap)
+            if self.totals.get(pair) != -n:
+                continue
+            if -n < least or taken.intersection(pair) or (top and top[0] < (n, pair)):
+                heapq.heappush(self.heap, (n, pair))
+                break
+            a, b = pair
+            out.append(pair)
+            taken.update(pair)
+            for x in self.before.get(a, ()):
+                heapq.heappush(top, (max(n, -self.totals[x, a]), (x, a + b)))
+            for y in self.after.get(b, ()):
+                heapq.heappush(top, (max(n, -self.totals[b, y]), (a + b, y)))
+            if a == b:
+                break
+        for pair in out:
+            heapq.heappush(self.heap, (-self.totals[pair], pair))
+        return out
+
+
+def _merged(parts: list, pairs: list[tuple]) -> list:
+    for pair in pairs:
+        if pair[0] in parts:
+            parts = _joined(parts, pair)
+    return parts
+
+
 def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
-    """learn_merges over a table of pieces that stays distributed. Tokens are hexadecimal text, whose order is theirs."""
+    """learn_merges over a table of pieces that stays distributed; the driver holds the totals of pairs alone.
+
+    A round is one job: the merges that the totals prove to come next are made in all pieces, and what that changes in
+    the totals comes back. Tokens are hexadecimal text, whose order is theirs.
+    """
     split = F.regexp_extract_all(F.hex(F.encode("piece", "UTF-8")), F.lit(".."), F.lit(0))
     table = written(counts.select(split.alias("parts"), "n").where(F.size("parts") > 1))
-    made: list[tuple[str, str]] = []
-    fresh: list[tuple[str, str]] = []
 
-    def applied(frames: Iterator[pd.DataFrame], fresh: list) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = [list(p) for p in frame["parts"]]
-            for pair in fresh:
-                parts = [_joined(p, pair) for p in parts]
-            yield pd.DataFrame({"parts": parts, "n": frame["n"]})
-
-    while len(made) < merges:
-        ready = list(fresh)
-
-        def pairs(frames: Iterator[pd.DataFrame], ready: list = ready) -> Iterator[pd.DataFrame]:
-            for frame in applied(frames, ready):
-                totals: Counter = Counter()
+    def changed(merged: list, fresh: list, first: bool = False) -> dict[tuple, int]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            change: Counter = Counter()
+            for frame in frames:
                 for parts, n in zip(frame["parts"], frame["n"], strict=True):
-                    for pair in zip(parts, parts[1:], strict=False):
-                        totals[pair] += n
-                yield pd.DataFrame([(a, b, n) for (a, b), n in totals.items()], columns=["a", "b", "n"])
-
-        best = table.mapInPandas(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best.n < least:
-            break
-        made.append((best.a, best.b))
-        fresh.append((best.a, best.b))
-        if len(fresh) >= WRITE_EVERY:
-            table = written(table.mapInPandas(lambda frames, ready=tuple(fresh): applied(frames, list(ready)), "parts array<string>, n long").where(F.size("parts") > 1))
-            fresh = []
+                    old = _merged(list(parts), merged)
+                    new = _merged(old, fresh)
+                    if first or len(new) != len(old):
+                        for pair in zip(old, old[1:], strict=False):
+                            change[pair] += n if first else -n
+                        for pair in () if first else zip(new, new[1:], strict=False):
+                            change[pair] += n
+            yield pd.DataFrame([(a, b, n) for (a, b), n in change.items() if n], columns=["a", "b", "n"])
+
+        found = table.mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+        return {(r.a, r.b): r.n for r in found.toLocalIterator()}
+
+    pairs, made, pending = PairTable(changed([], [], True)), [], []
+    while len(made) < merges and (fresh := pairs.certain(least, merges - len(made))):
+        pairs.add(changed(list(pending), fresh))
+        made += fresh
+        pending += fresh
+        if len(pending) >= WRITE_EVERY:
+            ready = list(pending)
+
+            def applied(frames: Iterator[pd.DataFrame], ready: list = ready) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    yield pd.DataFrame({"parts": [_merged(list(p), ready) for p in frame["parts"]], "n": frame["n"]})
+
+            table = written(table.mapInPandas(applied, "parts array<string>, n long").where(F.size("parts") > 1))
+            pending = []
     return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in made]
 
 
