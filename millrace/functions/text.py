@@ -113,7 +113,8 @@ def chat(system: Column, messages: Column, generation_prompt: bool = False) -> C
 
 
 def chatml(messages: Column, generation_prompt: bool = False) -> Column:
-    turns = F.transform(messages, lambda m: F.concat(F.lit(IM_START), m["role"], F.lit("\n"), m["content"], F.lit(IM_END + "\n")))
+    """The turns of every role; a null content is an empty one."""
+    turns = F.transform(messages, lambda m: F.concat(F.lit(IM_START), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(IM_END + "\n")))
     return F.concat(F.array_join(turns, ""), F.lit(IM_START + "assistant\n" if generation_prompt else ""))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ASSISTANT, END, chat
+from millrace.operators import tokenizer
 
 DEFAULT_SYSTEM = "You are an expert coding assistant. You write clean, efficient, well-documented code."
 MESSAGE = "array<struct<role:string,content:string>>"
@@ -64,6 +65,20 @@ def sft_rows(chats: DataFrame, key: str, system: Column, max_len: int) -> DataFr
     return rows.select(key, (F.col("kept") - 1).alias("n_input"), covered.alias("n_loss"), F.substring(F.col("text"), F.lit(1), F.col("kept")).alias("text"))
 
 
+def sft_tokens(chats: DataFrame, merges: list[tuple[bytes, bytes]], key: str, system: Column, max_len: int) -> DataFrame:
+    """key, input_ids, targets: the rendered chat in the tokenizer's own tokens, cut to max_len, four at least; targets are
+    the next token inside of assistant turns and -1 elsewhere.
+
+    Which tokens are an assistant's follows from the numbers of tokens before its content and up to its end. A null
+    content counts as the empty one; chats without turns have their system part alone; repeated rows have a row each.
+    """
+    said = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))
+    rows = chats.select(key, chat(system, said).alias("__text"), assistant_spans(system, said).alias("__spans"))
+    made = tokenizer.encode_spans(rows, merges, "__text", "__spans", keep=(key,))
+    cut = made.select(key, F.slice("ids", 1, max_len).alias("ids"), F.slice("mask", 1, max_len).alias("mask")).where(F.size("ids") >= 4)
+    return cut.select(key, F.slice("ids", F.lit(1), F.size("ids") - 1).alias("input_ids"), targets(F.col("ids"), F.col("mask")).alias("targets"))
+
+
 def targets(ids: Column, mask: Column) -> Column:
     """The next id where the mask of that id holds, else -1."""
     return F.zip_with(F.slice(ids, F.lit(2), F.size(ids) - 1), F.slice(mask, F.lit(2), F.size(mask) - 1), lambda i, m: F.when(m, i).otherwise(-1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import os
@@ -17,6 +18,13 @@ from millrace.operators.storage import written
 
 # Fixed value: the pattern of pre-tokens, single digits, contractions in either case.
 PRETOKEN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+# The same for Python's engine: white space is ASCII's and contractions are of ASCII letters, as in the JVM.
+PRETOKEN_HERE = (
+    r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^ \t\n\x0B\f\r\p{L}\p{N}]+[\r\n]*"
+    r"|[ \t\n\x0B\f\r]*[\r\n]+|[ \t\n\x0B\f\r]+(?![^ \t\n\x0B\f\r])|[ \t\n\x0B\f\r]+"
+)
+#: Characters of the pieces that an encoder remembers, about, and of the longest of them.
+CACHED_CHARACTERS, LONGEST_CACHED = 16_000_000, 256
 #: Distinct pre-tokens that the merge loop holds on the driver at most; with more of them, they stay where they are and
 #: only totals of pairs meet.
 PRETOKENS_ON_DRIVER = 2_000_000
@@ -200,34 +208,62 @@ def vocabulary(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
     return {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}
 
 
+class Encoder:
+    """Ids of pieces by merges in order of rank, with the pieces seen before at hand."""
+
+    def __init__(self, merges: list[tuple[bytes, bytes]]):
+        self.ranks = {p: i for i, p in enumerate(merges)}
+        self.ids = vocabulary(merges)
+        self.cache: dict[str, list[int]] = {}
+        self.cached = 0
+
+    def piece(self, piece: str) -> list[int]:
+        found = self.cache.get(piece)
+        if found is None:
+            found = self._merge([bytes([b]) for b in piece.encode("utf-8", "replace")])
+            if len(piece) <= LONGEST_CACHED:
+                if self.cached > CACHED_CHARACTERS:
+                    self.cache.clear()
+                    self.cached = 0
+                self.cache[piece] = found
+                self.cached += len(piece) + 64
+        return found
+
+    def _merge(self, parts: list[bytes]) -> list[int]:
+        """The lowest rank first, the leftmost of it first; a heap of neighbours, so that time is n log n."""
+        n = len(parts)
+        after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), list(map(len, parts))
+        heap = [(r, i, size[i], size[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if size[i] != left or j >= n or size[j] != right:
+                continue  # one of them has been merged since
+            parts[i] += parts[j]
+            size[i], size[j] = left + right, 0
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (r := self.ranks.get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (r, x, size[x], size[y]))
+        return [self.ids[p] for p, k in zip(parts, size, strict=True) if k]
+
+
 def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", text: str = "text", bos: int | None = None, eos: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of `keep`, ids: pre-tokens natively, merges in Arrow batches with a cache of pieces; optional
     marks at either end. A row for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(({p: i for i, p in enumerate(merges)}, vocabulary(merges)))
+    shared = docs.sparkSession.sparkContext.broadcast(merges)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks, ids = shared.value
-        cache: dict[str, list[int]] = {}
-
-        def piece_ids(piece: str) -> list[int]:
-            parts = [bytes([b]) for b in piece.encode("utf-8", "replace")]
-            while len(parts) > 1:
-                rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-                if rank == len(ranks):
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return [ids[p] for p in parts]
-
+        coder = Encoder(shared.value)
         for frame in frames:
             out = []
             for pieces in frame["__p"]:
                 row: list[int] = [] if bos is None else [bos]
                 for piece in pieces:
-                    if piece not in cache:
-                        if len(cache) > 200_000:
-                            cache.clear()
-                        cache[piece] = piece_ids(piece)
-                    row += cache[piece]
+                    row += coder.piece(piece)
                 out.append(row if eos is None else [*row, eos])
             yield pd.DataFrame({c: frame[c] for c in (key, *keep)} | {"ids": out})
 
@@ -236,6 +272,48 @@ def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_i
     return docs.select(key, *keep, pretokens(F.coalesce(text, F.lit(""))).alias("__p")).mapInPandas(run, schema)
 
 
+def encode_spans(rows: DataFrame, merges: list[tuple[bytes, bytes]], text: str, spans: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of `keep`, ids, mask: ids of the text, and which of them lie in one of its spans (start and length in
+    characters), in order.
+
+    A span's tokens run from the number of tokens of the text before it to that of the text up to its end, both encoded
+    by themselves: so a token that crosses a border belongs to the side that its number says. Only the pieces at a
+    border are split and merged anew: a piece that ends two characters before a cut is the same without what follows.
+    """
+    import regex
+
+    shared = rows.sparkSession.sparkContext.broadcast(merges)
+    kinds = dict(rows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder, split = Encoder(shared.value), regex.compile(PRETOKEN_HERE)
+        for frame in frames:
+            ids, masks = [], []
+            for whole, pieces, parts in zip(frame["__t"], frame["__p"], frame["__s"], strict=True):
+                row, ends, counts = [], [0], [0]
+                for piece in pieces:
+                    row += coder.piece(piece)
+                    ends.append(ends[-1] + len(piece))
+                    counts.append(len(row))
+
+                def upto(cut: int, whole=whole, ends=ends, counts=counts) -> int:
+                    at = max(0, bisect.bisect_right(ends, cut - 2) - 1)
+                    return counts[at] + sum(len(coder.piece(p)) for p in split.findall(whole[ends[at] : cut]))
+
+                mask = [False] * len(row)
+                for start, length in parts:
+                    first, last = upto(start), min(upto(start + length), len(row))
+                    mask[first:last] = [True] * max(0, last - first)
+                ids.append(row)
+                masks.append(mask)
+            yield pd.DataFrame({c: frame[c] for c in keep} | {"ids": ids, "mask": masks})
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, mask array<boolean>"
+    whole = F.coalesce(text, F.lit(""))
+    pairs = F.transform(F.coalesce(spans, F.array()), lambda s: F.array(s["start"], s["length"]))
+    return rows.select(*keep, whole.alias("__t"), pretokens(whole).alias("__p"), pairs.alias("__s")).mapInPandas(run, schema)
+
+
 def decode(rows: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of `keep`, text; a row for each row."""
     shared = rows.sparkSession.sparkContext.broadcast({i: t for t, i in vocabulary(merges).items()})
