@@ -9,7 +9,7 @@ from millrace.functions.binding import bind
 from millrace.functions.hashing import u01
 from millrace.functions.quality import quality_score
 from millrace.functions.syntax import syntax_of
-from millrace.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, lines, preprocessed
+from millrace.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, lines, preprocessed, strip
 from millrace.operators import decontam, dedup
 from millrace.operators.pack import ordered_positions
 from millrace.operators.storage import written
@@ -42,7 +42,13 @@ def mix_order(docs: DataFrame, weights: dict[str, float], seed: int = 42, key: s
 
 
 def clocks(df: DataFrame, group: str, key: str, size: str) -> DataFrame:
-    """df with `time`: the sum of `size` up to and with each row, in order of key within each group; null is a group.
+    """df with `time`: the sum of `size` up to and with each row, in order of key within each group; null is a group."""
+    return running_sums(df, group, key, {"time": size})
+
+
+def running_sums(df: DataFrame, group: str, key: str, sums: dict[str, str]) -> DataFrame:
+    """df with columns that are each the sum of another one up to and with each row, in order of key within each group;
+    null is a group.
 
     One pass over ranges of (group, key), however many groups; the totals, a row for each range and group, give where
     each range begins.
@@ -50,9 +56,13 @@ def clocks(df: DataFrame, group: str, key: str, size: str) -> DataFrame:
     named = F.when(F.col(group).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(group).cast("string")))
     dealt = written(df.withColumn("__g", named).repartitionByRange("__g", key).withColumn("__range", F.spark_partition_id()))
     before = Window.partitionBy("__g").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("__g", "__range").agg(F.sum(size).alias("__t")).select("__g", "__range", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__s"))
-    own = F.sum(size).over(Window.partitionBy("__g", "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn("__own", own).join(starts, ["__g", "__range"]).withColumn("time", F.col("__s") + F.col("__own")).drop("__g", "__range", "__own", "__s")
+    totals = dealt.groupBy("__g", "__range").agg(*[F.sum(size).alias(f"__t_{name}") for name, size in sums.items()])
+    zero = {name: F.lit(0).cast(totals.schema[f"__t_{name}"].dataType) for name in sums}
+    starts = totals.select("__g", "__range", *[F.coalesce(F.sum(f"__t_{name}").over(before), zero[name]).alias(f"__s_{name}") for name in sums])
+    within = Window.partitionBy("__g", "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({f"__own_{name}": F.sum(size).over(within) for name, size in sums.items()})
+    out = own.join(starts, ["__g", "__range"]).withColumns({name: F.col(f"__s_{name}") + F.col(f"__own_{name}") for name in sums})
+    return out.drop("__g", "__range", *[f"__{x}_{name}" for name in sums for x in ("own", "s")])
 
 
 def quotas(weights: dict[str, float], total: int) -> dict[str, int]:
@@ -63,26 +73,38 @@ def quotas(weights: dict[str, float], total: int) -> dict[str, int]:
     return out
 
 
-def quota_sample(docs: DataFrame, weights: dict[str, float], total: int, key: str = "doc_id", lang: str = "lang", text: str = "text", least: int = 50) -> DataFrame:
-    """key, lang, turn: the first rows of each language up to its quota, of `least` characters or more; round-robin by turn.
+def quota_sample(docs: DataFrame, weights: dict[str, float], total: int, key: str = "doc_id", lang: str = "lang", text: str = "text", least: int = 50, most_skips: int = 10_000) -> DataFrame:
+    """key, lang, turn: the first rows of each language up to its quota, of `least` characters or more without the space
+    around them; round-robin by turn. A language is given up at `most_skips` rows in a row that are too short.
 
-    The row numbers stop at the quota, so each map task passes on no more than that.
+    Rows and long ones are numbered by ranges of (language, key); the long rows alone, joined to their successors, tell
+    how many were skipped between them. No task sees a whole language.
     """
     table = F.create_map(*[F.lit(x) for pair in quotas(weights, total).items() for x in pair])
-    rows = docs.where(F.length(text) >= least).where(table[F.col(lang)] > 0)
-    turn = F.row_number().over(Window.partitionBy(lang).orderBy(key))
-    return rows.select(key, lang, turn.alias("turn")).where(F.col("turn") <= max(quotas(weights, total).values())).where(F.col("turn") <= table[F.col(lang)])
+    long = F.coalesce(F.length(strip(F.col(text))) >= least, F.lit(False))
+    rows = docs.where(table[F.col(lang)] > 0).select(key, lang, long.cast("long").alias("__long"), F.lit(1).cast("long").alias("__one"))
+    good = written(running_sums(rows, lang, key, {"place": "__one", "turn": "__long"}).where(F.col("__long") == 1).select(key, lang, "place", "turn"))
+    earlier = good.select(F.col(lang).alias("__lang"), (F.col("turn") + 1).alias("turn"), F.col("place").alias("__before"))
+    gaps = good.select(F.col(lang).alias("__lang"), "turn", "place").join(earlier, ["__lang", "turn"], "left")
+    given_up = gaps.where(F.col("place") - F.coalesce("__before", F.lit(0)) > most_skips).groupBy("__lang").agg(F.min("turn").alias("__end"))
+    taken = good.where(F.col("turn") <= table[F.col(lang)]).join(F.broadcast(given_up), F.col(lang) == F.col("__lang"), "left")  # a row a language
+    return taken.where(F.col("__end").isNull() | (F.col("turn") < F.col("__end"))).select(key, lang, "turn")
 
 
 def round_robin(docs: DataFrame, count: int, skip: int = 0, key: str = "doc_id", lang: str = "lang", text: str = "text", least: int = 50, threshold: float = 0.3) -> DataFrame:
     """key, lang, turn of the evaluation set: after `skip` raw rows of each language, rows of more than `least` stripped
-    characters that pass preprocessing and quality, taken in turn over the languages until `count`."""
-    raw = docs.select(key, lang, text, F.row_number().over(Window.partitionBy(lang).orderBy(key)).alias("raw")) if skip else docs.select(key, lang, text, F.lit(1 + skip).alias("raw"))
-    rows = raw.where(F.col("raw") > skip).where(F.length(F.regexp_replace(text, r"\A\s+|\s+\z", "")) > least)
-    rows = rows.withColumn("code", preprocessed(F.col(text))).where(F.col("code").isNotNull())
-    rows = rows.withColumn("syntax", syntax_of(F.col("code"), F.col(lang))).where(quality_score(F.col("code"), F.col(lang), F.col("syntax")) >= threshold)
-    turn = rows.select(key, lang, F.row_number().over(Window.partitionBy(lang).orderBy(key)).alias("turn")).where(F.col("turn") <= count)
-    return turn.orderBy("turn", lang).limit(count)
+    characters that pass preprocessing and quality, taken in turn over the languages until `count`.
+
+    Scores are a map over the texts, of which no more goes on than id, language and verdict; those are numbered by ranges
+    of (language, key).
+    """
+    code = docs.select(key, lang, text, preprocessed(F.col(text)).alias("code")).withColumn("syntax", syntax_of(F.col("code"), F.col(lang)))
+    good = (F.length(strip(F.col(text))) > least) & F.col("code").isNotNull() & (quality_score(F.col("code"), F.col(lang), F.col("syntax")) >= threshold)
+    judged = code.select(key, lang, F.coalesce(good, F.lit(False)).alias("__good"), F.lit(1).cast("long").alias("__one"))
+    if skip:
+        judged = running_sums(judged, lang, key, {"raw": "__one"}).where(F.col("raw") > skip).drop("raw")
+    turns = running_sums(judged.where("__good"), lang, key, {"turn": "__one"}).where(F.col("turn") <= count)
+    return turns.select(key, lang, F.col("turn").cast("int").alias("turn")).orderBy("turn", lang).limit(count)
 
 
 def fim(code: Column, seed: int, key: Column) -> Column:

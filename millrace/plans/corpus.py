@@ -272,7 +272,7 @@ def weighted_mix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_order(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
-@query(f"""SELECT doc_id, lang, turn FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents WHERE length(text) >= 50)
+@query(f"""SELECT doc_id, lang, turn FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents WHERE length({strip_sql('text')}) >= 50)
     WHERE turn <= CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in mix.quotas(WEIGHTS, 201).items())} ELSE 0 END""")
 def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.quota_sample(table(spark, sf_dir, "documents"), WEIGHTS, 201)

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import u01
-from millrace.functions.text import first_truthy
+from millrace.functions.text import first_truthy, strip
 from millrace.operators.chat import SFT_SCHEMA
 from millrace.operators.pack import ordered_positions
+from millrace.sources import token_files
 
 # Fixed values.
 CODE_SUFFIXES = ("py", "js", "ts", "java", "cpp", "c", "h", "go", "rs", "rb", "php", "cs", "kt", "swift")
@@ -25,11 +21,21 @@ MBPP_SCHEMA = "task_id int, text string, code string, test_list array<string>, t
 TOKENS_SCHEMA = "doc_id bigint, offset bigint, length bigint, ids array<int>"
 
 
-def local_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = CODE_SUFFIXES) -> DataFrame:
-    """path, content of files below the path, by suffix, case and all; bytes that aren't UTF-8 are replaced, unreadable files skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(path)
-    wanted = files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*suffixes))
-    return wanted.select("path", F.col("content").cast("string").alias("content"))
+def local_files(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = CODE_SUFFIXES) -> DataFrame:
+    """path, content, position: files that are named, whatever their suffix, and those below folders that are named, by
+    suffix, case and all. In order of the arguments, a folder's files in order of their paths.
+
+    Bytes that aren't UTF-8 are replaced, unreadable files skipped, a path that isn't there is an error.
+    """
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, None
+    for number, path in enumerate(paths):
+        place = hadoop.Path(path)
+        folder = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(path)
+        wanted = files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*suffixes)) if folder else files
+        one = wanted.select(F.lit(number).alias("__argument"), "path", F.col("content").cast("string").alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return ordered_positions(out.withColumn("__one", F.lit(1)), ["__argument", "path"], "__one").select("path", "content", F.col("start").alias("position"))
 
 
 def repository(spark: SparkSession, path: str, suffixes: tuple[str, ...] = REPO_SUFFIXES, largest: int = 100_000) -> DataFrame:
@@ -53,6 +59,29 @@ def raw_samples(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def write_by_language(docs: DataFrame, path: str, lang: str = "lang") -> None:
+    """docs as a table with a partition for each language, by its lower-cased name; no text moves for it."""
+    docs.withColumn("__language", F.lower(F.coalesce(F.col(lang), F.lit("")))).write.partitionBy("__language").mode("overwrite").parquet(path)
+
+
+def language_samples(spark: SparkSession, path: str, whole: DataFrame, languages: list[str], least: int = 50) -> DataFrame:
+    """text, lang of samples of more than `least` characters without the space around them, in the languages asked for.
+
+    They come from the partitions of a table by language, of which no others are read; a language that has none gives
+    nothing. If there is none for any of them, the whole set is read and filtered by its own language column.
+    """
+    wanted = sorted({x.lower() for x in languages})
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    there = spark.read.parquet(path) if store.exists(hadoop) else None
+    found = there.where(F.col("__language").isin(*wanted)) if there is not None and "__language" in there.columns else None
+    if found is not None and found.select("__language").limit(1).count():
+        rows = found.select(first_truthy(*[F.col(c) for c in ("content", "code", "text") if c in found.columns]).alias("text"), F.col("__language").alias("lang"))
+    else:
+        rows = raw_samples(whole).where(F.col("lang").isin(*wanted))
+    return rows.where(F.length(strip(F.col("text"))) > least)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """Records of a fixed schema; lines that don't parse are dropped, or an error if strict."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -98,30 +127,9 @@ def synthetic_tokens(spark: SparkSession, rows: int, length: int, vocab: int, se
     return made.select("row", F.slice("ids", 1, length).alias("input_ids"), F.slice("ids", 2, length).alias("targets"))
 
 
-def flat_tokens(spark: SparkSession, folder: str, batch: int = 1024) -> DataFrame:
-    """row, offset, length, ids from tokens.bin (unsigned 16-bit) and index.npy (offset, length of each sample).
-
-    The folder must be mounted wherever tasks run. Tasks read their own rows of the index and their own slices of the
-    tokens through memory maps; the driver reads the index's header only.
-    """
-    tokens, index = os.path.join(folder, "tokens.bin"), os.path.join(folder, "index.npy")
-    for path in (tokens, index):
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
-    shape = np.load(index, mmap_mode="r").shape if os.path.getsize(index) else (0,)
-    if shape != (0,) and (len(shape) != 2 or shape[1] != 2):
-        raise ValueError(f"the index has shape {shape}, not (n, 2)")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat = np.memmap(tokens, dtype="<u2", mode="r") if os.path.getsize(tokens) else np.zeros(0, dtype="<u2")
-        places = np.load(index, mmap_mode="r")
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                rows = frame["id"].to_numpy()[at : at + batch]
-                own = np.asarray(places[rows])
-                yield pd.DataFrame({"row": rows, "offset": own[:, 0], "length": own[:, 1], "ids": [flat[o : o + n].astype(np.int32) for o, n in own]})
-
-    return spark.range(shape[0]).mapInPandas(read, "row bigint, offset bigint, length bigint, ids array<int>")
+def flat_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """row, offset, length, ids of tokens.bin and index.npy; see token_files."""
+    return token_files.read(spark, folder)
 
 
 def write_results(df: DataFrame, path: str) -> None:
