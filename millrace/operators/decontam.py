@@ -91,18 +91,18 @@ def possible(rows: DataFrame, wanted: DataFrame, keep: list[str], grams: str = "
     return marked.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", gs array<string>")
 
 
-def flags(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+def flags(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, row: str | None = None, broadcast: int | None = None) -> DataFrame:
     """key, ngrams, shared, contaminated: the share is of the sample's own distinct n-grams. A row for each row; `row`
     names a column that tells rows apart, which the result then has.
 
     One pass: n-grams are made once, exploded, marked and summed by row, in the map task first, so that only sums
-    move. The test set is broadcast if its size allows. If not, a Bloom filter of it goes to the map tasks: only the
+    move. The test set is broadcast if it has no more than `broadcast` n-grams. If not, a Bloom filter of it goes to the map tasks: only the
     n-grams that pass it are joined, so what shuffles grows with the hits and not with the corpus.
     """
     wanted = benchmark_ngrams(benchmark, n=n)
     mark = F.col(row) if row else F.monotonically_increasing_id()
     own = docs.select(key, mark.alias("__row"), ngram_set(F.col(text), n).alias("gs"))
-    if (size := wanted.count()) <= BROADCAST_NGRAMS:
+    if (size := wanted.count()) <= (BROADCAST_NGRAMS if broadcast is None else broadcast):
         rows = own.select(key, "__row", F.explode_outer("gs").alias("g"))
         hits = rows.join(F.broadcast(wanted.withColumn("__hit", F.lit(1))), "g", "left")
         sums = hits.groupBy(key, "__row").agg(F.count("g").alias("ngrams"), F.count("__hit").alias("shared"))
