@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ EXTENSION_LANGUAGE = {
     ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".md": "markdown", ".rst": "markdown",
 }
 
+#: White space: what `\\s` is here and in the SQL.
+SPACE = " \t\n\x0b\f\r"
+
 # Headers at the top of a file, tried in this order.
 LICENSE_HEADERS = (
     r"(?s)\A/\*.*?\*/\s*\n",
@@ -38,7 +43,8 @@ def language_of_path(path: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    """Without the white space at both ends; looked for from the ends, not in the whole text."""
+    return F.trim(text, F.lit(SPACE))
 
 
 def lines(text: Column) -> Column:
@@ -60,10 +66,17 @@ def normalize_whitespace(code: Column, tab: int = 4) -> Column:
 
 def strip_license_header(code: Column) -> Column:
     """Headers that speak of a license go, each pattern on what the one before it left; then leading newlines."""
-    for pattern in LICENSE_HEADERS:
-        head = F.regexp_extract(code, pattern, 0)
-        code = F.when(F.lower(head).contains("license"), F.substring(code, F.length(head) + 1, F.length(code))).otherwise(code)
-    return F.regexp_replace(code, r"\A\n+", "")
+
+    def without(pattern: str) -> Callable[[Column], Column]:
+        def cut(text: Column) -> Column:
+            return bind(F.regexp_extract(text, pattern, 0), lambda head: F.when(F.lower(head).contains("license"), F.substring(text, F.length(head) + 1, F.length(text))).otherwise(text))
+
+        return cut
+
+    # Only texts that begin with a mark of a comment can have a header, at the first step or behind another one.
+    first, second, third = map(without, LICENSE_HEADERS)
+    whole = bind(bind(first(code), second), third)
+    return F.regexp_replace(F.when(code.rlike(r"\A(?:/\*|#|//)"), whole).otherwise(code), r"\A\n+", "")
 
 
 def preprocessed(code: Column, max_line: int = 1000, min_lines: int = 3, max_lines: int = 10_000) -> Column:
@@ -71,10 +84,13 @@ def preprocessed(code: Column, max_line: int = 1000, min_lines: int = 3, max_lin
 
     The newline at the end counts as one more, empty line.
     """
-    out = normalize_whitespace(strip_license_header(code))
-    n = F.size(lines(out))
-    fits = n.between(min_lines, max_lines) & ~F.exists(lines(out), lambda x: F.length(x) > max_line)
-    return F.when(code.isNotNull() & ~code.rlike(r"\A\s*\z") & fits, out)
+
+    def fitting(out: Column) -> Column:
+        n = F.length(out) - F.length(F.replace(out, F.lit("\n"), F.lit(""))) + 1
+        return F.when(n.between(min_lines, max_lines) & ~out.rlike(rf"(?md)^[^\n]{{{max_line + 1}}}"), out)
+
+    whole = lambda text: F.when(strip(text) != "", bind(bind(strip_license_header(text), lambda t: normalize_whitespace(t)), fitting))
+    return bind(code, whole)
 
 
 def decontamination_form(text: Column) -> Column:

@@ -122,15 +122,16 @@ def similar_pairs(signatures: DataFrame, threshold: float = 0.8, key: str = "doc
 
 
 def _settled(group: pa.Table) -> pa.Table:
-    """n, kept of the rows of a block that are decided there: a (null, -1 for one outside) comes before n in each edge."""
+    """n, kept of the rows of a block that are decided there. In each edge a comes before n, and is null where it isn't in
+    the block (outside) or n has none."""
     before: dict[int, list[int | None]] = {}
-    for n, a in zip(group["n"].to_pylist(), group["a"].to_pylist(), strict=True):
+    for n, a, outside in zip(group["n"].to_pylist(), group["a"].to_pylist(), group["outside"].to_pylist(), strict=True):
         own = before.setdefault(n, [])
-        if a is not None:
+        if a is not None or outside:
             own.append(a)
     kept: dict[int, bool | None] = {}
     for n in sorted(before):
-        known = [kept[a] if a >= 0 else None for a in before[n]]
+        known = [None if a is None else kept[a] for a in before[n]]
         kept[n] = False if True in known else None if None in known else True
     sure = [(n, k) for n, k in kept.items() if k is not None]
     return pa.table({"n": pa.array([n for n, _ in sure], pa.int64()), "kept": pa.array([k for _, k in sure], pa.bool_())})
@@ -145,24 +146,41 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", block:
     from outside don't reach: a chain of n links takes about n / block rounds at most. What is settled goes to one
     table, a folder a round; only open edges are carried on.
     """
-    spark, path, rounds = edges.sparkSession, scratch(edges.sparkSession), 0
+    edges = written(edges.select("a", "b"))
+    count = edges.count()
+    if not count:
+        return nodes.select(key, F.lit(True).alias("kept"))
     # Keys become their places in the order of keys, so that blocks are runs of numbers, whatever a key's type.
-    ends = edges.select(F.col("a").alias("k")).unionByName(edges.select(F.col("b").alias("k"))).distinct().withColumn("one", F.lit(1))
-    places = written(ordered_positions(ends, "k", "one").select("k", F.col("start").alias("n")))
+    ends = edges.select(F.col("a").alias("k")).unionByName(edges.select(F.col("b").alias("k"))).distinct()
+    if dict(edges.dtypes)["a"] in ("int", "bigint"):
+        places = ends.select("k", F.col("k").cast("long").alias("n"))
+    else:
+        places = written(ordered_positions(ends.withColumn("one", F.lit(1)), "k", "one").select("k", F.col("start").alias("n")))
     at = lambda side, name: places.select(F.col("k").alias(side), F.col("n").alias(name))
-    left = written(edges.select("a", "b").join(at("a", "na"), "a").join(at("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    count = left.count()
+    if dict(edges.dtypes)["a"] in ("int", "bigint"):
+        left = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    else:
+        left = written(edges.join(at("a", "na"), "a").join(at("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    if count <= block:  # one task settles all
+        every = left.select(F.col("b").alias("n"), "a", F.lit(False).alias("outside")).unionByName(left.select(F.col("a").alias("n"), F.lit(None).cast("long").alias("a"), F.lit(False).alias("outside")))
+        settled = every.withColumn("block_b", F.lit(0)).groupBy("block_b").applyInArrow(_settled, "n long, kept boolean")
+    else:
+        settled = _settled_by_rounds(left, count, block)
+    marks = settled.where(~F.col("kept")).select("n").join(places, "n").select(F.col("k").alias(key), F.lit(False).alias("__k"))
+    return nodes.select(key).join(marks, key, "left").select(key, F.coalesce("__k", F.lit(True)).alias("kept"))
+
+
+def _settled_by_rounds(left: DataFrame, count: int, block: int) -> DataFrame:
+    """n, kept of all nodes of the edges; see greedy_kept."""
+    spark, path, rounds = left.sparkSession, scratch(left.sparkSession), 0
     while count:
         into = left.groupBy(F.col("b").alias("n")).agg(F.count(F.lit(1)).alias("size"))
         rows = left.select(F.col("a").alias("n"), F.lit(0).cast("long").alias("size")).distinct().unionByName(into).groupBy("n").agg((F.sum("size") + 1).alias("size"))
-        if count <= block:
-            blocks = rows.select("n", F.lit(0).cast("long").alias("block"))
-        else:
-            blocks = ordered_positions(rows, "n", "size").select("n", F.floor(F.col("start") / block).cast("long").alias("block"))
-        blocks = written(blocks)
+        blocks = written(ordered_positions(rows, "n", "size").select("n", F.floor(F.col("start") / block).cast("long").alias("block")))
         of = lambda side: blocks.select(F.col("n").alias(side), F.col("block").alias(f"block_{side}"))
-        inside = left.join(of("a"), "a").join(of("b"), "b").select("block_b", F.col("b").alias("n"), F.when(F.col("block_a") == F.col("block_b"), F.col("a")).otherwise(-1).alias("a"))
-        every = inside.unionByName(blocks.select(F.col("block").alias("block_b"), "n", F.lit(None).cast("long").alias("a"))).distinct()
+        outside = F.col("block_a") != F.col("block_b")
+        inside = left.join(of("a"), "a").join(of("b"), "b").select("block_b", F.col("b").alias("n"), F.when(~outside, F.col("a")).alias("a"), outside.alias("outside"))
+        every = inside.unionByName(blocks.select(F.col("block").alias("block_b"), "n", F.lit(None).cast("long").alias("a"), F.lit(False).alias("outside"))).distinct()
         done = written(every.groupBy("block_b").applyInArrow(_settled, "n long, kept boolean"))
         open_edges = left.join(done.select(F.col("n").alias("b")), "b", "left_anti")
         hit = open_edges.join(done.where("kept").select(F.col("n").alias("a")), "a", "left_semi").select(F.col("b").alias("n"), F.lit(False).alias("kept")).distinct()
@@ -172,10 +190,7 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", block:
         gone = settled.where(~F.col("kept")).select("n")
         left = written(open_edges.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
         count = left.count()
-    if not rounds:
-        return nodes.select(key, F.lit(True).alias("kept"))
-    marks = spark.read.parquet(path).where(~F.col("kept")).select("n").join(places, "n").select(F.col("k").alias(key), F.lit(False).alias("__k"))
-    return nodes.select(key).join(marks, key, "left").select(key, F.coalesce("__k", F.lit(True)).alias("kept"))
+    return spark.read.parquet(path).select("n", "kept")
 
 
 def settled_by_stars(marks: DataFrame, threshold: float = 0.8, key: str = "doc_id", bands: int = 16, pairs: int = PAIRS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
