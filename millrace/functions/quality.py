@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.binding import bind
-from millrace.functions.text import lines, strip
+from millrace.functions.text import BLANK, lines, strip
 
 # Fixed values.
 HASH, SLASH = "#", "//"
@@ -26,7 +26,7 @@ def line_length_score(body: Column, n: Column) -> Column:
 
 def comment_score(body: Column, n: Column, language: Column) -> Column:
     """By the share of lines that begin with a comment, counted in the whole text at once."""
-    count = lambda pattern: F.regexp_count(body, F.lit(rf"(?md)^[^\S\n]*{pattern}"))
+    count = lambda pattern: F.regexp_count(body, F.lit(rf"(?md)^{BLANK}*{pattern}"))
     found = F.when(language == "python", count(HASH)).when(language.isin(*SLASH_LANGUAGES), count(SLASH)).otherwise(count(f"(?:{HASH}|{SLASH})"))
     return bind(found / n, lambda r: F.when(r.between(0.05, 0.30), 1.0).when(r > 0.5, 0.3).when(r == 0, 0.6).otherwise(0.7))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -19,8 +20,13 @@ EXTENSION_LANGUAGE = {
     ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".md": "markdown", ".rst": "markdown",
 }
 
-#: White space: what `\\s` is here and in the SQL.
-SPACE = " \t\n\x0b\f\r"
+# The characters that count as white space, as a pattern's class with and without the newline, as text, and
+# as the class in the SQL's dialect.
+_BEYOND = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), *_BEYOND)))
+BLANK = r"[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = BLANK.replace(r"\t\x0b-", r"\t-")
+BLANK_SQL, SPACES_SQL = (re.sub(r"\\(?:x([89a-f][0-9a-f])|u(\w{4}))", lambda m: rf"\x{{{m[1] or m[2]}}}", c) for c in (BLANK, SPACES))
 
 # Headers at the top of a file, tried in this order.
 LICENSE_HEADERS = (
@@ -59,7 +65,7 @@ def first_truthy(*columns: Column) -> Column:
 def normalize_whitespace(code: Column, tab: int = 4) -> Column:
     """Tabs to spaces, no white space at line ends, two blank lines in a row at most, one newline at the end."""
     out = F.replace(code, F.lit("\t"), F.lit(" " * tab))
-    out = F.regexp_replace(out, r"[^\S\n]+(\n|\z)", "$1")
+    out = F.regexp_replace(out, BLANK + r"+(\n|\z)", "$1")
     out = F.regexp_replace(out, r"\n{4,}", "\n\n\n")
     return F.concat(strip(out), F.lit("\n"))
 
@@ -94,12 +100,12 @@ def preprocessed(code: Column, max_line: int = 1000, min_lines: int = 3, max_lin
 
 
 def decontamination_form(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), SPACES + "+", " "))
 
 
 def words(text: Column) -> Column:
     """Words between white space; no empty ones."""
-    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
+    return F.filter(F.split(text, SPACES + "+", -1), lambda w: w != "")
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:

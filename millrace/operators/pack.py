@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import u01
@@ -68,24 +69,29 @@ def repository_packs(files: DataFrame, repo: str, path: str, content: str, max_t
     """repo, pack, n_files, text: files in order of path, greedily as many as fit into the budget of characters.
 
     A file beyond the budget stands alone, cut; what was open before it is closed first. The greedy fold runs over the
-    lengths of a repository's files alone; contents are only moved once, to their pack.
+    lengths of a repository's files alone, in one pass; contents are only moved once, to their pack. Files without a
+    repository or path have no pack.
     """
     budget = int(max_tokens * chars_per_token)
     base = F.length(F.concat(F.lit(REPO_NAME), F.col(repo), F.lit("\n")))
     overhead = F.length(F.concat(F.lit(FILE_SEP), F.col(path), F.lit("\n")))
-    sized = files.select(repo, path, overhead.alias("over"), (overhead + F.length(content)).alias("chars"))
-    listed = sized.groupBy(repo).agg(F.array_sort(F.collect_list(F.struct(path, "over", "chars"))).alias("fs")).withColumn("base", base)
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).alias("open"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("packs"))
-
-    def step(acc: Column, f: Column) -> Column:
-        alone = f["chars"] > budget
-        fresh = alone | (acc["open"] == 0) | (acc["chars"] + f["chars"] > budget)
-        pack = acc["pack"] + F.when(fresh, 1).otherwise(0)
-        chars = F.when(fresh, F.col("base") + f["chars"]).otherwise(acc["chars"] + f["chars"])
-        return F.struct(pack.alias("pack"), F.when(alone, 0).otherwise(1).alias("open"), F.when(alone, 0).otherwise(chars).alias("chars"), F.concat(acc["packs"], F.array(pack)).alias("packs"))
-
-    packs = F.aggregate("fs", start, step)["packs"]
-    places = listed.select(repo, F.explode(F.arrays_zip(F.col("fs"), packs.alias("packs"))).alias("x")).select(repo, F.col(f"x.fs.{path}").alias(path), F.col("x.packs").alias("pack"))
+    sized = files.select(repo, path, (overhead + F.coalesce(F.length(content), F.lit(0))).alias("chars"))
+    kind = dict(sized.dtypes)
+
+    def fold(group: pa.Table) -> pa.Table:
+        """The greedy choice over one repository's lengths, in one pass."""
+        group = group.sort_by("path")
+        packs, pack, opened, chars = [], -1, False, 0
+        for size, base in zip(group["chars"].to_pylist(), group["base"].to_pylist(), strict=True):
+            alone = size > budget
+            if alone or not opened or chars + size > budget:
+                pack, chars = pack + 1, base
+            chars, opened = chars + size, not alone
+            packs.append(pack)
+        return pa.table({"repo": group["repo"], "path": group["path"], "pack": pa.array(packs, pa.int32())})
+
+    narrow = sized.where(F.col(repo).isNotNull() & F.col(path).isNotNull()).select(F.col(repo).alias("repo"), F.col(path).alias("path"), "chars", base.alias("base"))
+    places = narrow.groupBy("repo").applyInArrow(fold, f"repo {kind[repo]}, path {kind[path]}, pack int").toDF(repo, path, "pack")
     whole = files.join(places, [repo, path])
     kept = F.when(overhead + F.length(content) > budget, F.substring(F.col(content), F.lit(1), F.lit(budget - 100) - overhead)).otherwise(F.col(content))
     grouped = whole.groupBy(repo, "pack").agg(F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), kept.alias("content")))).alias("files"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import quality, text
 from millrace.functions.hashing import u01_sql
 from millrace.functions.syntax import syntax_of
-from millrace.functions.text import EXTENSION_LANGUAGE
+from millrace.functions.text import BLANK_SQL, EXTENSION_LANGUAGE, SPACES_SQL
 from millrace.operators import decontam, dedup, mix, pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,11 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def strip_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '\A\s+|\s+\z', '', 'g')"
+    return rf"regexp_replace({x}, '\A{SPACES_SQL}+|{SPACES_SQL}+\z', '', 'g')"
 
 
 def whitespace_sql(x: str) -> str:
-    out = rf"regexp_replace(replace({x}, chr(9), '    '), '[^\S\n]+(\n|\z)', '\1', 'g')"
+    out = rf"regexp_replace(replace({x}, chr(9), '    '), '{BLANK_SQL}+(\n|\z)', '\1', 'g')"
     out = rf"regexp_replace({out}, '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')"
     return f"({strip_sql(out)} || chr(10))"
 
@@ -57,7 +57,7 @@ l2 AS (SELECT *, CASE WHEN contains(lower(m2), 'license') THEN substr(c1, length
 h3 AS (SELECT *, regexp_extract(c2, '(?i)\A//[^\n]*license[^\n]*\n(?://[^\n]*\n)*') AS m3 FROM l2),
 l3 AS (SELECT *, regexp_replace(CASE WHEN contains(lower(m3), 'license') THEN substr(c2, length(m3) + 1) ELSE c2 END, '\A\n+', '') AS c3 FROM h3),
 n1 AS (SELECT doc_id, lang, text, {whitespace_sql('c3')} AS w FROM l3),
-p AS (SELECT doc_id, lang, text, CASE WHEN text IS NOT NULL AND NOT regexp_matches(text, '\A\s*\z')
+p AS (SELECT doc_id, lang, text, CASE WHEN text IS NOT NULL AND NOT regexp_matches(text, '\A{SPACES_SQL}*\z')
       AND length(w) - length(replace(w, chr(10), '')) + 1 BETWEEN 3 AND 10000
       AND list_max(list_transform(string_split(w, chr(10)), lambda x: length(x))) <= 1000 THEN w END AS code FROM n1)"""
 
@@ -66,7 +66,7 @@ QUALITY_SQL = rf"""
 b0 AS (SELECT doc_id, lang, code, {strip_sql('code')} AS body FROM p WHERE code IS NOT NULL),
 b1 AS (SELECT *, string_split(body, chr(10)) AS ls FROM b0),
 b2 AS (SELECT *, len(ls) AS n, list_sum(list_transform(ls, lambda x: length(x))) / len(ls) AS al,
-       len(list_filter(ls, lambda x: regexp_matches(x, '\A\s*(#|//)'))) / len(ls) AS cr FROM b1),
+       len(list_filter(ls, lambda x: regexp_matches(x, '\A{BLANK_SQL}*(#|//)'))) / len(ls) AS cr FROM b1),
 rl AS (SELECT doc_id, sum(c - 1) AS r FROM (SELECT doc_id, l, count(*) AS c FROM
        (SELECT doc_id, {strip_sql('u')} AS l FROM (SELECT doc_id, unnest(ls) AS u FROM b1)) WHERE length(l) > 5 GROUP BY doc_id, l) WHERE c > 2 GROUP BY doc_id),
 ids AS (SELECT doc_id, avg(length(w)) AS il FROM (SELECT doc_id, unnest(regexp_extract_all(code, '[\p{{L}}\p{{N}}_]+')) AS w FROM b0)
@@ -133,7 +133,7 @@ def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_whitespace(F.col("text")).cast("binary")).alias("ws_md5"))
 
 
-@query("SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents WHERE lower(lang) = 'fr' AND length(regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g')) > 50")
+@query("SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents WHERE lower(lang) = 'fr' AND length(regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g')) > 50".replace("\\s", SPACES_SQL))
 def language_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.lower("lang") == "fr").where(F.length(text.strip(F.col("text"))) > 50)
     return docs.select("doc_id", "lang", F.length("text").cast("bigint").alias("chars"))
@@ -150,14 +150,14 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngrams_sql(x: str, n: int, lower: bool) -> str:
-    w = f"list_filter(regexp_split_to_array({'lower(' + x + ')' if lower else x}, '\\s+'), lambda w: w <> '')"
+    w = f"list_filter(regexp_split_to_array({'lower(' + x + ')' if lower else x}, '{SPACES_SQL}+'), lambda w: w <> '')"
     return f"(SELECT CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(generate_series(1, greatest(len(ws) - {n - 1}, 1)), lambda i: array_to_string(list_slice(ws, i, i + {n - 1}), ' ')) END FROM (SELECT {w} AS ws))"
 
 
 def grams_cte(name: str, source: str, key: str, column: str, n: int, lower: bool) -> str:
     """name(key, g): exploded n-grams, by position."""
     x = f"lower({column})" if lower else column
-    return f"""{name}_w AS (SELECT {key}, list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '') AS ws FROM {source}),
+    return f"""{name}_w AS (SELECT {key}, list_filter(regexp_split_to_array({x}, '{SPACES_SQL}+'), lambda w: w <> '') AS ws FROM {source}),
     {name} AS (SELECT {key}, array_to_string(list_slice(ws, i, i + {n - 1}), ' ') AS g FROM (SELECT {key}, ws, unnest(generate_series(1, greatest(len(ws) - {n - 1}, 1))) AS i FROM {name}_w WHERE len(ws) > 0))"""
 
 
@@ -316,7 +316,7 @@ def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT doc_id, unnest(list_append(ids, 0)) AS id, generate_subscripts(list_append(ids, 0), 1) AS i FROM w WHERE len(ids) > 0),
     p AS (SELECT id, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM r),
     c AS (SELECT pos // 65 AS chunk, list(id ORDER BY pos) AS l FROM p GROUP BY 1 HAVING count(*) = 65)
-    SELECT chunk, array_to_string(list_slice(l, 1, 64), ',') AS input_ids, array_to_string(list_slice(l, 2, 65), ',') AS targets FROM c""")
+    SELECT chunk, array_to_string(list_slice(l, 1, 64), ',') AS input_ids, array_to_string(list_slice(l, 2, 65), ',') AS targets FROM c""".replace("\\s", SPACES_SQL))
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform(text.words(F.col("text")), F.length)
     out = pack.packed(table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")), 64)

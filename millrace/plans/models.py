@@ -221,7 +221,7 @@ def _fim_sql(source: str, seed: int = 42) -> str:
 
 
 def _packed_sql(source: str, order: str) -> str:
-    return f"""pw AS (SELECT {order} AS o, list_append(list_transform(list_filter(regexp_split_to_array(code, '\\s+'), lambda x: x <> ''), lambda x: length(x)::INT), 49090) AS ids FROM {source}),
+    return f"""pw AS (SELECT {order} AS o, list_append(list_transform(list_filter(regexp_split_to_array(code, '{text.SPACES_SQL}+'), lambda x: x <> ''), lambda x: length(x)::INT), 49090) AS ids FROM {source}),
     pr AS (SELECT o, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM pw WHERE len(ids) > 1), pp AS (SELECT id, row_number() OVER (ORDER BY o, i) - 1 AS pos FROM pr),
     pc AS (SELECT pos // 129 AS chunk, list(id ORDER BY pos) AS l FROM pp GROUP BY 1 HAVING count(*) = 129)
     SELECT chunk, md5(array_to_string(list_slice(l, 1, 128), ',')) AS input_md5, md5(array_to_string(list_slice(l, 2, 129), ',')) AS target_md5 FROM pc"""
@@ -254,7 +254,7 @@ def filter_funnel_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, array_to_string(list_concat([49089], l, [49090]), ',') AS marked, array_to_string(list_slice(list_concat(list_concat([49089], l, [49090]), list_resize([]::INT[], 24, 49088)), 1, 24), ',') AS padded
-    FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x)::INT) AS l FROM documents)""")
+    FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x)::INT) AS l FROM documents)""".replace("\\s", text.SPACES_SQL))
 def marked_and_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokenizer.marked(F.transform(text.words(F.col("text")), F.length), 49_089, 49_090)
     return table(spark, sf_dir, "documents").select("doc_id", joined(ids).alias("marked"), joined(tokenizer.padded(ids, 24, 49_088)).alias("padded"))

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 # --- token runs ------------------------------------------------------------------------------------------------------
 
 _CLOCK = f"sum(-ln(1 - {u01_sql(42, 'mix', 'doc_id')}) / CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} ELSE 0.01 END) OVER (PARTITION BY lang ORDER BY doc_id)"
-_COUNTS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
+_COUNTS = f"len(list_filter(regexp_split_to_array(text, '{text.SPACES_SQL}+'), lambda x: x <> ''))"
 BUDGET = 150_000
 
 

@@ -64,9 +64,9 @@ def test_trims(spark):
 
 
 def test_repetition_counts_lines_that_come_more_than_twice(spark):
-    parts = text.lines(F.col("a"))
-    assert one(spark, quality.repetition_score(parts), "longer\nlonger\nother line\nx") == 1.0
-    assert one(spark, quality.repetition_score(parts), "longer\nlonger\nlonger\nlonger\n" + "a\n" * 25 + "a") == pytest.approx(1 - 3 / 30 * 3)
+    score = quality.repetition_score(F.col("a"), F.size(text.lines(F.col("a"))))
+    assert one(spark, score, "longer\nlonger\nother line\nx") == 1.0
+    assert one(spark, score, "longer\nlonger\nlonger\nlonger\n" + "a\n" * 25 + "a") == pytest.approx(1 - 3 / 30 * 3)
 
 
 def test_quality_of_python(spark):
@@ -77,3 +77,30 @@ def test_quality_of_python(spark):
     got = dict(frame.select("i", python_syntax_score(F.col("a"))).collect())
     assert got == {1: 1.0, 2: 0.1, 3: 0.1}
     assert one(spark, quality.quality_score(F.col("a"), F.lit("python")), "x\ny") == 0.0
+
+
+def test_white_space_is_what_python_takes_for_it(spark):
+    every = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert sorted(text.SPACE) == sorted(every)
+    cases = [*(f"a{c}{c}b{c}" for c in every), *(f"{c}x" for c in every), "a​b", "", "　"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", text.words(F.col("t")).alias("w"), text.strip(F.col("t")).alias("s"), text.decontamination_form(F.col("t")).alias("d")).collect()
+    for r in rows:
+        assert (r.w, r.s, r.d) == (cases[r.i].split(), cases[r.i].strip(), " ".join(cases[r.i].lower().split()))
+
+
+def test_greedy_packs_by_a_plain_loop(spark):
+    from millrace.operators import pack
+
+    sizes = [3, 90, 40, 5, 400, 7, 7, 30, 200, 1, 1, 60, 33, 90, 2, 500, 500, 8]
+    files = spark.createDataFrame([("r", f"f{i:02}", "x" * n) for i, n in enumerate(sizes)] + [("q", "only", ""), (None, "lost", "y")], "repo string, path string, content string")
+    got = pack.repository_packs(files, "repo", "path", "content", max_tokens=60, chars_per_token=3.5)
+    budget, packs, chars, fresh = 210, [], 0, True
+    for i, n in enumerate(sizes):
+        own = len(f"<|file_sep|>f{i:02}\n") + n
+        if own > budget or fresh or chars + own > budget:
+            packs.append([])
+            chars = len("<|repo_name|>r\n")
+        packs[-1].append(i)
+        chars, fresh = chars + own, own > budget
+    rows = {(r.repo, r.pack): r.n_files for r in got.collect()}
+    assert {k: n for k, n in rows.items() if k[0] == "r"} == {("r", i): len(p) for i, p in enumerate(packs)} and rows["q", 0] == 1
