@@ -30,7 +30,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     by the overlaps; `apart` marks what only the whole text brings up.
 
     Null and empty texts and items without words leak nothing; very long texts are searched whole; several items of a
-    document are rows of their own, repeated rows repeat theirs; an empty table or benchmark gives no rows.
+    document are rows of their own, repeated rows repeat theirs; an empty table or benchmark gives no
+    rows; other columns of documents are not looked at, whatever their names.
     """
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +40,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's lines, how many went as its host's boilerplate, and the digest of the rest; a source is a host.
 
     A null text has 0 lines and a null digest, an empty one a single blank line that stays; a null source is a host of
-    its own; a line repeated in a page counts once; repeated rows are pages; an empty table gives no rows.
+    its own; a line repeated in a page counts once, one on exactly the ratio of the pages stays; very long texts are read
+    to their end; repeated rows are pages; an empty table gives no rows; other columns are not looked at.
     """
     return line_dedup.report(table(spark, sf_dir, "documents"), "doc_id", "source")
 
@@ -72,7 +74,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of encoded lengths with its suffix sums.
 
     Null and empty texts have length 0; very long ones a row of their own length; repeated rows count each; documents
-    of one length are one row; an empty table gives no rows.
+    of one length are one row; an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     lengths = bpe.lengths(table(spark, sf_dir, "documents"), bpe.public_model())
     return token_counts.suffix_table(stored(token_counts.histogram(lengths), "lengths"))  # a few rows, used twice
@@ -82,7 +84,8 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document under the law `key`.
 
     A null text has size 16 and the checksum of no bytes; a null id has a shard as any other; repeated rows get slots
-    of their own; an empty table gives no rows.
+    of their own, in order of bucket, id, checksum and size; very long texts count by their bytes; an empty table gives no
+    rows; other columns are not looked at, whatever their names.
     """
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -109,7 +112,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every whole text: counts and digest of the base spans, and all spans.
 
     Null and empty texts have none: counts 0, the digest of the empty text; repeated rows get a row each, and their
-    copies count for ownership once for each owner; an empty table gives no rows.
+    copies count for ownership once for each owner; spans of one start go by kind; very long texts are searched to their
+    end; an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
