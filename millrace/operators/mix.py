@@ -28,17 +28,17 @@ def weight_of(language: Column, weights: dict[str, float]) -> Column:
     return F.coalesce(table[language], F.lit(OTHER_WEIGHT))
 
 
-def mix_order(docs: DataFrame, weights: dict[str, float], seed: int = 42, key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """key, lang, position: a weighted random interleaving of the languages, each in order of key.
+def mix_order(docs: DataFrame, weights: dict[str, float], seed: int = 42, key: str = "doc_id", lang: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, lang, the columns of `keep`, position: a weighted random interleaving of the languages, each in order of key.
 
     Every language is a Poisson clock of its weight: the k-th row comes at the sum of k exponential gaps. The clocks
     together pick languages by weight, and the weights renormalise by themselves where one runs out. The sums run over
     ranges of each language's rows, the merge is a range sort.
     """
     gap = -F.log1p(-u01(seed, "mix", F.col(key))) / weight_of(F.col(lang), weights)
-    drawn = docs.select(key, lang, gap.alias("gap"))
+    drawn = docs.select(key, lang, *keep, gap.alias("gap"))
     timed = clocks(drawn, lang, key, "gap").withColumn("one", F.lit(1))
-    return ordered_positions(timed, ["time", key], "one").select(key, lang, F.col("start").alias("position"))
+    return ordered_positions(timed, ["time", key, *keep], "one").select(key, lang, *keep, F.col("start").alias("position"))
 
 
 def clocks(df: DataFrame, group: str, key: str, size: str) -> DataFrame:

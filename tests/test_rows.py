@@ -1,13 +1,15 @@
 """A row for each row: repeated ids with equal and with different texts neither multiply nor decide for each other."""
 
+import json
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.quality import quality_score
 from millrace.functions.syntax import syntax_of
 from millrace.functions.text import preprocessed
-from millrace.operators import decontam, dedup, mix, tokenizer
+from millrace.operators import datasets, decontam, dedup, mix, tokenizer
 
 BODY = "def area(width, height):\n    # multiplies the sides\n    return width * height\n\n\ndef {0}(first, second):\n    total = first + second\n    # adds the {0} of both\n    return total\n"
 OTHER = "class Store{0}:\n    # keeps names in order\n    def put(self, name):\n        self.names.append(name)\n\n    def newest_{0}(self):\n        return self.names[-1]\n"
@@ -77,3 +79,27 @@ def test_compression_counts_each_row_once(spark):
     assert sizes.where("back").count() == 4
     out = tokenizer.report(spark, docs, [(b"a", b"b")]).first()
     assert (out.bytes_per_token, out.roundtrip_failures) == (7 / 5, 0)
+
+
+def test_sequences_hold_each_row_once(spark):
+    frame, _ = rows(spark)
+    bench = spark.createDataFrame([(1, TEST)], "item_id long, text string")
+    marked = lambda f: f.withColumn("ids", F.array(F.col("doc_id").cast("int")))
+    out = datasets.mixed_sequences(frame, bench, {"python": 1.0}, marked, length=1, eos=-1, fim_rate=0.0).collect()
+    passed = Counter(r.doc_id for r in mix.funnel(frame, bench, fim_rate=0.0).where("stage = 'passed' and doc_id is not null").collect())
+    assert Counter(r.input_ids[0] for r in out if r.input_ids[0] is not None) == passed and passed[1] == 2
+
+
+def test_settings_drive_the_run(spark, tmp_path):
+    (tmp_path / "run.json").write_text(json.dumps({"data": {"language_weights": {"python": 2}, "quality_threshold": 0.0, "max_seq_len": 3, "fim_rate": 0}}))
+    made = datasets.Settings.load(spark, f"file://{tmp_path}/run.json")
+    assert made == datasets.Settings({"python": 2}, 0.0, 0.8, 0, 42, 3) and datasets.Settings.of({}).language_weights == mix.LANGUAGE_WEIGHTS
+    frame, data = rows(spark)
+    bench = spark.createDataFrame([(1, TEST)], "item_id long, text string")
+    assert made.funnel(frame, bench).count() == len(data)
+    marked = lambda f: f.withColumn("ids", F.array(F.lit(7), F.lit(8), F.lit(9)))
+    out = made.sequences(frame, bench, marked).collect()
+    assert out and all(r.input_ids == [7, 8, 9] and r.targets == [8, 9, made.eos_id] for r in out)
+    for wrong in ({"seeds": 1}, {"language_weights": {}}, {"language_weights": {"go": 0}}, {"fim_rate": 1.5}, {"dedup_threshold": -0.1}, {"max_seq_len": 0}):
+        with pytest.raises(ValueError):
+            datasets.Settings.of(wrong)
