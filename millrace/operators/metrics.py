@@ -61,11 +61,14 @@ def index_percentile(values: DataFrame, value: str, p: float) -> DataFrame:
     return placed.join(F.broadcast(n), F.col("start") == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select(F.lit(p).alias("p"), F.col(value).alias("cut"))  # n is one row
 
 
-def throughput(log: DataFrame, series: str, order: str, seconds: str, tokens: str) -> DataFrame:
-    """step_ms and tokens_per_sec between log lines of a series."""
+def throughput(log: DataFrame, series: str, order: str, clock: str, tokens: str, per_second: int = 1) -> DataFrame:
+    """step_ms and tokens_per_sec between log lines of a series; the clock has `per_second` ticks a second.
+
+    A clock of whole ticks is exact; seconds since 1970 as a double are good for a quarter of a microsecond only.
+    """
     w = Window.partitionBy(series).orderBy(order)
-    took = F.col(seconds) - F.lag(seconds).over(w)
-    return log.withColumns({"step_ms": took * 1000, "tokens_per_sec": F.when(took > 0, F.col(tokens) / took)})
+    step = (F.col(clock) - F.lag(clock).over(w)) * 1000 / per_second
+    return log.withColumns({"step_ms": step, "tokens_per_sec": F.when(step > 0, F.col(tokens) / (step / 1000))})
 
 
 def newest(df: DataFrame, keep: int, step: str = "step", group: str | None = None) -> DataFrame:
