@@ -26,8 +26,12 @@ PRETOKEN_HERE = (
 #: Characters of the pieces that an encoder remembers, about, and of the longest of them.
 CACHED_CHARACTERS, LONGEST_CACHED = 16_000_000, 256
 #: Distinct pre-tokens that the merge loop holds on the driver at most; with more of them, they stay where they are and
-#: only totals of pairs meet.
-PRETOKENS_ON_DRIVER = 2_000_000
+#: the driver gets the totals of so many pairs, and the pieces of the first of these at a time.
+PRETOKENS_ON_DRIVER, PAIRS_ON_DRIVER = 200_000, 50_000
+#: With fewer leading pairs than this in the pieces that the driver may hold, a round goes by totals alone.
+LEAST_HERE = 40
+#: A round's pieces on the driver, as a multiple of PRETOKENS_ON_DRIVER: they are held in less memory than the plain loop's.
+TIMES_AT_ONCE = 3
 #: Merges after which the spread loop writes its pieces down.
 WRITE_EVERY = 50
 
@@ -44,8 +48,8 @@ def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def learn_merges(counts: DataFrame, merges: int, least: int = 2) -> list[tuple[bytes, bytes]]:
     """Pair merges by frequency over pre-token counts; ties go to the pair that sorts first.
 
-    All distinct pieces take part: on the driver up to PRETOKENS_ON_DRIVER of them, else spread over the cluster with a
-    job for each run of merges that don't touch each other. Both ways give the same merges.
+    All distinct pieces take part: on the driver up to PRETOKENS_ON_DRIVER of them, else spread over the cluster with
+    few jobs for each run of merges. Both ways give the same merges.
     """
     counts = written(counts)
     if counts.count() > PRETOKENS_ON_DRIVER:
@@ -160,49 +164,177 @@ def _merged(parts: list, pairs: list[tuple]) -> list:
     return parts
 
 
-def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
-    """learn_merges over a table of pieces that stays distributed; the driver holds the totals of pairs alone.
+def _replayed(parts: list, places: dict[tuple, list[int]]) -> list:
+    """Parts after a run of merges in their order; `places` has the numbers of each pair in that run."""
+    last = -1
+    while len(parts) > 1:
+        coming = [(at[k], pair) for pair in zip(parts, parts[1:], strict=False) if (at := places.get(pair)) and (k := bisect.bisect_right(at, last)) < len(at)]
+        if not coming:
+            break
+        last, pair = min(coming)
+        parts = _joined(parts, pair)
+    return parts
+
+
+def _shown(text: Column) -> Column:
+    """A piece's bytes as hexadecimal tokens, each between bars, so that a merge is a replacement."""
+    return F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "|$1|")
+
+
+def _parts(shown: str) -> list[str]:
+    return shown[1:-1].split("||")
+
+
+class PieceRound:
+    """A run of merges over the pieces that hold any of some leading pairs.
 
-    A round is one job: the merges that the totals prove to come next are made in all pieces, and what that changes in
-    the totals comes back. Tokens are hexadecimal text, whose order is theirs.
+    `known` has the totals of pairs in their order up to one of total `rest` (0: all pairs), of which `here` are those
+    whose pieces are all at hand. A token that is new in this run is made in these pieces only, so its pairs are here
+    too. A merge is made only if it is the next of the sequential order and all its pieces are here; the run ends before
+    one that isn't.
     """
-    split = F.regexp_extract_all(F.hex(F.encode("piece", "UTF-8")), F.lit(".."), F.lit(0))
-    table = written(counts.select(split.alias("parts"), "n").where(F.size("parts") > 1))
 
-    def changed(merged: list, fresh: list, first: bool = False) -> dict[tuple, int]:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, known: dict[tuple, int], here: set[tuple], rest: int, tokens: set[str]):
+        self.totals, self.here, self.rest, self.tokens = Counter(known), here, rest, tokens
+        self.heap = [(-n, pair) for pair, n in known.items()]
+        heapq.heapify(self.heap)
+        self.gained: Counter = Counter()  # of pairs that are not known
+        self.pieces: list[tuple[list, int]] = []
+        self.where: dict[tuple, list[int]] = {}
+
+    def add(self, parts: list[str], n: int) -> None:
+        for pair in self.here.intersection(zip(parts, parts[1:], strict=False)):
+            self.where.setdefault(pair, []).append(len(self.pieces))
+        self.pieces.append((parts, n))
+
+    def run(self, least: int, most: int) -> list[tuple]:
+        made: list[tuple] = []
+        fresh: set[str] = set()
+        floor = self.rest  # what a pair that is not known could have
+        while len(made) < most and self.heap:
+            n, pair = heapq.heappop(self.heap)
+            if self.totals.get(pair) != -n:
+                continue
+            if -n < least or -n <= floor or pair not in self.here:
+                break
+            made.append(pair)
+            if pair[0] + pair[1] not in self.tokens:
+                fresh.add(pair[0] + pair[1])
             change: Counter = Counter()
-            for frame in frames:
-                for parts, n in zip(frame["parts"], frame["n"], strict=True):
-                    old = _merged(list(parts), merged)
-                    new = _merged(old, fresh)
-                    if first or len(new) != len(old):
-                        for pair in zip(old, old[1:], strict=False):
-                            change[pair] += n if first else -n
-                        for pair in () if first else zip(new, new[1:], strict=False):
-                            change[pair] += n
-            yield pd.DataFrame([(a, b, n) for (a, b), n in change.items() if n], columns=["a", "b", "n"])
-
-        found = table.mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-        return {(r.a, r.b): r.n for r in found.toLocalIterator()}
-
-    pairs, made, pending = PairTable(changed([], [], True)), [], []
-    while len(made) < merges and (fresh := pairs.certain(least, merges - len(made))):
-        pairs.add(changed(list(pending), fresh))
-        made += fresh
-        pending += fresh
-        if len(pending) >= WRITE_EVERY:
-            ready = list(pending)
+            for at in dict.fromkeys(self.where.pop(pair)):
+                parts, times = self.pieces[at]
+                joined = _joined(parts, pair)
+                if len(joined) == len(parts):
+                    continue
+                for old in zip(parts, parts[1:], strict=False):
+                    change[old] -= times
+                for new in zip(joined, joined[1:], strict=False):
+                    change[new] += times
+                    if new[0] in fresh or new[1] in fresh:
+                        self.here.add(new)
+                    if new in self.here:
+                        self.where.setdefault(new, []).append(at)
+                parts[:] = joined
+            del self.totals[pair]
+            for other, by in change.items():
+                if not by or other == pair:
+                    continue
+                if other in self.totals or other in self.here:
+                    self.totals[other] += by
+                    heapq.heappush(self.heap, (-self.totals[other], other))
+                elif self.rest:
+                    self.gained[other] += by
+                    floor = max(floor, self.rest + self.gained[other])
+        return made
+
 
-            def applied(frames: Iterator[pd.DataFrame], ready: list = ready) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    yield pd.DataFrame({"parts": [_merged(list(p), ready) for p in frame["parts"]], "n": frame["n"]})
+def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
+    """learn_merges over a table of pieces that stays distributed. Tokens are hexadecimal text, whose order is theirs.
 
-            table = written(table.mapInPandas(applied, "parts array<string>, n long").where(F.size("parts") > 1))
-            pending = []
+    A round counts the pairs in the cluster and takes the first PAIRS_ON_DRIVER of their order. If the first of them are
+    in few pieces, the pieces of as many pairs as PRETOKENS_ON_DRIVER allows come to the driver, which makes all merges
+    that these pieces decide (PieceRound). If not, the merges that the totals alone prove to come next are made (PairTable).
+    Either way the cluster then makes the same merges in its pieces; the driver's share has a bound.
+    """
+    table = written(counts.select(_shown(F.col("piece")).alias("parts"), "n").where(F.instr("parts", "||") > 0))
+    made: list[tuple] = []
+    pending: list[tuple] = []
+    while len(made) < merges:
+        rows = table
+        for a, b in pending:
+            rows = rows.withColumn("parts", F.replace("parts", F.lit(f"|{a}||{b}|"), F.lit(f"|{a}{b}|")))
+        if len(pending) >= WRITE_EVERY:
+            table, pending = written(rows.where(F.instr("parts", "||") > 0)), []
+            rows = table
+        tokens = F.split(F.expr("substring(parts, 2, length(parts) - 2)"), r"\|\|")
+        sides = rows.select(tokens.alias("t"), "n").select(F.slice("t", F.lit(1), F.size("t") - 1).alias("a"), F.slice("t", F.lit(2), F.size("t") - 1).alias("b"), "n")
+        pairs = sides.select(F.explode(F.arrays_zip("a", "b")).alias("p"), "n").select("p.a", "p.b", "n")
+        sums = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where(F.col("n") >= least)
+        top = [((r.a, r.b), r.n, r.m) for r in sums.orderBy(F.desc("n"), "a", "b").limit(PAIRS_ON_DRIVER).collect()]
+        if not top:
+            break
+        rest = top[-1][1] if len(top) == PAIRS_ON_DRIVER else 0
+        known = {pair: n for pair, n, _ in top}
+        here, held = set(), 0
+        for pair, _, m in top:
+            held += m
+            if held > TIMES_AT_ONCE * PRETOKENS_ON_DRIVER:
+                break
+            here.add(pair)
+        if len(here) < LEAST_HERE and len(here) < len(top):
+            fresh = [pair for pair in PairTable(known).certain(least, merges - len(made)) if known[pair] > rest]
+            made += fresh
+            pending += fresh
+            if not fresh:
+                raise ValueError("PAIRS_ON_DRIVER is too small for the ties of the first pairs")
+            continue
+        if pending:
+            table, pending = written(rows.where(F.instr("parts", "||") > 0)), []
+        work = PieceRound(known, set(here), rest, {f"{b:02X}" for b in range(256)} | {a + b for a, b in made})
+        for r in _holding(table, here).toLocalIterator():
+            work.add(_parts(r.parts), r.n)
+        fresh = work.run(least, merges - len(made))
+        del work
+        if not fresh:
+            raise ValueError("PAIRS_ON_DRIVER is too small for the ties of the first pairs")
+        made += fresh
+        if len(made) < merges:
+            table = written(_made(table, here, fresh).where(F.instr("parts", "||") > 0))
     return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in made]
 
 
+def _holding(table: DataFrame, pairs: set[tuple]) -> DataFrame:
+    """The pieces that hold any of the pairs."""
+    shared = table.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.value
+        for frame in frames:
+            split = map(_parts, frame["parts"])
+            yield frame[[not wanted.isdisjoint(zip(p, p[1:], strict=False)) for p in split]]
+
+    return table.mapInPandas(run, "parts string, n long")
+
+
+def _made(table: DataFrame, pairs: set[tuple], run: list[tuple]) -> DataFrame:
+    """The table after a run of merges, which touch only pieces that hold any of the pairs."""
+    places: dict[tuple, list[int]] = {}
+    for at, pair in enumerate(run):
+        places.setdefault(pair, []).append(at)
+    shared = table.sparkSession.sparkContext.broadcast((pairs, places))
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, places = shared.value
+        for frame in frames:
+            out = []
+            for shown in frame["parts"]:
+                p = _parts(shown)
+                out.append(shown if wanted.isdisjoint(zip(p, p[1:], strict=False)) else f"|{'||'.join(_replayed(p, places))}|")
+            yield pd.DataFrame({"parts": out, "n": frame["n"]})
+
+    return table.mapInPandas(made, "parts string, n long")
+
+
 def vocabulary(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
     """Bytes, then merged tokens in order."""
     return {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from conftest import SMALL
+from millrace.operators import tokenizer
 from millrace.plans import training
 
 
@@ -13,3 +17,14 @@ def test_throughput_of_lines_a_microsecond_apart(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.step_ms, r.tokens_per_sec) for r in training.QUERIES["throughput"](spark, str(tmp_path)).collect()}
     assert got == {1: (None, None), 2: (0.001, 2_000_000.0), 3: (0.003, 2_000_000.0), 4: (-0.004, None)}
+
+
+def test_spread_merges_hold_few_pieces_on_the_driver(spark, monkeypatch):
+    counts = tokenizer.written(tokenizer.pretoken_counts(spark.read.parquet(f"{SMALL}/documents.parquet")).where(F.col("n") > 1))
+    want = tokenizer.learn_merges(counts, 1_500)
+    runs, run = [], tokenizer.PieceRound.run
+    monkeypatch.setattr(tokenizer.PieceRound, "run", lambda work, *a: runs.append((len(work.pieces), run(work, *a))) or runs[-1][1])
+    for name, value in {"PRETOKENS_ON_DRIVER": 800, "PAIRS_ON_DRIVER": 1_200, "LEAST_HERE": 10}.items():
+        monkeypatch.setattr(tokenizer, name, value)
+    assert tokenizer.learn_merges(counts, 1_500) == want and len(want) == 1_500
+    assert max(held for held, _ in runs) <= 2_400 < counts.count() and len(runs) < 40
