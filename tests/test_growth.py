@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from millrace.operators import tokenizer
+from millrace.operators import dedup, tokenizer
 from millrace.plans import training
 
 
@@ -28,3 +29,22 @@ def test_spread_merges_hold_few_pieces_on_the_driver(spark, monkeypatch):
         monkeypatch.setattr(tokenizer, name, value)
     assert tokenizer.learn_merges(counts, 1_500) == want and len(want) == 1_500
     assert max(held for held, _ in runs) <= 2_400 < counts.count() and len(runs) < 40
+
+
+def test_signatures_in_one_map_are_those_of_the_shingles(spark):
+    texts = ["", " \n", None, "one", "a b c d", "a b c d e", "a  b\tc d e f", "été \U0001f600 x y z w " * 3, " ".join(f"w{i % 1700}" for i in range(5_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.signature for r in dedup.signed_texts(rows).collect()}
+    hashes = rows.select("doc_id", dedup.shingle_hashes(F.col("text")).alias("h"))
+    assert got == {r.doc_id: r.signature for r in dedup.signed(hashes).collect()}
+    a, b = dedup.family()
+    plain = lambda hs: [min(((x * h + y) % dedup.PRIME) & dedup.MAX_HASH for h in hs) if hs else dedup.MAX_HASH for x, y in zip(a, b, strict=True)]
+    assert got == {r.doc_id: plain(r.h) for r in hashes.collect()}
+
+
+def test_minima_at_the_ends_of_the_range():
+    p = dedup.PRIME
+    a, b = np.array([1, p - 1, p - 1, 2**32, p - 2**32], dtype=np.uint64), np.array([p - 1, p - 1, 0, p - 1, 1], dtype=np.uint64)
+    for h in (0, 1, 2, 2**31, 2**32 - 1):
+        want = [((int(x) * h + int(y)) % p) & dedup.MAX_HASH for x, y in zip(a, b, strict=True)]
+        assert dedup._minima(np.array([h], dtype=np.uint64), a, b).tolist() == want
