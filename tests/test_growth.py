@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from millrace.operators import dedup, tokenizer
+from millrace.operators import dedup, pack, tokenizer
 from millrace.plans import training
 
 
@@ -48,3 +49,27 @@ def test_minima_at_the_ends_of_the_range():
     for h in (0, 1, 2, 2**31, 2**32 - 1):
         want = [((int(x) * h + int(y)) % p) & dedup.MAX_HASH for x, y in zip(a, b, strict=True)]
         assert dedup._minima(np.array([h], dtype=np.uint64), a, b).tolist() == want
+
+
+def test_packing_makes_each_row_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def encode(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, [i] * (i % 7)) for i in range(500)], "doc_id long, ids array<int>")
+    assert pack.packed(rows.mapInArrow(encode, rows.schema), 4).count() == sum(i % 7 + 1 for i in range(500) if i % 7) // 5
+    assert made.value == 500
+
+
+@pytest.mark.parametrize("length", [1, 6, 30])
+def test_packing_over_blocks_and_ranges(spark, monkeypatch, length):
+    monkeypatch.setattr(pack, "LEAST_BLOCK", 1)
+    rows = [(i, None if i % 11 == 5 else [i * 1_000 + j for j in range((i * 37) % 23 + 700 * (i % 13 == 4))]) for i in range(60)]
+    flat = [x for _, ids in rows if ids for x in [*ids, 7]]
+    want = [flat[i : i + length + 1] for i in range(0, len(flat) - length, length + 1)]
+    frame = spark.createDataFrame(rows, "doc_id int, ids array<bigint>").repartition(5)
+    got = pack.packed(frame, length, eos=7).orderBy("chunk").collect()
+    assert [(r.chunk, r.input_ids, r.targets) for r in got] == [(i, w[:-1], w[1:]) for i, w in enumerate(want)]
