@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import json
 import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ LEAST_HERE = 40
 TIMES_AT_ONCE = 3
 #: Merges after which the spread loop writes its pieces down.
 WRITE_EVERY = 50
+#: Pieces of a task of the spread loop, and tokens that it looks at together, about.
+PIECES_A_TASK, TOKENS_AT_ONCE = 50_000, 2_000_000
 
 
 def pretokens(text: Column) -> Column:
@@ -164,27 +170,6 @@ def _merged(parts: list, pairs: list[tuple]) -> list:
     return parts
 
 
-def _replayed(parts: list, places: dict[tuple, list[int]]) -> list:
-    """Parts after a run of merges in their order; `places` has the numbers of each pair in that run."""
-    last = -1
-    while len(parts) > 1:
-        coming = [(at[k], pair) for pair in zip(parts, parts[1:], strict=False) if (at := places.get(pair)) and (k := bisect.bisect_right(at, last)) < len(at)]
-        if not coming:
-            break
-        last, pair = min(coming)
-        parts = _joined(parts, pair)
-    return parts
-
-
-def _shown(text: Column) -> Column:
-    """A piece's bytes as hexadecimal tokens, each between bars, so that a merge is a replacement."""
-    return F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "|$1|")
-
-
-def _parts(shown: str) -> list[str]:
-    return shown[1:-1].split("||")
-
-
 class PieceRound:
     """A run of merges over the pieces that hold any of some leading pairs.
 
@@ -249,28 +234,36 @@ class PieceRound:
 
 
 def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
-    """learn_merges over a table of pieces that stays distributed. Tokens are hexadecimal text, whose order is theirs.
+    """learn_merges over a table of pieces that stays distributed, as arrays of token numbers; on the driver tokens are
+    hexadecimal text, whose order is theirs.
 
     A round counts the pairs in the cluster and takes the first PAIRS_ON_DRIVER of their order. If the first of them are
     in few pieces, the pieces of as many pairs as PRETOKENS_ON_DRIVER allows come to the driver, which makes all merges
     that these pieces decide (PieceRound). If not, the merges that the totals alone prove to come next are made (PairTable).
     Either way the cluster then makes the same merges in its pieces; the driver's share has a bound.
     """
-    table = written(counts.select(_shown(F.col("piece")).alias("parts"), "n").where(F.instr("parts", "||") > 0))
+    names = [f"{b:02X}" for b in range(256)]
+    number = {name: i for i, name in enumerate(names)}
+    raw = counts.where(F.octet_length("piece") > 1).select("piece", "n").repartition(-(-counts.count() // PIECES_A_TASK), "piece")
+    table = written(raw.select(F.encode("piece", "UTF-8").alias("parts"), "n").mapInArrow(_numbered, "parts array<int>, n long"))
     made: list[tuple] = []
-    pending: list[tuple] = []
+    pending: list[tuple[int, int, int]] = []
+
+    def add(fresh: list[tuple]) -> None:
+        for a, b in fresh:
+            if a + b not in number:
+                number[a + b] = len(names)
+                names.append(a + b)
+            made.append((a, b))
+            pending.append((number[a], number[b], number[a + b]))
+
     while len(made) < merges:
-        rows = table
-        for a, b in pending:
-            rows = rows.withColumn("parts", F.replace("parts", F.lit(f"|{a}||{b}|"), F.lit(f"|{a}{b}|")))
         if len(pending) >= WRITE_EVERY:
-            table, pending = written(rows.where(F.instr("parts", "||") > 0)), []
-            rows = table
-        tokens = F.split(F.expr("substring(parts, 2, length(parts) - 2)"), r"\|\|")
-        sides = rows.select(tokens.alias("t"), "n").select(F.slice("t", F.lit(1), F.size("t") - 1).alias("a"), F.slice("t", F.lit(2), F.size("t") - 1).alias("b"), "n")
-        pairs = sides.select(F.explode(F.arrays_zip("a", "b")).alias("p"), "n").select("p.a", "p.b", "n")
-        sums = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where(F.col("n") >= least)
-        top = [((r.a, r.b), r.n, r.m) for r in sums.orderBy(F.desc("n"), "a", "b").limit(PAIRS_ON_DRIVER).collect()]
+            table, pending = written(_made(table, pending)), []
+        sums = _pairs(table, pending, len(names)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= least)
+        found = sums.orderBy(F.desc("n"), "a", "b").limit(PAIRS_ON_DRIVER).toArrow()
+        rows = zip(*(found.column(c).to_pylist() for c in ("a", "b", "n", "m")), strict=True)
+        top = sorted((((names[a], names[b]), n, m) for a, b, n, m in rows), key=lambda r: (-r[1], r[0]))
         if not top:
             break
         rest = top[-1][1] if len(top) == PAIRS_ON_DRIVER else 0
@@ -283,56 +276,113 @@ def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[byte
             here.add(pair)
         if len(here) < LEAST_HERE and len(here) < len(top):
             fresh = [pair for pair in PairTable(known).certain(least, merges - len(made)) if known[pair] > rest]
-            made += fresh
-            pending += fresh
-            if not fresh:
-                raise ValueError("PAIRS_ON_DRIVER is too small for the ties of the first pairs")
-            continue
-        if pending:
-            table, pending = written(rows.where(F.instr("parts", "||") > 0)), []
-        work = PieceRound(known, set(here), rest, {f"{b:02X}" for b in range(256)} | {a + b for a, b in made})
-        for r in _holding(table, here).toLocalIterator():
-            work.add(_parts(r.parts), r.n)
-        fresh = work.run(least, merges - len(made))
-        del work
+        else:
+            if pending:
+                table, pending = written(_made(table, pending)), []
+            work = PieceRound(known, set(here), rest, {*names[:256], *(a + b for a, b in made)})
+            for batch in written(_holding(table, {(number[a], number[b]) for a, b in here})).toArrow().to_batches():  # `held` at most
+                for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    work.add([names[i] for i in parts], n)
+            fresh = work.run(least, merges - len(made))
+            del work
         if not fresh:
             raise ValueError("PAIRS_ON_DRIVER is too small for the ties of the first pairs")
-        made += fresh
-        if len(made) < merges:
-            table = written(_made(table, here, fresh).where(F.instr("parts", "||") > 0))
+        add(fresh)
     return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in made]
 
 
-def _holding(table: DataFrame, pairs: set[tuple]) -> DataFrame:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes as their numbers."""
+    for batch in batches:
+        data, n = batch.column(0), batch.column(1)
+        sizes = np.asarray(pc.binary_length(data), dtype=np.int64)
+        flat = np.frombuffer(b"".join(data.to_pylist()), dtype=np.uint8).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([parts, n], names=["parts", "n"])
+
+
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pieces of a task, TOKENS_AT_ONCE tokens or little more at a time: tokens with -1 behind each piece, and counts."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            lists = batch.column(0)
+            ends = np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64) + 1)
+            tokens = np.full(ends[-1], -1, dtype=np.int32)
+            inside = np.ones(ends[-1], dtype=bool)
+            inside[ends - 1] = False
+            tokens[inside] = lists.flatten().to_numpy()
+            held.append((tokens, batch.column(1).to_numpy()))
+            size += len(tokens)
+        if held and (batch is None or size >= TOKENS_AT_ONCE):
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+
+
+def _merge_all(tokens: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
+    """Tokens after merges (left, right, new) in their order, each from left to right."""
+    for a, b, new in merges:
+        at = np.flatnonzero(tokens == a)
+        at = at[tokens[at + 1] == b]
+        if a == b and len(at) > 1:  # in a run of them every second one
+            begins = np.concatenate([[True], np.diff(at) != 1])
+            at = at[(at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0]
+        if len(at):
+            stays = np.ones(len(tokens), dtype=bool)
+            stays[at + 1] = False
+            tokens[at] = new
+            tokens = tokens[stays]
+    return tokens
+
+
+def _listed(tokens: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
+    """The wanted pieces as a batch."""
+    ends = tokens == -1
+    sizes = np.diff(np.flatnonzero(ends), prepend=-1) - 1
+    kept = tokens[np.repeat(wanted, sizes + 1) & ~ends]
+    parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[wanted])]), pa.int32()), pa.array(kept, pa.int32()))
+    return pa.RecordBatch.from_arrays([parts, pa.array(n[wanted], pa.int64())], names=["parts", "n"])
+
+
+def _pairs(table: DataFrame, pending: list[tuple[int, int, int]], size: int) -> DataFrame:
+    """a, b, n, m: totals and places of neighbouring tokens after the pending merges, summed by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, n in _laid(batches):
+            tokens = _merge_all(tokens, pending)
+            piece = np.cumsum(tokens == -1)
+            at = np.flatnonzero((tokens[:-1] >= 0) & (tokens[1:] >= 0))
+            codes, places = np.unique(tokens[at].astype(np.int64) * size + tokens[at + 1], return_inverse=True)
+            totals = np.zeros(len(codes), dtype=np.int64)
+            np.add.at(totals, places, n[piece[at]])
+            columns = (codes // size, codes % size, totals, np.bincount(places, minlength=len(codes)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "m"])
+
+    return table.mapInArrow(run, "a long, b long, n long, m long")
+
+
+def _holding(table: DataFrame, pairs: set[tuple[int, int]]) -> DataFrame:
     """The pieces that hold any of the pairs."""
-    shared = table.sparkSession.sparkContext.broadcast(pairs)
+    wanted = np.array(sorted(a << 32 | b for a, b in pairs), dtype=np.int64)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = shared.value
-        for frame in frames:
-            split = map(_parts, frame["parts"])
-            yield frame[[not wanted.isdisjoint(zip(p, p[1:], strict=False)) for p in split]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, n in _laid(batches):
+            hit = np.isin(tokens[:-1].astype(np.int64) << 32 | tokens[1:], wanted) & (tokens[:-1] >= 0)
+            piece = np.cumsum(tokens == -1)
+            yield _listed(tokens, n, np.bincount(piece[:-1][hit], minlength=len(n)) > 0)
 
-    return table.mapInPandas(run, "parts string, n long")
+    return table.mapInArrow(run, "parts array<int>, n long")
 
 
-def _made(table: DataFrame, pairs: set[tuple], run: list[tuple]) -> DataFrame:
-    """The table after a run of merges, which touch only pieces that hold any of the pairs."""
-    places: dict[tuple, list[int]] = {}
-    for at, pair in enumerate(run):
-        places.setdefault(pair, []).append(at)
-    shared = table.sparkSession.sparkContext.broadcast((pairs, places))
+def _made(table: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """The table after a run of merges, without pieces of one token."""
 
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, places = shared.value
-        for frame in frames:
-            out = []
-            for shown in frame["parts"]:
-                p = _parts(shown)
-                out.append(shown if wanted.isdisjoint(zip(p, p[1:], strict=False)) else f"|{'||'.join(_replayed(p, places))}|")
-            yield pd.DataFrame({"parts": out, "n": frame["n"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, n in _laid(batches):
+            tokens = _merge_all(tokens, merges)
+            yield _listed(tokens, n, np.diff(np.flatnonzero(tokens == -1), prepend=-1) > 2)
 
-    return table.mapInPandas(made, "parts string, n long")
+    return table.mapInArrow(run, "parts array<int>, n long")
 
 
 def vocabulary(merges: list[tuple[bytes, bytes]]) -> dict[bytes, int]:

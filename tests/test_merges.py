@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,31 @@ def test_spread_merges_of_a_table_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(tokenizer, "PRETOKENS_ON_DRIVER", 10)
     assert tokenizer.learn_merges(counts, 150) == want and len(want) == 150
     assert len(rounds) < 75 and max(map(len, rounds)) > 4
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_merges_over_laid_tokens_are_those_of_each_piece(seed):
+    draw = random.Random(seed)
+    pieces = [[draw.randint(0, 2) for _ in range(draw.randint(1, 14))] for _ in range(60)]
+    merges = [(0, 0, 3), (1, 2, 4), (3, 3, 5), (4, 0, 6), (2, 2, 7), (7, 1, 8)]
+    draw.shuffle(merges)
+    want = []
+    for parts in pieces:
+        for a, b, new in merges:
+            out, i = [], 0
+            while i < len(parts):
+                step = 2 if parts[i : i + 2] == [a, b] else 1
+                out.append(new if step == 2 else parts[i])
+                i += step
+            parts = out
+        want += [*parts, -1]
+    assert tokenizer._merge_all(np.array([x for p in pieces for x in [*p, -1]], dtype=np.int32), merges).tolist() == want
+
+
+def test_spread_merges_over_tasks_and_looks(spark, monkeypatch):
+    texts = {"aaaaaaa": 9, "abababab": 7, "é\U0001f600é\U0001f600": 5, "banana": 4, "bananas": 3, "x": 50, "": 3, "aab": 8, "baa": 8, "nana": 2}
+    counts = spark.createDataFrame(list(texts.items()), "piece string, n long")
+    want = tokenizer.learn_merges(counts, 40)
+    for name, value in {"PRETOKENS_ON_DRIVER": 2, "PIECES_A_TASK": 3, "TOKENS_AT_ONCE": 5, "WRITE_EVERY": 2}.items():
+        monkeypatch.setattr(tokenizer, name, value)
+    assert tokenizer.learn_merges(counts, 40) == want == merges_by_hand(texts, 40)
