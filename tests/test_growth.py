@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from millrace.operators import dedup, pack, tokenizer
 from millrace.plans import training
+from millrace.streaming import tokens
 
 
 def test_throughput_of_lines_a_microsecond_apart(spark, tmp_path):
@@ -73,3 +74,16 @@ def test_packing_over_blocks_and_ranges(spark, monkeypatch, length):
     frame = spark.createDataFrame(rows, "doc_id int, ids array<bigint>").repartition(5)
     got = pack.packed(frame, length, eos=7).orderBy("chunk").collect()
     assert [(r.chunk, r.input_ids, r.targets) for r in got] == [(i, w[:-1], w[1:]) for i, w in enumerate(want)]
+
+
+def test_a_batch_encodes_its_own_samples_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def ids(text):
+        made.add(1)
+        return [len(w) for w in text.split()]
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang", "text").where("text is not null")
+    tokens.run(docs, str(tmp_path / "run"), lambda rows: rows.withColumn("ids", ids("text")), {"en": 1.0}, take=5, batches=1, max_tokens=100_000)
+    assert made.value == 5 < docs.count()
