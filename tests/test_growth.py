@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from millrace.operators import dedup, pack, tokenizer
+from millrace.operators import decontam, dedup, pack, tokenizer
 from millrace.plans import training
 from millrace.streaming import tokens
 
@@ -87,3 +87,12 @@ def test_a_batch_encodes_its_own_samples_once(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang", "text").where("text is not null")
     tokens.run(docs, str(tmp_path / "run"), lambda rows: rows.withColumn("ids", ids("text")), {"en": 1.0}, take=5, batches=1, max_tokens=100_000)
     assert made.value == 5 < docs.count()
+
+
+def test_ngram_sets_in_one_map_are_those_of_the_expression(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "GRAMS_AT_ONCE", 7)
+    texts = ["", " \n", None, "One", "a b c", "A  b\tc d", "a b a b a b a b", " été \U0001f600 x y z ", "w " * 40, " ".join(f"w{i % 17}" for i in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for n in (1, 3, 10):
+        want = {r.doc_id: sorted(r.gs) for r in rows.select("doc_id", decontam.ngram_set(F.col("text"), n).alias("gs")).collect()}
+        assert {r.doc_id: sorted(r.gs) for r in decontam.with_ngram_sets(rows, ["doc_id"], F.col("text"), n).collect()} == want
