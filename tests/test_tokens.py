@@ -140,3 +140,18 @@ def test_stream_is_written_once(spark, docs, tmp_path, monkeypatch):
             want.append((position, r.doc_id, offset, len(r.ids), tuple(r.ids)))
             offset += len(r.ids)
     assert got == want and tokens.state(spark, path).batch == 2
+
+
+def test_positions_of_the_streamed_query_are_those_of_its_sql_with_texts_without_words(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["one two", "", "three", None, " \t\n", "four five six", "　", "seven"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["streamed_tokens"](spark, str(tmp_path)).collect()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(f"SELECT doc_id, position, \"offset\", length FROM ({entry.oracle_sql()['streamed_tokens']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and [w[1] for w in sorted(want)] == [0, 1, 2, 3]
