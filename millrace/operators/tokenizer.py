@@ -34,12 +34,14 @@ CACHED_CHARACTERS, LONGEST_CACHED = 16_000_000, 256
 PRETOKENS_ON_DRIVER, PAIRS_ON_DRIVER = 200_000, 50_000
 #: With fewer leading pairs than this in the pieces that the driver may hold, a round goes by totals alone.
 LEAST_HERE = 40
-#: A round's pieces on the driver, as a multiple of PRETOKENS_ON_DRIVER: they are held in less memory than the plain loop's.
+#: Leading pairs of the first round; and how many times as many a round may take as the one before.
+FIRST_LEADING, MORE_LEADING = 64, 8
+#: A round's pieces on the driver, as a multiple of PRETOKENS_ON_DRIVER: most of them are two or three tokens.
 TIMES_AT_ONCE = 3
 #: Merges after which the spread loop writes its pieces down.
 WRITE_EVERY = 50
 #: Pieces of a task of the spread loop, and tokens that it looks at together, about.
-PIECES_A_TASK, TOKENS_AT_ONCE = 50_000, 2_000_000
+PIECES_A_TASK, TOKENS_AT_ONCE = 100_000, 2_000_000
 
 
 def pretokens(text: Column) -> Column:
@@ -173,7 +175,7 @@ def _merged(parts: list, pairs: list[tuple]) -> list:
 class PieceRound:
     """A run of merges over the pieces that hold any of some leading pairs.
 
-    `known` has the totals of pairs in their order up to one of total `rest` (0: all pairs), of which `here` are those
+    `known` has the first pairs of the order and their totals, the last of them `rest` (0: all pairs), of which `here` are those
     whose pieces are all at hand. A token that is new in this run is made in these pieces only, so its pairs are here
     too. A merge is made only if it is the next of the sequential order and all its pieces are here; the run ends before
     one that isn't.
@@ -181,6 +183,7 @@ class PieceRound:
 
     def __init__(self, known: dict[tuple, int], here: set[tuple], rest: int, tokens: set[str]):
         self.totals, self.here, self.rest, self.tokens = Counter(known), here, rest, tokens
+        self.last = max((pair for pair, n in known.items() if n == rest), default=None)
         self.heap = [(-n, pair) for pair, n in known.items()]
         heapq.heapify(self.heap)
         self.gained: Counter = Counter()  # of pairs that are not known
@@ -200,7 +203,9 @@ class PieceRound:
             n, pair = heapq.heappop(self.heap)
             if self.totals.get(pair) != -n:
                 continue
-            if -n < least or -n <= floor or pair not in self.here:
+            if -n < least or -n < floor or pair not in self.here:
+                break
+            if -n == floor and not (floor == self.rest and self.last is not None and pair <= self.last):
                 break
             made.append(pair)
             if pair[0] + pair[1] not in self.tokens:
@@ -237,10 +242,16 @@ def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[byte
     """learn_merges over a table of pieces that stays distributed, as arrays of token numbers; on the driver tokens are
     hexadecimal text, whose order is theirs.
 
-    A round counts the pairs in the cluster and takes the first PAIRS_ON_DRIVER of their order. If the first of them are
-    in few pieces, the pieces of as many pairs as PRETOKENS_ON_DRIVER allows come to the driver, which makes all merges
-    that these pieces decide (PieceRound). If not, the merges that the totals alone prove to come next are made (PairTable).
-    Either way the cluster then makes the same merges in its pieces; the driver's share has a bound.
+    A round counts the pairs in the cluster, takes the first PAIRS_ON_DRIVER of their order and a floor among their
+    totals, and makes all merges whose total is the floor or more. Pieces are cut for it between tokens whose pair has
+    a smaller total: what is made of a token's bytes is the same wherever these become that token, so a pair that comes
+    up later lies over one pair of now in all its places, and has no larger total. What remains is equal far more often
+    than pieces are, so the cluster adds up its counts and the driver learns from as many different ones as
+    PRETOKENS_ON_DRIVER allows; the floor follows from how many there were. Then the cluster makes the same merges.
+
+    Where that leaves too few pairs, the whole pieces of as many pairs as PRETOKENS_ON_DRIVER allows come to the driver,
+    which makes all merges that these decide (PieceRound), or else the merges are made that the totals alone prove to
+    come next (PairTable). The driver's share has a bound either way.
     """
     names = [f"{b:02X}" for b in range(256)]
     number = {name: i for i, name in enumerate(names)}
@@ -248,6 +259,7 @@ def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[byte
     table = written(raw.select(F.encode("piece", "UTF-8").alias("parts"), "n").mapInArrow(_numbered, "parts array<int>, n long"))
     made: list[tuple] = []
     pending: list[tuple[int, int, int]] = []
+    most_here, leading = TIMES_AT_ONCE * PRETOKENS_ON_DRIVER, FIRST_LEADING
 
     def add(fresh: list[tuple]) -> None:
         for a, b in fresh:
@@ -257,37 +269,54 @@ def _learn_spread(counts: DataFrame, merges: int, least: int) -> list[tuple[byte
             made.append((a, b))
             pending.append((number[a], number[b], number[a + b]))
 
+    def made_here(rows: DataFrame, known: dict[tuple, int], here: set[tuple], rest: int, floor: int) -> list[tuple]:
+        work = PieceRound(known, set(here), rest, set(names))
+        for batch in rows.toArrow().to_batches():  # most_here rows at most
+            for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                work.add([names[i] for i in parts], n)
+        return work.run(floor, merges - len(made))
+
     while len(made) < merges:
         if len(pending) >= WRITE_EVERY:
-            table, pending = written(_made(table, pending)), []
-        sums = _pairs(table, pending, len(names)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= least)
+            table, pending, leading = written(_made(table, pending)), [], max(leading, LEAST_HERE)
+        ordered = sorted(names)
+        sums = _pairs(table, pending, names).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= least)
         found = sums.orderBy(F.desc("n"), "a", "b").limit(PAIRS_ON_DRIVER).toArrow()
         rows = zip(*(found.column(c).to_pylist() for c in ("a", "b", "n", "m")), strict=True)
-        top = sorted((((names[a], names[b]), n, m) for a, b, n, m in rows), key=lambda r: (-r[1], r[0]))
+        top = sorted((((ordered[a], ordered[b]), n, m) for a, b, n, m in rows), key=lambda r: (-r[1], r[0]))
         if not top:
             break
         rest = top[-1][1] if len(top) == PAIRS_ON_DRIVER else 0
         known = {pair: n for pair, n, _ in top}
-        here, held = set(), 0
-        for pair, _, m in top:
-            held += m
-            if held > TIMES_AT_ONCE * PRETOKENS_ON_DRIVER:
+        fresh: list[tuple] = []
+        while not fresh and leading >= min(LEAST_HERE, len(top)):
+            floor = max(top[min(leading, len(top)) - 1][1], rest + 1)
+            alive = {pair for pair, n in known.items() if n >= floor}
+            if not alive:
                 break
-            here.add(pair)
-        if len(here) < LEAST_HERE and len(here) < len(top):
-            fresh = [pair for pair in PairTable(known).certain(least, merges - len(made)) if known[pair] > rest]
-        else:
             if pending:
                 table, pending = written(_made(table, pending)), []
-            work = PieceRound(known, set(here), rest, {*names[:256], *(a + b for a, b in made)})
-            for batch in written(_holding(table, {(number[a], number[b]) for a, b in here})).toArrow().to_batches():  # `held` at most
-                for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    work.add([names[i] for i in parts], n)
-            fresh = work.run(least, merges - len(made))
-            del work
+            parts = written(_between(table, {(number[a], number[b]) for a, b in alive}).groupBy("parts").agg(F.sum("n").alias("n")))
+            held = parts.count()
+            if held > most_here:
+                leading = min(leading, len(alive)) // 2
+                continue
+            fresh = made_here(parts, {pair: known[pair] for pair in alive}, alive, 0, floor)
+            leading = max(LEAST_HERE, int(len(alive) * min(MORE_LEADING, most_here / 2 / held)))
         if not fresh:
-            raise ValueError("PAIRS_ON_DRIVER is too small for the ties of the first pairs")
-        add(fresh)
+            here, held = set(), 0
+            for pair, _, m in top:
+                held += m
+                if held > most_here:
+                    break
+                here.add(pair)
+            if len(here) < LEAST_HERE and len(here) < len(top):
+                fresh = [pair for pair in PairTable(known).certain(least, merges - len(made)) if known[pair] > rest]
+            else:
+                if pending:
+                    table, pending = written(_made(table, pending)), []
+                fresh = made_here(written(_holding(table, {(number[a], number[b]) for a, b in here})), known, here, rest, least)
+        add(fresh or [top[0][0]])  # the first pair comes next in any case
     return [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in made]
 
 
@@ -320,19 +349,44 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _merge_all(tokens: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
-    """Tokens after merges (left, right, new) in their order, each from left to right."""
+    """Tokens after merges (left, right, new) in their order, each from left to right.
+
+    Each merge looks only at the places of one of its tokens; tokens that are merged away are stepped over."""
+    if not merges or not len(tokens):
+        return tokens
+    tokens = tokens.copy()
+    order = np.argsort(tokens, kind="stable")
+    begins = np.cumsum(np.bincount(tokens + 1))  # of each token's places in this order, behind those of -1
+    after, before = np.arange(1, len(tokens) + 1), np.arange(-1, len(tokens) - 1)
+    places: dict[int, np.ndarray] = {}
+    none = order[:0]
+
+    def of(token: int) -> np.ndarray:
+        if token not in places:
+            places[token] = order[begins[token] : begins[token + 1]] if token + 1 < len(begins) else none
+        return places[token]
+
     for a, b, new in merges:
-        at = np.flatnonzero(tokens == a)
-        at = at[tokens[at + 1] == b]
+        if not len(of(a)) or not len(of(b)):
+            continue
+        if len(of(a)) <= len(of(b)):
+            places[a] = at = of(a)[tokens[of(a)] == a]
+            at = at[tokens[after[at]] == b]
+        else:
+            places[b] = at = of(b)[tokens[of(b)] == b]
+            at = before[at]  # -1 before all: the last one, which ends a piece
+            at = at[tokens[at] == a]
         if a == b and len(at) > 1:  # in a run of them every second one
-            begins = np.concatenate([[True], np.diff(at) != 1])
-            at = at[(at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0]
+            number = np.arange(len(at))
+            first = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            at = at[(number - np.maximum.accumulate(np.where(first, number, 0))) % 2 == 0]
         if len(at):
-            stays = np.ones(len(tokens), dtype=bool)
-            stays[at + 1] = False
-            tokens[at] = new
-            tokens = tokens[stays]
-    return tokens
+            gone = after[at]
+            tokens[at], tokens[gone] = new, -2
+            after[at] = after[gone]
+            before[after[at]] = at
+            places[new] = np.union1d(of(new), at) if len(of(new)) else at
+    return tokens[tokens != -2]
 
 
 def _listed(tokens: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
@@ -344,8 +398,12 @@ def _listed(tokens: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([parts, pa.array(n[wanted], pa.int64())], names=["parts", "n"])
 
 
-def _pairs(table: DataFrame, pending: list[tuple[int, int, int]], size: int) -> DataFrame:
-    """a, b, n, m: totals and places of neighbouring tokens after the pending merges, summed by task."""
+def _pairs(table: DataFrame, pending: list[tuple[int, int, int]], names: list[str]) -> DataFrame:
+    """a, b, n, m: totals and places of neighbouring tokens after the pending merges, summed by task; tokens are numbered
+    in the order of their names."""
+    size = len(names)
+    place = np.empty(size, dtype=np.int64)
+    place[sorted(range(size), key=names.__getitem__)] = np.arange(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, n in _laid(batches):
@@ -355,12 +413,29 @@ def _pairs(table: DataFrame, pending: list[tuple[int, int, int]], size: int) ->
             codes, places = np.unique(tokens[at].astype(np.int64) * size + tokens[at + 1], return_inverse=True)
             totals = np.zeros(len(codes), dtype=np.int64)
             np.add.at(totals, places, n[piece[at]])
-            columns = (codes // size, codes % size, totals, np.bincount(places, minlength=len(codes)))
+            columns = (place[codes // size], place[codes % size], totals, np.bincount(places, minlength=len(codes)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "m"])
 
     return table.mapInArrow(run, "a long, b long, n long, m long")
 
 
+def _between(table: DataFrame, pairs: set[tuple[int, int]]) -> DataFrame:
+    """parts, n: the pieces, cut between all neighbouring tokens that are none of the pairs, without single tokens."""
+    wanted = np.array(sorted(a << 32 | b for a, b in pairs), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, n in _laid(batches):
+            codes = tokens[:-1].astype(np.int64) << 32 | tokens[1:]
+            stays = (wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes) & (tokens[:-1] >= 0)
+            edges = np.diff(np.concatenate([[0], stays.view(np.int8), [0]]))
+            first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)  # tokens at both ends
+            inside = np.concatenate([stays, [False]]) | np.concatenate([[False], stays])
+            parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(last - first + 1)]), pa.int32()), pa.array(tokens[inside]))
+            yield pa.RecordBatch.from_arrays([parts, pa.array(n[np.cumsum(tokens == -1)[first]], pa.int64())], names=["parts", "n"])
+
+    return table.mapInArrow(run, "parts array<int>, n long")
+
+
 def _holding(table: DataFrame, pairs: set[tuple[int, int]]) -> DataFrame:
     """The pieces that hold any of the pairs."""
     wanted = np.array(sorted(a << 32 | b for a, b in pairs), dtype=np.int64)

@@ -77,3 +77,34 @@ def test_spread_merges_over_tasks_and_looks(spark, monkeypatch):
     for name, value in {"PRETOKENS_ON_DRIVER": 2, "PIECES_A_TASK": 3, "TOKENS_AT_ONCE": 5, "WRITE_EVERY": 2}.items():
         monkeypatch.setattr(tokenizer, name, value)
     assert tokenizer.learn_merges(counts, 40) == want == merges_by_hand(texts, 40)
+
+
+def test_spread_merges_to_the_end_take_few_rounds(spark, monkeypatch):
+    """Cut pieces: all merges of a table with few of its pieces on the driver, in few rounds."""
+    counts = tokenizer.written(tokenizer.pretoken_counts(spark.read.parquet(f"{SMALL}/documents.parquet")).where(F.col("n") > 1))
+    want = tokenizer.learn_merges(counts, 100_000)
+    rounds, held, pairs, run = [], [], tokenizer._pairs, tokenizer.PieceRound.run
+    monkeypatch.setattr(tokenizer, "_pairs", lambda *a: rounds.append(1) or pairs(*a))
+    monkeypatch.setattr(tokenizer.PieceRound, "run", lambda work, *a: held.append(len(work.pieces)) or run(work, *a))
+    monkeypatch.setattr(tokenizer, "PRETOKENS_ON_DRIVER", 1_000)
+    got = tokenizer.learn_merges(counts, 100_000)
+    assert got == want and len(want) > 3_000 < counts.count()
+    assert len(rounds) < 15 and max(held) <= 3_000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cut_pieces_give_the_merges_of_whole_ones(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    letters = ("ab", "abc", "aabé", "etaoin shrdlu")[seed]
+    counts = {"".join(draw.choice(letters) for _ in range(draw.randint(1, 14))): draw.randint(1, 9) for _ in range(150)} | {"a" * 13: 4, "ab" * 7: 3}
+    for name, value in {"PRETOKENS_ON_DRIVER": 30, "LEAST_HERE": 1, "FIRST_LEADING": 2, "MORE_LEADING": 2, "PIECES_A_TASK": 40}.items():
+        monkeypatch.setattr(tokenizer, name, value)
+    assert tokenizer.learn_merges(spark.createDataFrame(list(counts.items()), "piece string, n long"), 300) == merges_by_hand(counts, 300)
+
+
+def test_more_ties_than_the_driver_holds(spark, monkeypatch):
+    texts = {a + b: 3 for a in "dcba" for b in "zyx"} | {"dzw": 3, "q": 9}
+    monkeypatch.setattr(tokenizer, "PRETOKENS_ON_DRIVER", 2)
+    for pairs in (1, 4):
+        monkeypatch.setattr(tokenizer, "PAIRS_ON_DRIVER", pairs)
+        assert tokenizer.learn_merges(spark.createDataFrame(list(texts.items()), "piece string, n long"), 9) == merges_by_hand(texts, 9)
