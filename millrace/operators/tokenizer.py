@@ -29,6 +29,8 @@ PRETOKEN_HERE = (
 )
 #: Characters of the pieces that an encoder remembers, about, and of the longest of them.
 CACHED_CHARACTERS, LONGEST_CACHED = 16_000_000, 256
+#: With so many new pieces at once, an encoder merges them side by side.
+SIDE_BY_SIDE = 20_000
 #: Distinct pre-tokens that the merge loop holds on the driver at most; with more of them, they stay where they are and
 #: the driver gets the totals of so many pairs, and the pieces of the first of these at a time.
 PRETOKENS_ON_DRIVER, PAIRS_ON_DRIVER = 200_000, 50_000
@@ -473,19 +475,54 @@ class Encoder:
         self.ids = vocabulary(merges)
         self.cache: dict[str, list[int]] = {}
         self.cached = 0
+        # No merge makes a token that one before it has taken or made: then the lowest rank first is rank by rank.
+        seen = {bytes([b]) for b in range(256)}
+        self.in_order = all(a in seen and b in seen and a + b not in seen and not seen.add(a + b) for a, b in merges)
+        self.numbered = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges] if self.in_order else []
 
     def piece(self, piece: str) -> list[int]:
         found = self.cache.get(piece)
-        if found is None:
-            found = self._merge([bytes([b]) for b in piece.encode("utf-8", "replace")])
-            if len(piece) <= LONGEST_CACHED:
-                if self.cached > CACHED_CHARACTERS:
-                    self.cache.clear()
-                    self.cached = 0
-                self.cache[piece] = found
-                self.cached += len(piece) + 64
+        return found if found is not None else self._kept(piece, self._merge([bytes([b]) for b in piece.encode("utf-8", "replace")]))
+
+    def _kept(self, piece: str, ids: list[int]) -> list[int]:
+        if len(piece) <= LONGEST_CACHED:
+            if self.cached > CACHED_CHARACTERS:
+                self.cache.clear()
+                self.cached = 0
+            self.cache[piece] = ids
+            self.cached += len(piece) + 64
+        return ids
+
+    def many(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each of different pieces."""
+        found = [self.cache.get(piece) for piece in pieces]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(new) < SIDE_BY_SIDE or not self.in_order:
+            for i in new:
+                found[i] = self.piece(pieces[i])
+            return found
+        tokens = np.frombuffer(b"".join(pieces[i].encode("utf-8", "replace") + b"\xff" for i in new), dtype=np.uint8).astype(np.int32)
+        tokens[tokens == 0xFF] = -1  # a byte that no text has
+        tokens = _merge_all(tokens, self.numbered)
+        flat, start = tokens.tolist(), 0
+        for i, end in zip(new, np.flatnonzero(tokens == -1).tolist(), strict=True):
+            found[i] = self._kept(pieces[i], flat[start:end])
+            start = end + 1
         return found
 
+    def rows(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of pieces, one row behind the other, and the number of ids before each row and behind the last:
+        each different piece of the batch is looked up once."""
+        coded = pieces.flatten().dictionary_encode()
+        found = self.many(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        known = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
+        many = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], many) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(pieces), dtype=np.int64))])]
+
     def _merge(self, parts: list[bytes]) -> list[int]:
         """The lowest rank first, the leftmost of it first; a heap of neighbours, so that time is n log n."""
         n = len(parts)
@@ -512,21 +549,20 @@ def encode(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_i
     """key, the columns of `keep`, ids: pre-tokens natively, merges in Arrow batches with a cache of pieces; optional
     marks at either end. A row for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(merges)
+    kinds = dict(docs.dtypes)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
-        for frame in frames:
-            out = []
-            for pieces in frame["__p"]:
-                row: list[int] = [] if bos is None else [bos]
-                for piece in pieces:
-                    row += coder.piece(piece)
-                out.append(row if eos is None else [*row, eos])
-            yield pd.DataFrame({c: frame[c] for c in (key, *keep)} | {"ids": out})
+        for batch in batches:
+            ids, ends = coder.rows(batch.column(batch.num_columns - 1))
+            for mark, side in ((bos, slice(None, -1)), (eos, slice(1, None))):
+                if mark is not None:
+                    ids, ends = np.insert(ids, ends[side], mark), ends + np.arange(len(ends))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[key, *keep, "ids"])
 
-    kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", ids array<int>"
-    return docs.select(key, *keep, pretokens(F.coalesce(text, F.lit(""))).alias("__p")).mapInPandas(run, schema)
+    return docs.select(key, *keep, pretokens(F.coalesce(text, F.lit(""))).alias("__p")).mapInArrow(run, schema)
 
 
 def encode_spans(rows: DataFrame, merges: list[tuple[bytes, bytes]], text: str, spans: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -586,11 +622,25 @@ def decode(rows: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_i
 
 def encoded_sizes(docs: DataFrame, merges: list[tuple[bytes, bytes]], key: str = "doc_id", by: str = "lang", text: str = "text") -> DataFrame:
     """key, by, b, t, back: bytes and tokens of each row, and whether the tokens give its text again; null acts as empty."""
-    whole = docs.select(key, by, F.coalesce(text, F.lit("")).alias("__t")).withColumn("b", F.octet_length("__t"))
-    digest = F.xxhash64("__t").alias("__d")
-    ids = encode(whole.select(key, by, "b", "__t", digest), merges, key, "__t", keep=(by, "b", "__d"))
-    back = decode(ids.withColumn("t", F.size("ids")), merges, key, keep=(by, "b", "t", "__d"))
-    return back.select(key, by, "b", "t", (F.xxhash64("text") == F.col("__d")).alias("back"))
+    shared = docs.sparkSession.sparkContext.broadcast(merges)
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder(shared.value)
+        named = {i: token for token, i in coder.ids.items()}
+        tokens = pa.array([named.get(i, b"") for i in range(256 + len(shared.value))], pa.large_binary())
+        sizes = np.asarray(pc.binary_length(tokens), dtype=np.int64)
+        for batch in batches:
+            ids, ends = coder.rows(batch.column(3))
+            whole = batch.column(2).cast(pa.binary())
+            # the tokens' bytes lie one behind the other: cut at the ends of rows they are the decoded texts
+            cuts = np.concatenate([[0], np.cumsum(sizes[ids])])[ends]
+            decoded = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(cuts), tokens.take(pa.array(ids)).buffers()[2]])
+            columns = [batch.column(0), batch.column(1), pc.binary_length(whole), pa.array(np.diff(ends), pa.int32()), pc.equal(decoded, whole.cast(pa.large_binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, by, "b", "t", "back"])
+
+    whole = docs.select(key, by, F.coalesce(text, F.lit("")).alias("__t")).withColumn("__p", pretokens(F.col("__t")))
+    return whole.mapInArrow(run, f"`{key}` {kinds[key]}, `{by}` {kinds[by]}, b int, t int, back boolean")
 
 
 def compression(sizes: DataFrame, by: str = "lang", overall: str | None = None) -> DataFrame:

@@ -87,3 +87,35 @@ def test_masks_where_merges_cross_borders(spark):
 def test_chatml_keeps_turns_without_content(spark):
     row = spark.createDataFrame([([("user", None), ("assistant", "x")],)], "m array<struct<role:string,content:string>>").select(chatml(F.col("m")).alias("t")).first()
     assert row.t.count("user") == 1 and row.t.count("assistant") == 1
+
+
+def test_pieces_merged_side_by_side_are_those_merged_one_by_one(monkeypatch):
+    draw = random.Random(4)
+    merges = [(b"a", b"a"), (b"aa", b"a"), (b"b", b"a"), (b"ba", b"aaa"), (b"\xc3", b"\xa9"), (b"aaa", b"aaa"), (b" ", b"ba")]
+    pieces = list({"".join(draw.choice("aab é") for _ in range(draw.randint(0, 12))) for _ in range(500)} | {"", "a" * 3_001})
+    want = [tokenizer.Encoder(merges).piece(p) for p in pieces]
+    monkeypatch.setattr(tokenizer, "SIDE_BY_SIDE", 1)
+    coder = tokenizer.Encoder(merges)
+    assert coder.in_order and coder.many(pieces[:100]) == want[:100] and coder.many(pieces) == want and len(coder.cache) == len(pieces) - 1
+    mixed = [(b"ab", b"c"), (b"a", b"b"), (b"b", b"c")]  # the first can only follow the second
+    assert not tokenizer.Encoder(mixed).in_order and tokenizer.Encoder(mixed).many(["abc"]) == [tokenizer.Encoder(mixed).piece("abc")]
+
+
+def test_ids_and_sizes_of_texts(spark):
+    texts = ["it's a cat", None, "", " \n\n", "été \U0001f600 cat cat", "1234", "a" * 500, "it's a cat"]
+    docs = spark.createDataFrame([(i, "en" if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(2)
+    merges = [(b"a", b"t"), (b"c", b"at"), (b" ", b"cat"), (b"a", b"a"), (b"aa", b"aa")]
+    pieces = {r.doc_id: r.p for r in docs.select("doc_id", tokenizer.pretokens(F.coalesce("text", F.lit(""))).alias("p")).collect()}
+    coder = tokenizer.Encoder(merges)
+    want = {i: [x for p in pieces[i] for x in coder.piece(p)] for i in pieces}
+    assert {r.doc_id: r.ids for r in tokenizer.encode(docs, merges).collect()} == want
+    assert {r.doc_id: (r.lang, r.ids) for r in tokenizer.encode(docs, merges, bos=7, eos=9, keep=("lang",)).collect()} == {i: ("en" if i % 2 else None, [7, *want[i], 9]) for i in want}
+    sizes = tokenizer.encoded_sizes(docs, merges).collect()
+    assert {r.doc_id: (r.lang, r.b, r.t, r.back) for r in sizes} == {i: ("en" if i % 2 else None, len((t or "").encode()), len(want[i]), True) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in tokenizer.decode(tokenizer.encode(docs, merges), merges).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_a_text_that_does_not_come_back_is_told(spark, monkeypatch):
+    monkeypatch.setattr(tokenizer, "pretokens", lambda text: F.split(text, "x"))  # pieces that lose a character
+    docs = spark.createDataFrame([(1, "en", "axb"), (2, "en", "ab"), (3, "en", "xxxx"), (4, "en", "")], "doc_id long, lang string, text string").coalesce(1)
+    assert {r.doc_id: (r.b, r.t, r.back) for r in tokenizer.encoded_sizes(docs, [(b"a", b"b")]).collect()} == {1: (3, 2, False), 2: (2, 1, True), 3: (4, 0, False), 4: (0, 0, True)}
